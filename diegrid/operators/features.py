@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from diegrid.constants import FEATURES, INPUT_SIZE
 from diegrid.functions.numeric import ratio
@@ -143,7 +143,7 @@ def salient_features(cells: DataFrame, clusters: DataFrame, size: int = INPUT_SI
         F.coalesce(F.when(n >= 3, F.sqrt((mid + gap + 1e-3) / (mid - gap + 1e-3))), F.lit(1.0)).alias("salient_elong")))
 
 
-@F.pandas_udf("double")  # type: ignore[call-overload]
+@F.pandas_udf(T.DoubleType())
 def hull_area(rows: pd.Series) -> pd.Series:
     """Area of the convex hull of lattice rows, each coded (row * 65536 + min) * 65536 + max."""
     def area(codes) -> float:

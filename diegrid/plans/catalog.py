@@ -1,4 +1,4 @@
 """Imports every query module, so the registry is complete."""
 
-from diegrid.plans import die_queries, feature_queries  # noqa: F401
+from diegrid.plans import die_queries, feature_queries, source_queries  # noqa: F401
 from diegrid.plans.registry import QUERIES, SQL  # noqa: F401

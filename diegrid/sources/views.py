@@ -36,3 +36,89 @@ def activation(spark: SparkSession, sf: str) -> DataFrame:
 
 def batches(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("wafer_id"), F.col("s_nationkey").alias("batch"))
+
+
+def wafers(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw labelled wafers: dense map, lot, and the label as a nested array, empty for every 7th."""
+    from diegrid.operators.dies import collect_die_map
+    sup = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("wafer_id"), F.col("s_nationkey").cast("int").alias("lot_id"))
+    empty = F.array().cast("array<array<string>>")
+    return collect_die_map(dies(spark, sf)).join(sup, "wafer_id").select(
+        "wafer_id", "lot_id", "wafer_map",
+        F.when(F.col("wafer_id") % 7 == 0, empty).otherwise(F.array(F.array(class_name(F.col("wafer_id"))))).alias("failureType"))
+
+
+def _centroids(e: DataFrame, *keys: str) -> DataFrame:
+    """Mean embedding per class (and key): class x dimension values."""
+    long = e.select("label", *keys, F.posexplode("embedding").alias("i", "v"))
+    mean = long.groupBy("label", *keys, "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    return mean.groupBy("label", *keys).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
+
+
+def _logits(embedding: Column, centroids: Column, skip: Column | None = None) -> Column:
+    """10 x dot product with every class mean, 9 decimals; `skip` leaves out dimensions i % 8 = skip."""
+    def product(c):
+        terms = F.zip_with(embedding, c["centroid"], lambda x, y: x.cast("double") * y)
+        if skip is not None:
+            terms = F.transform(terms, lambda t, i: F.when(i % 8 == skip, 0.0).otherwise(t))
+        return F.round(10 * F.aggregate(terms, F.lit(0.0), lambda s, t: s + t), 9)
+    return F.transform(centroids, product)
+
+
+def embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    grp = F.floor(F.col("vec_id") / 4).cast("long")
+    return table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("y"), "label", "embedding",
+                                                 grp.alias("grp"), (grp % 5).cast("int").alias("fold"))
+
+
+N_CLASSES = 10
+
+
+def preds(spark: SparkSession, sf: str) -> DataFrame:
+    """preds(vec_id, y, grp, fold, z ARRAY): logits of a nearest-class-mean model. The class means
+    are one fixed-size value (classes x dimensions), read as a scalar subquery."""
+    e = embeddings(spark, sf)
+    c = _centroids(e).agg(F.array_sort(F.collect_list(F.struct("label", "centroid")))).scalar()
+    return (e.select("vec_id", "y", "grp", "fold", "embedding", c.alias("cs"))
+            .select("vec_id", "y", "grp", "fold", _logits(F.col("embedding"), F.col("cs")).alias("z")))
+
+
+def probs(spark: SparkSession, sf: str) -> DataFrame:
+    """preds with probabilities at 12 decimals, top class and confidence."""
+    from diegrid.functions.arrays import argmax, softmax
+    p = preds(spark, sf).withColumn("p", F.transform(softmax(F.col("z")), lambda x: F.round(x, 12)))
+    return p.select("*", argmax(F.col("p")).alias("pred"), F.array_max("p").alias("conf"))
+
+
+def member_preds(spark: SparkSession, sf: str, views: bool = False) -> DataFrame:
+    """Five members, each with class means that leave one fold out; with `views`, eight partial
+    views of the input each (one of eight dimension groups left out)."""
+    e = embeddings(spark, sf)
+    held_out = e.select(*e.columns, F.explode(F.sequence(F.lit(0), F.lit(4))).alias("member")).where("fold <> member")
+    c = _centroids(held_out, "member").groupBy("member").agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("cs"))
+    members = e.select(*e.columns, F.explode(F.sequence(F.lit(0), F.lit(4))).alias("member"))
+    out = members.join(F.broadcast(c), "member")       # five rows of class means: fixed size
+    if views:
+        out = out.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("view"))
+        return out.select("vec_id", "y", "grp", "fold", "member", "view", _logits(F.col("embedding"), F.col("cs"), F.col("view")).alias("z"))
+    return out.select("vec_id", "y", "grp", "fold", "member", _logits(F.col("embedding"), F.col("cs")).alias("z"))
+
+
+def process(spark: SparkSession, sf: str) -> DataFrame:
+    """Process log, one row per wafer."""
+    t = F.col("event_type")
+    return table(spark, sf, "events").select(
+        F.col("event_id").alias("wafer_id"), F.col("event_id").alias("seq"), (F.col("user_id") % 7).alias("lot_id"),
+        F.when(t == "view", "None").when(t == "click", "Edge-Ring").when(t == "error", "Scratch")
+        .when(t == "signup", "Center").otherwise("Loc").alias("class"),
+        F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("user_id") % 3 + 1).cast("int")).alias("chamber"),
+        F.col("value").alias("etch_time_s"), ((F.col("event_id") % 400) * 2).alias("cmp_pad_cycles"))
+
+
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    """Exported image names: 700 sources, every 10th file with a plain name; class and palette."""
+    d = table(spark, sf, "documents")
+    name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("plain_"), F.col("doc_id").cast("string"), F.lit(".png"))).otherwise(
+        F.concat(F.lit("image_"), (F.col("doc_id") % 700).cast("string"), F.lit("_png_jpg.rf."), F.md5("text"), F.lit(".jpg")))
+    return d.select("doc_id", name.alias("f"), "lang", "n_chars")
