@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once. A lambda body is evaluated per element, so anything that does not
+    depend on the element must be bound outside of it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -13,9 +21,12 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x.cast("double") * y))
 
 
+def normalised(a: Column) -> Column:
+    return let(a, lambda v: let(total(v), lambda t: F.transform(v, lambda x: x / t)))
+
+
 def softmax(z: Column) -> Column:
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(e, lambda x: x / total(e))
+    return let(z, lambda v: let(F.array_max(v), lambda m: normalised(F.transform(v, lambda x: F.exp(x - m)))))
 
 
 def tempered_softmax(z: Column, temperature: float | Column) -> Column:
@@ -33,7 +44,7 @@ def entropy(p: Column) -> Column:
 def dirichlet(evidence: Column) -> tuple[Column, Column]:
     """Mean probabilities and vacuity C / sum(alpha), alpha = softplus(evidence) + 1."""
     alpha = F.transform(evidence, lambda x: F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x))) + 1)
-    return F.transform(alpha, lambda a: a / total(alpha)), F.size(evidence) / total(alpha)
+    return normalised(alpha), F.size(evidence) / total(alpha)
 
 
 def argmax(p: Column) -> Column:

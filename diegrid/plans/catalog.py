@@ -1,4 +1,7 @@
-"""Imports every query module, so the registry is complete."""
+"""All registered queries and their SQL statements."""
 
-from diegrid.plans import die_queries, feature_queries, source_queries  # noqa: F401
-from diegrid.plans.registry import QUERIES, SQL  # noqa: F401
+from diegrid.plans import (die_queries, feature_queries, metric_queries,  # noqa: F401
+                           source_queries)
+from diegrid.plans.registry import BODIES, QUERIES, statement  # noqa: F401
+
+SQL = {key: statement(body) for key, body in BODIES.items()}

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+BODIES: dict[str, str] = {}
 CTES: dict[str, str] = {}
 _NAME = re.compile(r"\bv_\w+")
 
@@ -47,7 +47,7 @@ def query(key: str, sql: str | None = None):
             raise ValueError(f"{key} is already registered")
         QUERIES[key] = fn
         if sql is not None:
-            SQL[key] = statement(sql)
+            BODIES[key] = sql
         return fn
     return register
 
