@@ -43,3 +43,21 @@ def running_totals(df: DataFrame, keys: list[str], order: str, measures: list[st
     out = rows.join(F.broadcast(offsets), [*keys, "_bucket"])
     return out.select(*df.columns, *[(F.col(f"run_{m}") + F.col(f"off_{m}")).alias(f"run_{m}") for m in measures],
                       *[f"all_{m}" for m in measures])
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], buckets: int = 64) -> DataFrame:
+    """Linearly interpolated quantiles q0, q1, .. of `value` per key.
+
+    The built-in exact `percentile` holds all distinct values of a key in one aggregation buffer;
+    here only running counts of distinct values cross tasks.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    r = running_totals(counts, keys, value, ["_n"], buckets=buckets)
+    h = [(F.col("all__n") - 1) * s for s in shares]
+    picks = []
+    for i, rank in enumerate(h):
+        for side, at in (("lo", F.floor(rank + 1e-9)), ("hi", F.ceil(rank - 1e-9))):
+            picks.append(F.min(F.when(F.col("run__n") > at, F.col(value))).alias(f"{side}{i}"))
+    g = r.groupBy(*keys).agg(F.max("all__n").alias("all__n"), *picks)
+    return g.select(*keys, *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (rank - F.floor(rank + 1e-9))).alias(f"q{i}")
+                             for i, rank in enumerate(h)])

@@ -1,6 +1,6 @@
 """All registered queries and their SQL statements."""
 
-from diegrid.plans import (die_queries, feature_queries, metric_queries,  # noqa: F401
+from diegrid.plans import (die_queries, feature_queries, metric_queries, policy_queries,  # noqa: F401
                            source_queries)
 from diegrid.plans.registry import BODIES, QUERIES, statement  # noqa: F401
 
