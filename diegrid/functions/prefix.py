@@ -61,3 +61,32 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     g = r.groupBy(*keys).agg(F.max("all__n").alias("all__n"), *picks)
     return g.select(*keys, *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (rank - F.floor(rank + 1e-9))).alias(f"q{i}")
                              for i, rank in enumerate(h)])
+
+
+def global_row_number(df: DataFrame, keys: list[str], order: str, tie: str, name: str = "rn", buckets: int = 64) -> DataFrame:
+    """row_number() over (partition by keys order by order, tie) for keys of any size. `order` must
+    be numeric and spread (an id or a hash), so that no single value fills a bucket."""
+    b = with_bucket(df, keys, order, buckets)
+    local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order, tie))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = b.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).select(
+        *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))     # `buckets` rows per key
+    return (b.withColumn("_rn", local).join(F.broadcast(offsets), [*keys, "_bucket"])
+            .select(*df.columns, (F.col("_rn") + F.col("_off")).alias(name)))
+
+
+def dense_ids(df: DataFrame, column: str, name: str = "id") -> DataFrame:
+    """(column, 0-based position in sort order) of the distinct values, of any type and number.
+
+    The values are range-partitioned and written once; positions are partition offsets plus the
+    position inside the partition.
+    """
+    from diegrid.sources.tables import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    v = (df.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
+         .select(column, F.monotonically_increasing_id().alias("_m")).checkpoint())
+    part, inside = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    v = v.select(column, part.alias("_p"), inside.alias("_i"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = v.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    return v.join(F.broadcast(offsets), "_p").select(column, (F.col("_i") + F.col("_o")).alias(name))    # one row per partition

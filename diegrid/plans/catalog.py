@@ -1,7 +1,14 @@
 """All registered queries and their SQL statements."""
 
-from diegrid.plans import (die_queries, feature_queries, metric_queries, policy_queries,  # noqa: F401
-                           source_queries)
-from diegrid.plans.registry import BODIES, QUERIES, statement  # noqa: F401
+from diegrid.plans import die_queries  # noqa: F401
+from diegrid.plans import duplicate_queries  # noqa: F401
+from diegrid.plans import feature_queries  # noqa: F401
+from diegrid.plans import metric_queries  # noqa: F401
+from diegrid.plans import policy_queries  # noqa: F401
+from diegrid.plans import source_queries  # noqa: F401
+from diegrid.plans import split_queries  # noqa: F401
+from diegrid.plans.registry import BODIES, QUERIES, statement
 
 SQL = {key: statement(body) for key, body in BODIES.items()}
+
+__all__ = ["QUERIES", "SQL"]

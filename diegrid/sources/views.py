@@ -122,3 +122,35 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("plain_"), F.col("doc_id").cast("string"), F.lit(".png"))).otherwise(
         F.concat(F.lit("image_"), (F.col("doc_id") % 700).cast("string"), F.lit("_png_jpg.rf."), F.md5("text"), F.lit(".jpg")))
     return d.select("doc_id", name.alias("f"), "lang", "n_chars")
+
+
+def _symmetry_of(wafer_id: Column, r: Column, c: Column, side: int) -> tuple[Column, Column]:
+    """One of the eight symmetries of a side x side grid, chosen by the wafer id."""
+    m, k = side - 1, wafer_id % 8
+    rows = F.when(k == 0, r).when(k == 1, c).when(k == 2, m - r).when(k == 3, m - c).when(k == 4, r).when(k == 5, c).when(k == 6, m - r).otherwise(m - c)
+    cols = F.when(k == 0, c).when(k == 1, m - r).when(k == 2, m - c).when(k == 3, r).when(k == 4, m - c).when(k == 5, r).when(k == 6, c).otherwise(m - r)
+    return rows, cols
+
+
+def image_dies(spark: SparkSession, sf: str) -> DataFrame:
+    """Every wafer, an exact copy of it turned or mirrored (id + 1,000,000) and another copy with
+    one die in 23 inverted (id + 2,000,000)."""
+    d = dies(spark, sf)
+    r, c = _symmetry_of(F.col("wafer_id"), F.col("r"), F.col("c"), 26)
+    noisy = F.when((F.col("r") * 31 + F.col("c") * 17 + F.col("wafer_id")) % 23 == 0, 3 - F.col("state")).otherwise(F.col("state"))
+    copies = [(0, F.col("r"), F.col("c"), F.col("state")), (1000000, r, c, F.col("state")), (2000000, r, c, noisy)]
+    return d.select(F.inline(F.array(*[F.struct((F.col("wafer_id") + shift).alias("wafer_id"), y.alias("r"), x.alias("c"), state.alias("state"))
+                                       for shift, y, x, state in copies])))
+
+
+def images(spark: SparkSession, sf: str) -> DataFrame:
+    """wafer_id, source, label, palette. Exact copies of even wafers keep their source, all other
+    copies are renamed; the noisy copy of every 5th wafer has another label."""
+    w = table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("long").alias("w")).distinct()
+    i = w.select("w", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    w_, k = F.col("w"), F.col("k")
+    kept = (k == 0) | ((k == 1) & (w_ % 2 == 0))
+    return i.select((w_ + k * 1000000).alias("wafer_id"),
+                    F.concat(F.when(kept, "w").when(k == 1, "x").otherwise("n"), w_.cast("string")).alias("source"),
+                    class_name(F.when((k == 2) & (w_ % 5 == 0), w_ + 1).otherwise(w_)).alias("label"),
+                    F.when((w_ + k) % 6 == 0, "levels").otherwise("standard").alias("palette"))
