@@ -90,3 +90,16 @@ def dense_ids(df: DataFrame, column: str, name: str = "id") -> DataFrame:
     before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = v.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     return v.join(F.broadcast(offsets), "_p").select(column, (F.col("_i") + F.col("_o")).alias(name))    # one row per partition
+
+
+def global_lag(df: DataFrame, keys: list[str], order: str, column: str, name: str, buckets: int = 64) -> DataFrame:
+    """lag(column) over (partition by keys order by order) for keys of any size: within buckets by
+    a window, across them by the last value of the previous non-empty bucket."""
+    b = with_bucket(df, keys, order, buckets)
+    local = F.lag(F.struct(F.col(column).alias("v"))).over(Window.partitionBy(*keys, "_bucket").orderBy(order))
+    last = b.groupBy(*keys, "_bucket").agg(F.max_by(F.struct(F.col(column).alias("v")), order).alias("_last"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket")
+    edge = last.select(*keys, "_bucket", F.lag("_last").over(before).alias("_edge"))           # `buckets` rows per key
+    return (b.withColumn("_lag", local).join(F.broadcast(edge), [*keys, "_bucket"])
+            .select(*df.columns, F.coalesce("_lag", "_edge")["v"].alias(name),
+                    F.coalesce("_lag", "_edge").isNotNull().alias(f"{name}_exists")))

@@ -29,11 +29,12 @@ def _(spark, sf):
 
 
 cte("v_process", """
-SELECT event_id AS wafer_id, event_id AS seq, user_id % 7 AS lot_id,
+SELECT 'W' || event_id AS wafer_id, event_id AS seq, 'L' || (user_id % 7) AS lot_id,
        CASE event_type WHEN 'view' THEN 'None' WHEN 'click' THEN 'Edge-Ring' WHEN 'error' THEN 'Scratch'
                        WHEN 'signup' THEN 'Center' ELSE 'Loc' END AS class,
-       CASE user_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS chamber,
-       value AS etch_time_s, (event_id % 400) * 2 AS cmp_pad_cycles
+       CASE WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'B' ELSE ['A', 'B', 'C'][user_id % 3 + 1] END AS chamber,
+       value + CASE WHEN event_type = 'click' THEN 10.0 ELSE 0.0 END AS etch_time_s,
+       (event_id % 400) * 2 + CASE WHEN event_type = 'error' THEN 120 ELSE 0 END AS cmp_pad_cycles
 FROM events""")
 
 
@@ -43,7 +44,7 @@ def _(spark, sf):
     log = V.process(spark, sf)
     log.write.option("header", True).csv(path)
     return readers.read_process_log(spark, path).select(
-        F.col("wafer_id").cast("long"), F.col("seq").cast("long"), F.col("lot_id").cast("long"), "class", "chamber",
+        "wafer_id", F.col("seq").cast("long"), "lot_id", "class", "chamber",
         F.col("etch_time_s").cast("double"), F.col("cmp_pad_cycles").cast("int"))
 
 

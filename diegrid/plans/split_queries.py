@@ -24,10 +24,10 @@ def _(spark, sf):
 
 
 @query("class_cap", f"""
-SELECT wafer_id, class FROM v_process WHERE class <> 'None' UNION ALL
-SELECT wafer_id, class FROM (SELECT *, row_number() OVER (ORDER BY {mix_sql('wafer_id', '0')}, wafer_id) AS k FROM v_process WHERE class = 'None') WHERE k <= 900""")
+SELECT seq, class FROM v_process WHERE class <> 'None' UNION ALL
+SELECT seq, class FROM (SELECT *, row_number() OVER (ORDER BY {mix_sql('seq', '0')}, seq) AS k FROM v_process WHERE class = 'None') WHERE k <= 900""")
 def _(spark, sf):
-    return S.class_cap(V.process(spark, sf).select("wafer_id", "class"), "class", "None", 900, "wafer_id")
+    return S.class_cap(V.process(spark, sf).select("seq", "class"), "class", "None", 900, "seq")
 
 
 @query("dataset_audit", """

@@ -106,14 +106,17 @@ def member_preds(spark: SparkSession, sf: str, views: bool = False) -> DataFrame
 
 
 def process(spark: SparkSession, sf: str) -> DataFrame:
-    """Process log, one row per wafer."""
-    t = F.col("event_type")
+    """Process log, one row per wafer. Edge-Ring wafers are concentrated in chamber B and etched
+    longer, Scratch wafers ran on a worn pad, Center wafers follow Loc wafers of the same user."""
+    t, i, u = F.col("event_type"), F.col("event_id"), F.col("user_id")
     return table(spark, sf, "events").select(
-        F.col("event_id").alias("wafer_id"), F.col("event_id").alias("seq"), (F.col("user_id") % 7).alias("lot_id"),
+        F.concat(F.lit("W"), i.cast("string")).alias("wafer_id"), i.alias("seq"), F.concat(F.lit("L"), (u % 7).cast("string")).alias("lot_id"),
         F.when(t == "view", "None").when(t == "click", "Edge-Ring").when(t == "error", "Scratch")
         .when(t == "signup", "Center").otherwise("Loc").alias("class"),
-        F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("user_id") % 3 + 1).cast("int")).alias("chamber"),
-        F.col("value").alias("etch_time_s"), ((F.col("event_id") % 400) * 2).alias("cmp_pad_cycles"))
+        F.when((t == "click") & (i % 3 == 0), "B").otherwise(
+            F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (u % 3 + 1).cast("int"))).alias("chamber"),
+        (F.col("value") + F.when(t == "click", 10.0).otherwise(0.0)).alias("etch_time_s"),
+        ((i % 400) * 2 + F.when(t == "error", 120).otherwise(0)).alias("cmp_pad_cycles"))
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
