@@ -157,3 +157,33 @@ def images(spark: SparkSession, sf: str) -> DataFrame:
                     F.concat(F.when(kept, "w").when(k == 1, "x").otherwise("n"), w_.cast("string")).alias("source"),
                     class_name(F.when((k == 2) & (w_ % 5 == 0), w_ + 1).otherwise(w_)).alias("label"),
                     F.when((w_ + k) % 6 == 0, "levels").otherwise("standard").alias("palette"))
+
+
+# --- fixed values: colours of the standard render and of one with other levels (viridis .33, .67)
+RENDERS = {"standard": [(68, 1, 84), (33, 145, 140), (253, 231, 37)], "other": [(68, 1, 84), (49, 104, 142), (53, 183, 121)]}
+
+
+def pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Every wafer as a picture, each grid cell 4 x 4 pixels; every third image uses other colour
+    levels, and one pixel in 29 shows the next state."""
+    from diegrid.operators.dies import collect_die_map
+    grid = (collect_die_map(dies(spark, sf)).select("wafer_id", F.posexplode("wafer_map").alias("r", "row"))
+            .select("wafer_id", "r", F.posexplode("row").alias("c", "state")))
+    four = F.sequence(F.lit(0), F.lit(3))
+    px = (grid.select("*", F.explode(four).alias("i")).select("*", F.explode(four).alias("j"))
+          .select(F.col("wafer_id").alias("image"), (F.col("r") * 4 + F.col("i")).alias("y"), (F.col("c") * 4 + F.col("j")).alias("x"), F.col("state").cast("int").alias("state")))
+    state = F.when((F.col("y") * 7 + F.col("x") * 13 + F.col("image")) % 29 == 0, (F.col("state") + 1) % 3).otherwise(F.col("state"))
+
+    def channel(k: int) -> Column:
+        other, std = (F.element_at(F.array(*[F.lit(c[k]) for c in RENDERS[n]]), F.col("s") + 1) for n in ("other", "standard"))
+        return F.when(F.col("image") % 3 == 1, other).otherwise(std)
+
+    return px.select("image", "y", "x", state.alias("s")).select("image", "y", "x", channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"))
+
+
+def die_px(spark: SparkSession, sf: str) -> DataFrame:
+    """Die measurements: the line number is the pixel position inside the die."""
+    return (table(spark, sf, "lineitem")
+            .groupBy(F.col("l_suppkey").cast("long").alias("wafer_id"), (F.col("l_partkey") % 26).cast("int").alias("r"),
+                     (F.col("l_orderkey") % 26).cast("int").alias("c"), F.col("l_linenumber").alias("px"))
+            .agg(F.max("l_quantity").alias("value")))
