@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from diegrid.functions.prefix import exact_quantiles
 from diegrid.operators.dies import STRIDE
+from diegrid.sources.tables import ensure_checkpoint_dir
 
 # --- fixed values: degree-6 polynomial fit of the viridis colour map (public domain, M. Zucker);
 # rows are the coefficients of t^0 .. t^6 for red, green, blue in [0, 1]
@@ -26,32 +27,35 @@ VIRIDIS = [
 STANDARD, SPREAD, STANDARD_MASS, PEAK_MASS = (0, 128, 255), 24, 0.9, 0.004
 
 
-def colour_map() -> list[tuple[int, int, int]]:
-    """The 256 colours from the polynomial."""
-    def channel(i: int, k: int) -> int:
-        t, v = i / 255, 0.0
-        for c in reversed(VIRIDIS):
-            v = v * t + c[k]
-        return int(min(255, max(0, round(v * 255))))
-    return [(channel(i, 0), channel(i, 1), channel(i, 2)) for i in range(256)]
+def map_channel(position: Column, k: int) -> Column:
+    """Channel k (0-255) of the colour map at a position 0-255."""
+    t, v = position / 255.0, F.lit(VIRIDIS[-1][k])
+    for c in reversed(VIRIDIS[:-1]):
+        v = v * t + c[k]
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v * 255)) + 0.5).cast("int")
 
 
 def with_position(pixels: DataFrame) -> DataFrame:
     """Adds v, the colour map position (0-255) nearest to the pixel's colour in steps of 8, and
-    dist, the distance of the true colour to that map colour."""
-    table = F.array(*[F.struct(F.lit(i).alias("v"), *[F.lit(x).alias(n) for n, x in zip("rgb", c)]) for i, c in enumerate(colour_map())])
+    dist, the distance of the true colour to that map colour.
+
+    The search over the map runs once per distinct quantised colour, at most 32^3 rows, which are
+    checkpointed and joined back.
+    """
+    ensure_checkpoint_dir(pixels.sparkSession)
     q = [F.floor(F.col(n) / 8).cast("int").alias(f"q{n}") for n in "rgb"]
-    colours = pixels.select(*q).distinct().withColumn("table", table)
 
-    def d2(t: Column) -> Column:
-        gaps = [F.col(f"q{n}") * 8 + 4 - t[n] for n in "rgb"]
-        return gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
+    def squared(x: Column) -> Column:
+        return x * x
+
+    def d2(i: Column) -> Column:
+        return sum((squared(F.col(f"q{n}") * 8 + 4 - map_channel(i, k)) for k, n in enumerate("rgb")), F.lit(0))
 
-    best = F.array_min(F.transform("table", lambda t: F.struct(d2(t).alias("d"), t["v"].alias("v"), t["r"].alias("mr"), t["g"].alias("mg"), t["b"].alias("mb"))))
-    found = colours.select("qr", "qg", "qb", best.alias("m")).select("qr", "qg", "qb", "m.v", "m.mr", "m.mg", "m.mb")
-    gaps = [F.col(n) - F.col(f"m{n}") for n in "rgb"]
-    return (pixels.select("*", *q).join(F.broadcast(found), ["qr", "qg", "qb"])               # at most 32^3 colours
-            .select("image", "y", "x", "v", F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]).alias("dist")))
+    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.struct(d2(i).alias("d"), i.alias("v"))))["v"]
+    found = pixels.select(*q).distinct().select("qr", "qg", "qb", best.alias("v")).checkpoint()
+    found = found.select("*", *[map_channel(F.col("v"), k).alias(f"m{n}") for k, n in enumerate("rgb")])
+    gap = sum((squared(F.col(n) - F.col(f"m{n}")) for n in "rgb"), F.lit(0))
+    return pixels.select("*", *q).join(F.broadcast(found), ["qr", "qg", "qb"]).select("image", "y", "x", "v", F.sqrt(gap).alias("dist"))
 
 
 def palette_levels(positions: DataFrame) -> DataFrame:

@@ -20,8 +20,16 @@ SELECT image, y, x, {_colour(0)} AS r, {_colour(1)} AS g, {_colour(2)} AS b FROM
     FROM (SELECT wafer_id, r, unnest(range(w)) AS c FROM (SELECT wafer_id, w, unnest(range(h)) AS r FROM v_grids)) g
     LEFT JOIN v_dies d ON d.wafer_id = g.wafer_id AND d.r = g.r AND d.c = g.c,
     (VALUES (0), (1), (2), (3)) a(i), (VALUES (0), (1), (2), (3)) b(j)))""")
-_MAP = ", ".join(f"({i}, {r}, {g}, {b})" for i, (r, g, b) in enumerate(X.colour_map()))
-cte("v_map", f"SELECT * FROM (VALUES {_MAP}) t(v, r, g, b)")
+
+
+def _channel(k: int) -> str:
+    v = f"CAST({X.VIRIDIS[-1][k]!r} AS DOUBLE)"
+    for c in reversed(X.VIRIDIS[:-1]):
+        v = f"({v} * (i / 255.0) + {c[k]!r})"
+    return f"CAST(floor(greatest(0.0, least(255.0, {v} * 255)) + 0.5) AS INT)"
+
+
+cte("v_map", f"SELECT i AS v, {_channel(0)} AS r, {_channel(1)} AS g, {_channel(2)} AS b FROM (SELECT CAST(unnest(range(256)) AS INT) AS i)")
 cte("v_lut", """
 SELECT qr, qg, qb, arg_min(v, (d, v)) AS v, arg_min(mr, (d, v)) AS mr, arg_min(mg, (d, v)) AS mg, arg_min(mb, (d, v)) AS mb
 FROM (SELECT qr, qg, qb, m.v, m.r AS mr, m.g AS mg, m.b AS mb, pow(qr * 8 + 4 - m.r, 2) + pow(qg * 8 + 4 - m.g, 2) + pow(qb * 8 + 4 - m.b, 2) AS d
