@@ -3,6 +3,7 @@
 from diegrid.plans import die_queries  # noqa: F401
 from diegrid.plans import duplicate_queries  # noqa: F401
 from diegrid.plans import feature_queries  # noqa: F401
+from diegrid.plans import flow_queries  # noqa: F401
 from diegrid.plans import metric_queries  # noqa: F401
 from diegrid.plans import pixel_queries  # noqa: F401
 from diegrid.plans import policy_queries  # noqa: F401

@@ -107,10 +107,15 @@ def member_preds(spark: SparkSession, sf: str, views: bool = False) -> DataFrame
 
 def process(spark: SparkSession, sf: str) -> DataFrame:
     """Process log, one row per wafer. Edge-Ring wafers are concentrated in chamber B and etched
-    longer, Scratch wafers ran on a worn pad, Center wafers follow Loc wafers of the same user."""
+    longer, Scratch wafers ran on a worn pad."""
+    return process_columns(table(spark, sf, "events"))
+
+
+def process_columns(events: DataFrame, *extra: str) -> DataFrame:
+    """The process log's columns of an events table or stream."""
     t, i, u = F.col("event_type"), F.col("event_id"), F.col("user_id")
-    return table(spark, sf, "events").select(
-        F.concat(F.lit("W"), i.cast("string")).alias("wafer_id"), i.alias("seq"), F.concat(F.lit("L"), (u % 7).cast("string")).alias("lot_id"),
+    return events.select(
+        *extra, F.concat(F.lit("W"), i.cast("string")).alias("wafer_id"), i.alias("seq"), F.concat(F.lit("L"), (u % 7).cast("string")).alias("lot_id"),
         F.when(t == "view", "None").when(t == "click", "Edge-Ring").when(t == "error", "Scratch")
         .when(t == "signup", "Center").otherwise("Loc").alias("class"),
         F.when((t == "click") & (i % 3 == 0), "B").otherwise(
