@@ -53,9 +53,19 @@ def dihedral_variants(cells: DataFrame) -> DataFrame:
     return _words(symmetric_cells(fingerprint_cells(cells)), ["wafer_id", "v"])
 
 
+def zone_counts(fp: DataFrame, rings: int = 9) -> DataFrame:
+    """Fails and passes per symmetry-invariant zone: ring round the centre x near the axes or the
+    diagonals. Corresponding counts bound the overlap of two maps under every symmetry."""
+    dy, dx = F.abs(2 * F.col("y") - (S - 1)), F.abs(2 * F.col("x") - (S - 1))
+    ring = F.least(F.floor(F.sqrt(dy * dy + dx * dx) * rings / (S * 1.1)), F.lit(rings - 1))
+    zone = (ring * 2 + F.when(F.least(dy, dx) * 12 >= F.greatest(dy, dx) * 5, 1).otherwise(0)).cast("int")
+    g = fp.select("wafer_id", "fail", "pass", zone.alias("z")).groupBy("wafer_id")
+    return g.agg(*[F.array(*[F.count_if(F.col(flag) & (F.col("z") == z)).cast("int") for z in range(2 * rings)]).alias(f"z_{flag}") for flag in ("fail", "pass")])
+
+
 def masks(cells: DataFrame) -> DataFrame:
     """One row per wafer that has both fails and passes: the eight variants as arrays of words,
-    the two set sizes, and the canonical form (smallest variant)."""
+    the two set sizes, the zone counts and the canonical form (smallest variant)."""
     w = dihedral_variants(cells).groupBy("wafer_id", "v").agg(
         F.map_from_entries(F.collect_list(F.struct("y", F.struct("fail_word", "pass_word")))).alias("m"),
         F.sum(F.bit_count("fail_word")).alias("nf"), F.sum(F.bit_count("pass_word")).alias("np"))
@@ -66,7 +76,7 @@ def masks(cells: DataFrame) -> DataFrame:
     g = w.where("nf > 0 AND np > 0").select("wafer_id", "v", "nf", "np", rows("fail_word").alias("fail"), rows("pass_word").alias("pass"))
     return g.groupBy("wafer_id").agg(F.array_sort(F.collect_list(F.struct("v", "fail", "pass"))).alias("variants"),
                                      F.max("nf").alias("nf"), F.max("np").alias("np"),
-                                     F.min(F.struct("fail", "pass")).alias("canon"))
+                                     F.min(F.struct("fail", "pass")).alias("canon")).join(zone_counts(fingerprint_cells(cells)), "wafer_id")
 
 
 def orbits(mask_table: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +148,15 @@ def near_duplicates(cells: DataFrame, threshold: float = 0.8) -> tuple[DataFrame
     ensure_checkpoint_dir(cells.sparkSession)
     members, reps = orbits(masks(cells).checkpoint())
     one = reps.select(F.col("wafer_id").alias("b"), F.col("variants")[0]["fail"].alias("fail"), F.col("variants")[0]["pass"].alias("pass"))
-    pairs = (candidate_pairs(reps, threshold).join(reps.select(F.col("wafer_id").alias("a"), "variants"), "a").join(one, "b")
+    zones = [reps.select(F.col("wafer_id").alias(k), F.col("z_fail").alias(f"{k}_fail"), F.col("z_pass").alias(f"{k}_pass")) for k in ("a", "b")]
+
+    def reach(flag: str) -> Column:                     # upper bound of the IoU from zone counts
+        tally = lambda pick: F.aggregate(F.zip_with(f"a_{flag}", f"b_{flag}", pick), F.lit(0), lambda t, x: t + x)
+        return tally(lambda x, y: F.least(x, y)) >= threshold * tally(lambda x, y: F.greatest(x, y))
+
+    # the short zone vectors meet first: the masks, 4 KB per map, only travel for pairs that pass
+    likely = candidate_pairs(reps, threshold).join(zones[0], "a").join(zones[1], "b").where(reach("fail") & reach("pass")).select("a", "b")
+    pairs = (likely.join(reps.select(F.col("wafer_id").alias("a"), "variants"), "a").join(one, "b")
              .select("a", "b", _similarity(F.col("variants"), F.col("fail"), F.col("pass")).alias("sim")).where(F.col("sim") >= threshold))
     return pairs.checkpoint(), members
 

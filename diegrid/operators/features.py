@@ -14,6 +14,7 @@ from diegrid.constants import FEATURES, INPUT_SIZE
 from diegrid.functions.numeric import ratio
 from diegrid.operators.components import label_cells
 from diegrid.operators.dies import BIN_EPS, morans_i
+from diegrid.sources.tables import ensure_checkpoint_dir
 
 PI = 3.141592653589793
 
@@ -212,7 +213,10 @@ def moran_feature(cells: DataFrame) -> DataFrame:
 
 
 def feature_matrix(cells: DataFrame) -> DataFrame:
-    """All 35 features, one row per wafer, in the fixed order."""
+    """All 35 features, one row per wafer, in the fixed order. Seven branches read the resampled
+    grid, so it is computed once and checkpointed to the shared folder."""
+    ensure_checkpoint_dir(cells.sparkSession)
+    cells = cells.checkpoint()
     on, clusters = on_cells(cells), cluster_table(cells)
     parts = [density_features(on).drop("area"), edge_features(on), cluster_features(cells, clusters),
              salient_features(cells, clusters), solidity_feature(cells), radon_feature(on), moran_feature(cells)]
