@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from diegrid.operators.dies import STRIDE
+from diegrid.operators.dies import STRIDE, by_wafer
 from diegrid.sources.tables import ensure_checkpoint_dir
 
 # forward half of each neighbourhood: every touching pair is found once
@@ -71,7 +71,7 @@ def label_cells(cells: DataFrame, keys: list[str], connectivity: int = 8) -> Dat
 
     cells = cells.select(*keys, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema)
-    return (cells.repartition(*keys).sortWithinPartitions(*keys, "r", "c")
+    return (by_wafer(cells, *keys).sortWithinPartitions(*keys, "r", "c")
             .mapInPandas(run, f"{fields}, comp bigint"))
 
 
