@@ -1,4 +1,7 @@
-"""Every registered query against its SQL statement on the smallest tables."""
+"""Every registered query against its SQL statement on the smallest tables.
+
+`consumables` needs more rows: its statement uses the normal limit, which holds above 1000 wafers.
+"""
 
 import compare
 import pytest
@@ -8,11 +11,10 @@ from diegrid.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
-def con():
-    return compare.connect(SF)
+LARGER = {"consumables": "/root/testdata/sf0.01"}
 
 
 @pytest.mark.parametrize("key", sorted(catalog.QUERIES))
-def test_query(spark, con, key):
-    assert compare.difference(spark, con, catalog.QUERIES[key], catalog.SQL.get(key), SF) is None
+def test_query(spark, key):
+    sf = LARGER.get(key, SF)
+    assert compare.difference(spark, compare.connect(sf), catalog.QUERIES[key], catalog.SQL.get(key), sf) is None
