@@ -66,7 +66,9 @@ class Automaton:
                 while s > 0:
                     self.places[s].setdefault(t, []).append(i + 1)
                     s = self.link[s]
-        self.phrases = [[(t, len(self.texts[t][1])) for t in p if self.texts[t][2] and len(self.texts[t][1]) in p[t]] for p in self.places]
+        sizes = [len(text) for _, text, _ in self.texts]
+        self.phrases = [[(t, sizes[t]) for t in p if self.texts[t][2] and sizes[t] in p[t] and self.length[self.link[s]] < sizes[t] <= self.length[s]]
+                        for s, p in enumerate(self.places)]
 
     def _state(self, moves: dict[int, int], link: int, length: int) -> int:
         self.next.append(moves)

@@ -134,6 +134,9 @@ def components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, kind
 
     first = digest.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     first = written(first, "first")
+    members = written(digest.select("id", "n", "h1", "h2").join(first, ["h1", "h2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "members")
+    several = members.where("rep is not null").groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top")
+    same = members.join(several, "id").where("rep > b").select(F.col("rep").alias("a"), "b").distinct()
     signs = _sets(docs, width, kind, _signatures(num, den, heavy), "id bigint, n bigint, sigs array<bigint>")
     index = signs.join(first.select(F.col("rep").alias("id"), "n"), ["id", "n"], "left_semi").select("id", "n", F.explode("sigs").alias("sig"))
     index = written(index, "index")
@@ -147,7 +150,7 @@ def components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, kind
     large = shared.where(F.col("c") > BUCKET)
     pivots = large.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("b")).where("a <> b")
     pairs = written(_ordered(few.where(_near(num, den))).union(_ordered(pivots)).distinct(), "pairs")
-    links = written(verify(docs, pairs, width, num, den, kind), "links")
+    links = written(verify(docs, pairs, width, num, den, kind).union(same), "links")
     roots = connected_nodes(links)
 
     if not large.isEmpty():
@@ -161,6 +164,5 @@ def components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, kind
             links = links.union(verify(docs, rest, width, num, den, kind))
             roots = connected_nodes(links)
 
-    classes = first.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("root"))
-    out = digest.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
-    return out.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("root"))
+    out = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    return out.select("id", "n", F.coalesce("root", "rep", "id").alias("root"))

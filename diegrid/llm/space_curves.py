@@ -168,7 +168,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVE
     spans = ahead.select("curve", "part", F.col("ahead").alias("before"), (F.col("ahead") + F.col("count")).alias("upto"))
     asked = (asked.join(F.broadcast(spans), "curve").where("before < high and upto >= low")
              .withColumn("block", F.pmod(F.xxhash64("query"), F.lit(n_blocks))).join(queries, "query").select("curve", "part", "block", "query", "low", "high", "v"))
-    held = (ranked.join(index.select("row", "v"), "row").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long"))
+    asked = written(asked, "asked")
+    held = (ranked.join(index.select("row", "v"), "row").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
             .select("curve", "part", "block", "row", "place", "v"))
     met = held.groupBy("curve", "part", "block").cogroup(asked.groupBy("curve", "part", "block")).applyInArrow(_meet(k), "query long, row long").distinct()
 

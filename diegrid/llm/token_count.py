@@ -69,7 +69,7 @@ def _huge(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
         return written(_encode_chunks(cut.repartition("row", "k"), path, chunk), "chunks")
 
     count = F.expr(f"int((chars + {chunk} - 1) div {chunk})")
-    keys = docs.select("row", F.explode(F.sequence(F.lit(0), count - 1)).cast("long").alias("k")).withColumn("reach", F.lit(overlap).cast("long"))
+    keys = docs.select("row", F.explode(F.sequence(F.lit(0).cast("long"), (count - 1).cast("long"))).alias("k")).withColumn("reach", F.lit(overlap).cast("long"))
     done, whole = encoded(keys), []
     while True:
         following = done.select("row", (F.col("k") - 1).alias("k"), F.col("head").alias("next_head"))

@@ -66,7 +66,7 @@ def classes(docs, width, num, den):
             if a < b and any(x and y and den * len(x & y) >= num * len(x | y) for x in sets[a] for y in sets[b]):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
-    return sorted(((d, len(shingles(t, width)), None if d is None else find(d)) for d, t in docs), key=repr)
+    return sorted(((d, len(shingles(t, width)), None if d is None else find(d) if shingles(t, width) else d) for d, t in docs), key=repr)
 
 
 @pytest.mark.parametrize("width, num, den", [(4, 17, 20), (5, 4, 5), (3, 1, 2)])
