@@ -12,11 +12,13 @@ indexed instead of single ones:
 * at most n - ceil(t * n) tokens of a set of n are not common, so all of this happens within the first
   D + 2 + n - ceil(t * n) tokens.
 
+Where the first n - ceil(t * n) + l tokens of a set are all rare, it shares the l first common tokens with any
+set that it links with, and candidates have to share that many entries.
+
 No link is lost for any choice of the frequent class, which only steers the cost. Candidates are
-verified on whole sets. Equal sets collapse to one before the index is built. In an index bucket of
-more than `BUCKET` sets, members are first compared with three pivots, and after components are
-known with those members only that are still in other components, so a large group of near copies
-costs a few comparisons for each member and bucket, and not all pairs.
+verified on whole sets. Equal sets collapse to one before the index is built. Index buckets of up to
+`BUCKET` sets make pairs. The sets of larger buckets are compared in blocks by matrix products, of which only links
+leave a task, so no pair of a large group of near copies is ever a row.
 """
 
 from __future__ import annotations
@@ -32,15 +34,24 @@ from diegrid.llm.store import written
 from diegrid.llm.words import SPACES, mix, shingle_sets
 from diegrid.operators.components import connected_nodes
 
-BUCKET = 16              # all pairs are compared in buckets up to this size
+BUCKET = 32              # all pairs are compared in buckets up to this size
 HEAVY_LIST = 1 << 20     # most tokens of the frequent class, which is broadcast (8 MB)
-HEAVY_LEAST = 64         # least number of documents of a frequent token
+HEAVY_LEAST = 32         # a frequent token is in the prefixes of more documents than that
+BLOCK = 1024             # sets of a block
+ORDERS = 8               # rounds that look for frequent tokens
+SHARE = 24               # 1 + n // SHARE common tokens are asked for
+IDS = 1 << 20            # most ids that are broadcast (8 MB) to read their texts; more are joined by a shuffle
 
 
 def _ceil_share(n, num: int, den: int):
     return (n * num + den - 1) // den
 
 
+def _asked(n: int, num: int, den: int) -> int:
+    """Entries that a linking set shares at least, where its prefix is rare."""
+    return min(1 + n // SHARE, _ceil_share(n, num, den))
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
@@ -58,36 +69,53 @@ def _sets(docs: DataFrame, width: int, kind: np.ndarray, emit, schema: str) -> D
     return docs.mapInArrow(run, schema)
 
 
-def _digest(num: int, den: int):
-    """Size, 128-bit identity and the tokens that count towards the frequent class."""
+def _digest():
+    """Size and 128-bit identity."""
     def emit(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         n = np.array([len(s) for s in sets], np.int64)
         h1 = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(1))) if len(s) else 0 for s in sets], np.uint64)
         h2 = np.array([np.add.reduce(mix(s ^ np.uint64(0x5DEECE66D))) if len(s) else 0 for s in sets], np.uint64)
-        low = [s[:int((m - _ceil_share(m, num, den)) * 4 // 3 + 1)] for s, m in zip(sets, n)]
-        return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), _lists(low)],
-                                          ["id", "n", "h1", "h2", "low"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["id", "n", "h1", "h2"])
+    return emit
+
+
+def _frequent(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    return common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
+
+
+def _prefixes(num: int, den: int, known):
+    """Tokens of the rare prefixes under the frequent class so far that were not in those of the class before it."""
+    def one(s: np.ndarray) -> np.ndarray:
+        size, (before, now) = len(s) - _ceil_share(len(s), num, den) + _asked(len(s), num, den), known.value
+        if before is None:
+            return s[:size]
+        frequent = _frequent(s, now)
+        seen = s[~_frequent(s, before)][:2 * size if len(before) else size]       # looks further ahead than the prefix: fewer rounds
+        return np.setdiff1d(s[~frequent][:2 * size], seen, assume_unique=True) if frequent.any() else s[:0]
+
+    def emit(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *map(one, sets)]).view(np.int64))], ["token"])
     return emit
 
 
 def _signatures(num: int, den: int, heavy):
     """Index entries of every set: single rare tokens, or neighbouring pairs where the prefix is frequent."""
-    def one(s: np.ndarray) -> np.ndarray:
+    def one(s: np.ndarray) -> tuple[bool, np.ndarray]:
         n, common = len(s), heavy.value
         spread = n * (den - num) // num                                     # D: 0 means that only equal sets link
         if not spread:
-            return np.zeros(0, np.uint64)
-        frequent = np.zeros(n, bool)
-        if len(common):
-            frequent = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+            return True, np.zeros(0, np.uint64)
+        frequent = _frequent(s, common)
         light, free = s[~frequent], n - _ceil_share(n, num, den)
+        rare = light[:free + _asked(n, num, den)]
         if len(light) > free:
-            return light[:free + 1]
+            return len(rare) == free + _asked(n, num, den), rare
         order = np.concatenate([light, s[frequent]])[:spread + 2 + free]
-        return np.concatenate([light, mix(order[:-1] * np.uint64(3) + mix(order[1:]))])
+        return False, np.concatenate([light, mix(order[:-1] * np.uint64(3) + mix(order[1:]))])
 
     def emit(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), _lists([one(s) for s in sets])], ["id", "n", "sigs"])
+        pure, sigs = zip(*map(one, sets)) if sets else ((), ())
+        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(pure, pa.bool_()), _lists(list(sigs))], ["id", "n", "pure", "sigs"])
     return emit
 
 
@@ -104,16 +132,81 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verify(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int, kind: np.ndarray) -> DataFrame:
-    """pairs(a, b) of ids whose whole sets reach num / den; the sets are read for these ids only."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-    sets = written(_sets(docs.join(ids, "id", "left_semi"), width, kind, _whole, "id bigint, tokens array<bigint>"), "sets")
+def _sets_of(docs: DataFrame, ids: DataFrame, width: int, kind: np.ndarray) -> DataFrame:
+    """The whole sets of these ids."""
+    ids = written(ids.distinct(), "ids")
+    wanted = F.broadcast(ids) if ids.count() <= IDS else ids
+    return written(_sets(docs.join(wanted, "id", "left_semi"), width, kind, _whole, "id bigint, tokens array<bigint>"), "sets")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs(a, b) of ids whose whole sets reach num / den."""
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
             .select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"), (F.size("ta") + F.size("tb")).cast("long").alias("total")))
     return both.where(F.col("common") * den >= (F.col("total") - F.col("common")) * num).select("a", "b").distinct()
 
 
+def _enough(entries, num: int, den: int):
+    """Whether a pair of sizes na, nb with rare prefixes pa, pb shares as many entries as a link has to."""
+    least = F.least(F.expr(f"1 + least(na, nb) div {SHARE}"), F.expr(f"(least(na, nb) * {num} + {den - 1}) div {den}"))
+    return (entries >= least) | ~(F.col("pa") | F.col("pb"))
+
+
+def _met(rows: DataFrame, on: str) -> DataFrame:
+    """Both members' columns for all pairs a < b of one list of members."""
+    x = rows.select(F.explode(on).alias("x"), on).select("x", F.explode(on).alias("y")).where("x.id < y.id")
+    return x.select(*[F.col(f"{m}.{c}").alias(name) for m, c, name in (("x", "id", "a"), ("y", "id", "b"), ("x", "n", "na"), ("y", "n", "nb"), ("x", "pure", "pa"), ("y", "pure", "pb"))])
+
+
+def _block_links(num: int, den: int):
+    """Links between two blocks of sets, or within one: common tokens of all pairs as products of incidence matrices."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        lo, hi = key[1].as_py(), key[2].as_py()
+        tokens = table["tokens"].combine_chunks()
+        ids, block = table["id"].to_numpy(), table["block"].to_numpy()
+        sizes = tokens.value_lengths().to_numpy().astype(np.int64)
+        _, column, times = np.unique(tokens.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        order = np.argsort(column, kind="stable")
+        order = order[times[column[order]] > 1]
+        column, row = column[order], row[order]
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        place = np.zeros(len(ids), np.int64)
+        place[left] = np.arange(len(left))
+        place[right] = np.arange(len(right))
+        common = np.zeros((len(left), len(right)), np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+            cut = slice(*np.searchsorted(column, [first, first + 8192]))
+            if cut.stop > cut.start:
+                both = []
+                for side, number in ((left, lo), (right, hi)):
+                    m, at = np.zeros((len(side), 8192), np.float32), block[row[cut]] == number
+                    m[place[row[cut][at]], column[cut][at] - first] = 1
+                    both.append(m)
+                common += both[0] @ both[1].T
+        union = sizes[left][:, None] + sizes[right][None, :] - common
+        x, y = np.nonzero((common * den >= union * num) & (ids[left][:, None] != ids[right][None, :]))
+        return pa.table({"a": ids[left][x], "b": ids[right][y]})
+    return run
+
+
+def _within_bundles(large: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between sets that share a large bucket. large(sig, id).
+
+    Buckets that share members make a bundle. Its sets are dealt to blocks of about `BLOCK`, and each two blocks meet in one task,
+    so a pair is compared once, however many buckets it shares, and only links leave the task.
+    """
+    low = large.groupBy("sig").agg(F.min("id").alias("b"))
+    bundles = written(connected_nodes(large.join(low, "sig").select(F.col("id").alias("a"), "b").where("a <> b").distinct()), "bundles")
+    blocks = bundles.groupBy("root").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
+    placed = bundles.withColumnRenamed("node", "id").join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = placed.select("root", "id", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")).join(sets, "id")
+    dealt = dealt.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "block", "tokens")
+    found = dealt.groupBy("root", "lo", "hi").applyInArrow(_block_links(num, den), "a bigint, b bigint")
+    return _ordered(found)
+
+
 def components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, kind: np.ndarray = SPACES) -> DataFrame:
     """docs(id BIGINT, text) -> one row for each row of docs: id, n (distinct shingles), root.
 
@@ -124,45 +217,40 @@ def components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, kind
     """
     spark = docs.sparkSession
     docs = docs.select("id", "text")
-    digest = written(_sets(docs, width, kind, _digest(num, den), "id bigint, n bigint, h1 bigint, h2 bigint, low array<bigint>"), "digest")
-
-    counted = digest.select(F.explode("low").alias("token"))
-    rows = digest.agg(F.sum(F.size("low"))).first()[0] or 0
-    least = max(HEAVY_LEAST, rows // HEAVY_LIST)                             # at most HEAVY_LIST tokens can be above
-    frequent = counted.groupBy("token").count().where(F.col("count") > least).select("token").toArrow()
-    heavy = spark.sparkContext.broadcast(np.sort(np.asarray(frequent.column(0), np.int64).view(np.uint64)))
+    digest = written(_sets(docs, width, kind, _digest(), "id bigint, n bigint, h1 bigint, h2 bigint"), "digest")
+
+    part = F.expr(f"n - (n * {num} + {den - 1}) div {den} + least(1 + n div {SHARE}, (n * {num} + {den - 1}) div {den})")
+    least = max(HEAVY_LEAST, ORDERS * (digest.agg(F.sum(part)).first()[0] or 0) // HEAVY_LIST)     # at most HEAVY_LIST tokens can be above
+    before, common = None, np.zeros(0, np.uint64)
+    for _ in range(ORDERS):                                     # as frequent tokens go to the end, others come into the prefixes
+        known = spark.sparkContext.broadcast((before, common))
+        counted = _sets(docs, width, kind, _prefixes(num, den, known), "token bigint").groupBy("token").count()
+        more = counted.where(F.col("count") > least).select("token").toArrow()
+        if not more.num_rows:
+            break
+        before, common = common, np.union1d(common, np.asarray(more.column(0), np.int64).view(np.uint64))
+    heavy = spark.sparkContext.broadcast(common)
 
     first = digest.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     first = written(first, "first")
     members = written(digest.select("id", "n", "h1", "h2").join(first, ["h1", "h2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "members")
     several = members.where("rep is not null").groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top")
     same = members.join(several, "id").where("rep > b").select(F.col("rep").alias("a"), "b").distinct()
-    signs = _sets(docs, width, kind, _signatures(num, den, heavy), "id bigint, n bigint, sigs array<bigint>")
-    index = signs.join(first.select(F.col("rep").alias("id"), "n"), ["id", "n"], "left_semi").select("id", "n", F.explode("sigs").alias("sig"))
-    index = written(index, "index")
-    held = index.groupBy("sig").agg(F.count("*").alias("c"), F.min("id").alias("p1"), F.max("id").alias("p2"),
-                                    F.min(F.struct(F.xxhash64("id").alias("x"), F.col("id").alias("id"))).alias("p3")).where("c > 1")
-    shared = written(index.join(held.select("sig", "c", "p1", "p2", F.col("p3.id").alias("p3")), "sig"), "shared")
-
-    few = (shared.where(F.col("c") <= BUCKET).groupBy("sig").agg(F.collect_list(F.struct("id", "n")).alias("m"))
-           .select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.id < y.id")
-           .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")))
+    signs = _sets(docs, width, kind, _signatures(num, den, heavy), "id bigint, n bigint, pure boolean, sigs array<bigint>")
+    signs = written(signs.join(first.select(F.col("rep").alias("id"), "n"), ["id", "n"], "left_semi"), "signs")
+    index = signs.select("id", "n", "pure", F.explode("sigs").alias("sig"))
+    shared = written(index.join(index.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig"), "shared")
     large = shared.where(F.col("c") > BUCKET)
-    pivots = large.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("p1", "p2", "p3"))).alias("b")).where("a <> b")
-    pairs = written(_ordered(few.where(_near(num, den))).union(_ordered(pivots)).distinct(), "pairs")
-    links = written(verify(docs, pairs, width, num, den, kind).union(same), "links")
+    crowded = written(large.groupBy("id").agg(F.count("*").alias("entries")), "crowded")
+
+    few = _met(shared.where(F.col("c") <= BUCKET).groupBy("sig").agg(F.collect_list(F.struct("id", "n", "pure")).alias("m")), "m").where(_near(num, den))
+    few = written(few.groupBy("a", "b", "na", "nb", "pa", "pb").agg(F.count("*").alias("entries")), "few")
+    more = few.join(crowded.select(F.col("id").alias("a"), F.col("entries").alias("ma")), "a", "left").join(crowded.select(F.col("id").alias("b"), F.col("entries").alias("mb")), "b", "left")
+    likely = more.where(_enough(F.col("entries") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))), num, den))
+    pairs = written(likely.select("a", "b"), "pairs")
+    sets = _sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowded.select("id")), width, kind)
+    links = written(verify(pairs, sets, num, den).union(_within_bundles(large, sets, num, den)).union(same).distinct(), "links")
     roots = connected_nodes(links)
 
-    if not large.isEmpty():
-        placed = large.select("sig", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-        open_ = written(placed.join(mixed, "sig"), "open")
-        x, y = (open_.select("sig", F.col("id").alias(i), F.col("n").alias("n" + i), F.col("root").alias("r" + i)) for i in "ab")
-        rest = _ordered(x.join(y, "sig").where((F.col("ra") < F.col("rb")) & _near(num, den)))
-        rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            links = links.union(verify(docs, rest, width, num, den, kind))
-            roots = connected_nodes(links)
-
     out = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("id", "n", F.coalesce("root", "rep", "id").alias("root"))

@@ -79,6 +79,8 @@ def test_ngram_join(spark, small, odd, width, num, den):
 def test_ngram_join_large_groups(spark, monkeypatch):
     """Near copies and shared passages beyond every bucket size, so that frequent tokens, pairs and pivots act."""
     monkeypatch.setattr(ngram_join, "BUCKET", 3)
+    monkeypatch.setattr(ngram_join, "IDS", 5)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
     monkeypatch.setattr(ngram_join, "HEAVY_LEAST", 4)
     random = np.random.default_rng(3)
     base = [f"b{i}" for i in range(120)]
