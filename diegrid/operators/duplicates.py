@@ -208,10 +208,10 @@ def leakage_groups(images: DataFrame, pairs: DataFrame, members: DataFrame) -> D
     return grouped.join(dense_ids(grouped, "root", "grp"), "root").select("wafer_id", "grp")
 
 
-def label_conflicts(images: DataFrame, top: int = 20) -> DataFrame:
-    """First `top` sources, by name, that carry more than one label."""
+def label_conflicts(images: DataFrame) -> DataFrame:
+    """All sources that carry more than one label."""
     return (images.groupBy("source").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-            .select("source").orderBy("source").limit(top))
+            .select("source"))
 
 
 def leakage_audit(images: DataFrame, groups: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -115,9 +115,9 @@ def youden_thresholds(preds: DataFrame, by: list[str] = []) -> DataFrame:
     return g.select(*keys, F.when((F.col("P") == 0) | (F.col("N") == 0), 0.5).when(F.col("best.j") <= 0, 1.0).otherwise(t).alias("threshold"))
 
 
-def pr_curve(preds: DataFrame, points: int = 60) -> DataFrame:
-    """Micro-averaged precision-recall curve over all (row, class) pairs, thinned to `points`,
-    with the average precision of the full curve."""
+def pr_curve(preds: DataFrame) -> DataFrame:
+    """Micro-averaged precision-recall curve over all (row, class) pairs, one point
+    for each distinct score, with the average precision of the full curve."""
     flat = score_table(preds).groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.lit(1).alias("one"))
     r = running_totals(flat, [], "score", ["pos", "neg", "one"], descending=True)
     c = r.select((F.col("all_one") - F.col("run_one")).alias("pos_asc"), F.col("all_one").alias("n"),
@@ -125,9 +125,8 @@ def pr_curve(preds: DataFrame, points: int = 60) -> DataFrame:
                  ratio(F.col("run_pos"), F.col("all_pos")).alias("recall"), ratio(F.col("pos"), F.col("all_pos")).alias("gain"))
     ap = c.agg(F.sum(F.col("gain") * F.col("precision"))).scalar()
     # ascending thresholds, then the end point (recall 0, precision 1) at position n
-    keep = F.floor(F.ceil(F.col("pos_asc") * (points - 1) / F.col("n") - 1e-9) * F.col("n") / (points - 1) + 1e-9) == F.col("pos_asc")
     end = c.groupBy().agg(F.max("n").alias("n")).select(F.col("n").alias("pos_asc"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    return c.where(keep).select("pos_asc", "precision", "recall").union(end).select("pos_asc", "precision", "recall", ap.alias("average_precision"))
+    return c.select("pos_asc", "precision", "recall").union(end).select("pos_asc", "precision", "recall", ap.alias("average_precision"))
 
 
 def group_draws(groups: DataFrame, n_boot: int, seed: int) -> DataFrame:

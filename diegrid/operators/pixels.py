@@ -102,13 +102,12 @@ def grid_pitch(states: DataFrame, lo: int = 12, hi: int = 160, min_boundaries: i
     """
     size = image_sizes(states)
 
-    def changes(axis: str, pos: str, line: str, length: str, across: str) -> DataFrame:
+    def changes(axis: str, pos: str, line: str, length: str) -> DataFrame:
         prev = F.lag("state").over(Window.partitionBy("image", line).orderBy(pos))
         d = states.select("image", pos, line, "state", prev.alias("prev")).where("prev <> state").join(size, "image")
-        return (d.where(F.col(line) % F.greatest(F.lit(1), F.floor(F.col(across) / 160)) == 0)
-                .groupBy("image", F.lit(axis).alias("axis"), F.col(pos).alias("pos"), F.col(length).alias("size")).agg(F.count("*").alias("n")))
+        return (d.groupBy("image", F.lit(axis).alias("axis"), F.col(pos).alias("pos"), F.col(length).alias("size")).agg(F.count("*").alias("n")))
 
-    moved = changes("rows", "y", "x", "h", "w").union(changes("cols", "x", "y", "w", "h"))
+    moved = changes("rows", "y", "x", "h").union(changes("cols", "x", "y", "w"))
     k = moved.select("*", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("k"))
     phase = 6.283185307179586 * F.col("k") * F.col("pos") / F.col("size")
     g = k.groupBy("image", "axis", "k").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.cos(phase)).alias("c"), F.sum(F.col("n") * F.sin(phase)).alias("s"))
@@ -150,11 +149,9 @@ def audit_agreement(agreement: DataFrame) -> DataFrame:
     return exact_quantiles(agreement, [], "agreement", [0.0, 0.01, 0.5]).toDF("min", "p01", "median")
 
 
-def looks_rendered(positions: DataFrame, sample: int = 20000, near: float = 40.0) -> DataFrame:
-    """More than 90 % of evenly spaced sample pixels within `near` of a map colour."""
-    d = positions.join(image_sizes(positions), "image")
-    step = F.greatest(F.lit(1), F.floor(F.col("h").cast("long") * F.col("w") / sample))
-    g = d.where((F.col("y").cast("long") * F.col("w") + F.col("x")) % step == 0).groupBy("image").agg(F.avg((F.col("dist") < near).cast("int")).alias("share"))
+def looks_rendered(positions: DataFrame, near: float = 40.0) -> DataFrame:
+    """More than 90 % of all pixels within `near` of a map colour."""
+    g = positions.groupBy("image").agg(F.avg((F.col("dist") < near).cast("int")).alias("share"))
     return g.select("image", "share", (F.col("share") > 0.9).alias("rendered"))
 
 
@@ -181,12 +178,12 @@ def die_to_die(die_px: DataFrame, k_mad: float = 6.0, min_affected: float = 0.05
     return g.select("*", F.when(F.col("affected") >= min_affected, 2).otherwise(1).alias("state"))
 
 
-def blob_shapes(blobs: DataFrame, nm_per_px: float = 5.0, min_px: float = 20.0, top: int = 10) -> DataFrame:
+def blob_shapes(blobs: DataFrame, nm_per_px: float = 5.0, min_px: float = 20.0) -> DataFrame:
     """blobs(image, blob, area_px, perimeter, length, width) -> size, shape numbers and a hint for
-    the `top` largest per image."""
+    each, ranked by size within its image."""
     w = Window.partitionBy("image").orderBy(F.desc("area_px"), "blob")
     circ = 4 * 3.141592653589793 * F.col("area_px") / (F.col("perimeter") * F.col("perimeter") + 1e-9)
     elong = F.greatest("length", "width") / (F.least("length", "width") + 1e-9)
     hint = F.when(elong > 4, "scratch").when(circ > 0.7, "particle").otherwise("residue/irregular")
-    return (blobs.where(F.col("area_px") >= min_px).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return (blobs.where(F.col("area_px") >= min_px).withColumn("rank", F.row_number().over(w))
             .select("image", "rank", (F.col("area_px") * (nm_per_px / 1000) ** 2).alias("area_um2"), circ.alias("circularity"), elong.alias("elongation"), hint.alias("shape_hint")))

@@ -154,11 +154,11 @@ def labelled_regions(pattern: DataFrame) -> DataFrame:
     return label_cells(pattern, ["wafer_id"])
 
 
-def pattern_regions(dies: DataFrame, pattern: DataFrame, top: int = 20, **geometry) -> DataFrame:
-    """The `top` largest regions of each wafer's pattern."""
+def pattern_regions(dies: DataFrame, pattern: DataFrame, **geometry) -> DataFrame:
+    """All regions of each wafer's pattern, numbered from the largest."""
     w = Window.partitionBy("wafer_id").orderBy(F.desc("size"), "comp")
     g = (component_sizes(labelled_regions(pattern), ["wafer_id"])
-         .withColumn("region", F.row_number().over(w)).where(F.col("region") <= top)
+         .withColumn("region", F.row_number().over(w))
          .join(die_units(dies, **geometry), "wafer_id"))
     r, c = F.col("sum_r") / F.col("size"), F.col("sum_c") / F.col("size")
     x, y = to_mm(r, c)
@@ -216,8 +216,8 @@ def _outer_ring(sides: np.ndarray) -> np.ndarray:
             return np.array(corners, float)
 
 
-def region_polygons(dies: DataFrame, pattern: DataFrame, top: int = 20, tolerance: float = 0.5, **geometry) -> DataFrame:
-    """Outline of each of the `top` regions with vertices on die corners, simplified within
+def region_polygons(dies: DataFrame, pattern: DataFrame, tolerance: float = 0.5, **geometry) -> DataFrame:
+    """Outline of every region with vertices on die corners, simplified within
     `tolerance` dies. Boundary sides come from RANGE frames; only the ordering of one bounded
     region's sides into a ring runs in Python, on Arrow batches of regions."""
     w = Window.partitionBy("wafer_id", "comp").orderBy("code")
@@ -225,7 +225,7 @@ def region_polygons(dies: DataFrame, pattern: DataFrame, top: int = 20, toleranc
     def bare(offset: int) -> Column:
         return F.coalesce(F.count("*").over(w.rangeBetween(offset, offset)), F.lit(0)) == 0
 
-    regions = pattern_regions(dies, pattern, top, **geometry).select("wafer_id", "region", "comp")
+    regions = pattern_regions(dies, pattern, **geometry).select("wafer_id", "region", "comp")
     sides = (labelled_regions(pattern).withColumn("code", cell_code().cast("long"))
              .select("wafer_id", "comp", "code", F.array(bare(-STRIDE), bare(1), bare(STRIDE), bare(-1)).alias("open"))
              .select("wafer_id", "comp", "code", F.posexplode("open").alias("way", "is_open")).where("is_open")
@@ -293,21 +293,20 @@ def density_heatmap(dies: DataFrame, sigma: float = 1.5) -> DataFrame:
     return on.select("wafer_id", "r", "c", (F.col("v") / (peak + 1e-9)).alias("heat"))
 
 
-def failed_die_list(dies: DataFrame, pattern: DataFrame, limit: int = 3000, affected: DataFrame | None = None,
+def failed_die_list(dies: DataFrame, pattern: DataFrame, affected: DataFrame | None = None,
                     **geometry) -> DataFrame:
-    """The first `limit` failed dies of each wafer in row-major order, with a truncation flag."""
+    """All failed dies of each wafer, ranked in row-major order."""
     w = Window.partitionBy("wafer_id")
     x, y = to_mm(F.col("r"), F.col("c"))
     f = (dies.where(is_fail())
-         .withColumn("rank", F.row_number().over(w.orderBy("r", "c"))).withColumn("n", F.count("*").over(w))
-         .where(F.col("rank") <= limit)
+         .withColumn("rank", F.row_number().over(w.orderBy("r", "c")))
          .join(die_units(dies, **geometry), "wafer_id")
          .join(pattern.select("wafer_id", "r", "c", F.lit(True).alias("hit")), ["wafer_id", "r", "c"], "left"))
     if affected is not None:
         f = f.join(affected, ["wafer_id", "r", "c"], "left")
     extra = [(100 * F.col("affected")).alias("affected_pct")] if affected is not None else []
     return f.select("wafer_id", "r", "c", x.alias("x_mm"), y.alias("y_mm"),
-                    F.coalesce("hit", F.lit(False)).alias("in_pattern"), (F.col("n") > limit).alias("truncated"), *extra)
+                    F.coalesce("hit", F.lit(False)).alias("in_pattern"), "rank", *extra)
 
 
 def batch_pool(dies: DataFrame, pattern: DataFrame, batches: DataFrame) -> DataFrame:

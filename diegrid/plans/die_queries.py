@@ -288,7 +288,7 @@ def _(spark, sf):
 SELECT wafer_id, CAST(region AS INT) AS region, size AS dies, comp, {R('size * dw * dh')} AS area_mm2,
        {R('sr / size')} AS row_mean, {R('sc / size')} AS col_mean,
        {R('(sc / size - cx) * dw')} AS x_mm, {R('(cy - sr / size) * dh')} AS y_mm
-FROM v_regions JOIN v_ext USING (wafer_id) WHERE region <= 20""")
+FROM v_regions JOIN v_ext USING (wafer_id)""")
 def _(spark, sf):
     return D.rounded(Q.pattern_regions(V.dies(spark, sf), pattern(spark, sf)), "area_mm2", "row_mean", "col_mean", "x_mm", "y_mm")
 
@@ -330,10 +330,10 @@ def _(spark, sf):
 
 @query("failed_die_list", f"""
 SELECT wafer_id, r, c, {R('(c - cx) * dw')} AS x_mm, {R('(cy - r) * dh')} AS y_mm, p.hit IS NOT NULL AS in_pattern,
-       n > 3000 AS truncated, {R('100 * cam / 10000')} AS affected_pct
+       k AS rank, {R('100 * cam / 10000')} AS affected_pct
 FROM (SELECT *, row_number() OVER (PARTITION BY wafer_id ORDER BY r, c) AS k FROM v_fails) q
 JOIN (SELECT wafer_id, cx, cy, dw, dh, f AS n FROM v_ext) USING (wafer_id)
-LEFT JOIN (SELECT wafer_id, r, c, 1 AS hit FROM v_pattern) p USING (wafer_id, r, c) WHERE k <= 3000""")
+LEFT JOIN (SELECT wafer_id, r, c, 1 AS hit FROM v_pattern) p USING (wafer_id, r, c)""")
 def _(spark, sf):
     affected = V.activation(spark, sf).select("wafer_id", "r", "c", (F.col("cam") / 10000).alias("affected"))
     return D.rounded(Q.failed_die_list(V.dies(spark, sf), pattern(spark, sf), affected=affected), "x_mm", "y_mm", "affected_pct")

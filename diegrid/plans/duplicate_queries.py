@@ -106,7 +106,7 @@ def _(spark, sf):
     return U.leakage_groups(*duplicates(spark, sf))
 
 
-@query("label_conflicts", "SELECT source FROM (SELECT source, count(DISTINCT lang) AS n FROM v_sources GROUP BY 1) WHERE n > 1 ORDER BY 1 LIMIT 20")
+@query("label_conflicts", "SELECT source FROM (SELECT source, count(DISTINCT lang) AS n FROM v_sources GROUP BY 1) WHERE n > 1")
 def _(spark, sf):
     from diegrid.functions.labels import source_id
     return U.label_conflicts(V.files(spark, sf).select(source_id(F.col("f")).alias("source"), F.col("lang").alias("label")))

@@ -131,7 +131,6 @@ WITH c AS (
   FROM (SELECT p, count(*) FILTER (y = k) AS pos, count(*) FILTER (y <> k) AS neg FROM v_prob GROUP BY 1) WINDOW w AS (ORDER BY p DESC))
 SELECT CAST(i AS BIGINT) AS pos_asc, {R('prec')} AS precision, {R('rec')} AS recall, {R('(SELECT sum(gain * prec) FROM c)')} AS average_precision
 FROM (SELECT i, prec, rec FROM c UNION ALL SELECT max(n), 1, 0 FROM c)
-WHERE i IN (SELECT CAST(floor(j * n / 59 + 1e-9) AS BIGINT) FROM (SELECT unnest(range(60)) AS j), (SELECT max(n) AS n FROM c))
 """.replace("WITH c AS", "SELECT * FROM (WITH c AS").rstrip() + ")")
 def _(spark, sf):
     return D.rounded(E.pr_curve(V.probs(spark, sf)), "precision", "recall", "average_precision")

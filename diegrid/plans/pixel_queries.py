@@ -80,9 +80,9 @@ def _(spark, sf):
 
 cte("v_change", """
 SELECT image, 'rows' AS axis, y AS pos, count(*) AS n FROM (SELECT *, lag(state) OVER (PARTITION BY image, x ORDER BY y) AS p FROM v_state)
-JOIN v_grids2 g USING (image) WHERE p <> state AND x % greatest(1, g.w // 160) = 0 GROUP BY 1, 3
+JOIN v_grids2 g USING (image) WHERE p <> state GROUP BY 1, 3
 UNION ALL SELECT image, 'cols', x, count(*) FROM (SELECT *, lag(state) OVER (PARTITION BY image, y ORDER BY x) AS p FROM v_state)
-JOIN v_grids2 g USING (image) WHERE p <> state AND y % greatest(1, g.h // 160) = 0 GROUP BY 1, 3""")
+JOIN v_grids2 g USING (image) WHERE p <> state GROUP BY 1, 3""")
 cte("v_score", """
 SELECT image, axis, k, sum(n) AS m, sqrt(pow(sum(n * cos(2 * pi() * k * pos / size)), 2) + pow(sum(n * sin(2 * pi() * k * pos / size)), 2)) / sum(n) AS score
 FROM (SELECT c.*, CASE axis WHEN 'rows' THEN h ELSE w END AS size FROM v_change c JOIN v_grids2 USING (image)), (SELECT unnest(range(12, 161)) AS k) GROUP BY 1, 2, 3""")
@@ -129,7 +129,7 @@ def _(spark, sf):
 
 @query("looks_rendered", f"""
 SELECT image, {R('avg(CASE WHEN dist < 40 THEN 1.0 ELSE 0 END)')} AS share, avg(CASE WHEN dist < 40 THEN 1.0 ELSE 0 END) > 0.9 AS rendered
-FROM v_pos JOIN v_grids2 USING (image) WHERE (y * w + x) % greatest(1, h * w // 20000) = 0 GROUP BY 1""")
+FROM v_pos GROUP BY 1""")
 def _(spark, sf):
     return D.rounded(X.looks_rendered(positions(spark, sf)), "share")
 
@@ -163,8 +163,7 @@ SELECT wafer_id AS image, row_number() OVER (PARTITION BY wafer_id ORDER BY comp
 @query("blob_shape", f"""
 SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY area_px DESC, blob) AS INT) AS rank, {R('area_px * 0.000025')} AS area_um2,
        {R('circ')} AS circularity, {R('elong')} AS elongation, CASE WHEN elong > 4 THEN 'scratch' WHEN circ > 0.7 THEN 'particle' ELSE 'residue/irregular' END AS shape_hint
-FROM (SELECT *, 4 * pi() * area_px / (pow(2 * (length + width), 2) + 1e-9) AS circ, greatest(length, width) / (least(length, width) + 1e-9) AS elong FROM v_blob WHERE area_px >= 2)
-QUALIFY row_number() OVER (PARTITION BY image ORDER BY area_px DESC, blob) <= 10""")
+FROM (SELECT *, 4 * pi() * area_px / (pow(2 * (length + width), 2) + 1e-9) AS circ, greatest(length, width) / (least(length, width) + 1e-9) AS elong FROM v_blob WHERE area_px >= 2)""")
 def _(spark, sf):
     h, w = F.col("r_max") - F.col("r_min") + 1.0, F.col("c_max") - F.col("c_min") + 1.0
     blobs = Q.fail_clusters(V.dies(spark, sf)).select(

@@ -176,8 +176,7 @@ cte("v_trans", """
 SELECT a AS "from", b AS "to", n, n / (sum(n) OVER (PARTITION BY a) * (sum(n) OVER (PARTITION BY b) / sum(n) OVER ())) AS ratio
 FROM (SELECT a, b, count(*) AS n FROM (SELECT lag(class) OVER (PARTITION BY chamber ORDER BY seq) AS a, class AS b FROM v_process) WHERE a IS NOT NULL GROUP BY 1, 2)""")
 @query("transitions", f"""
-SELECT "from", "to", n, {R('ratio')} AS ratio FROM v_trans WHERE "to" <> 'None' AND n >= 5 AND ratio > 1.05
-ORDER BY round(ratio, 9) DESC, "from", "to" LIMIT 10""")
+SELECT "from", "to", n, {R('ratio')} AS ratio FROM v_trans WHERE "to" <> 'None' AND n >= 5 AND ratio > 1.05""")
 def _(spark, sf):
     return D.rounded(C.transitions(V.process(spark, sf), "chamber", min_ratio=1.05), "ratio")
 

@@ -13,8 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only if unset."""
+    """The folder all executors share, as the session names it. Only a local session, whose driver and
+    executors are one process, gets a temporary one; on a cluster an unnamed folder is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():

@@ -14,8 +14,8 @@ def validate_wafers(wafers: DataFrame, map_col: str = "wafer_map") -> DataFrame:
     return wafers.withColumn("reason", (
         F.when(m.isNull() | (F.size(m) == 0), "empty")
         .when((F.size(m) > MAX_DIM) | (width > MAX_DIM), "too large")
-        .when((width == 0) | F.exists(m, lambda row: F.size(row) != width), "not rectangular")
-        .when(F.exists(m, lambda row: F.exists(row, lambda v: ~v.isin(0, 1, 2))), "bad value")
+        .when((width <= 0) | F.exists(m, lambda row: row.isNull() | (F.size(row) != width)), "not rectangular")
+        .when(F.exists(m, lambda row: F.exists(row, lambda v: v.isNull() | ~v.isin(0, 1, 2))), "bad value")
         .when(~F.exists(m, lambda row: F.exists(row, lambda v: v > 0)), "no dies")))
 
 

@@ -306,3 +306,25 @@ def test_folds_never_split_a_group(spark):
 
 def test_class_order():
     assert CLASSES.index("None") == 8 and len(CLASSES) == 9
+
+
+def test_null_rows_and_cells_are_invalid(spark):
+    from diegrid.sources.validation import validate_wafers
+    maps = [[[1, None], [1, 2]], [None, [1, 2]], [[1, 2], None], [[1, 2], [1, 1]]]
+    got = validate_wafers(spark.createDataFrame([(i, m) for i, m in enumerate(maps)], "i int, wafer_map array<array<tinyint>>")).sort("i").collect()
+    assert [r["reason"] for r in got] == ["bad value", "not rectangular", "not rectangular", None]
+
+
+def test_missing_feature_does_not_pass(spark):
+    from diegrid.operators.policy import verify
+    rules = spark.createDataFrame([("Scratch", "a", 0.0, 1.0), ("Scratch", "b", 0.0, 1.0)], "cls string, feature string, lo double, hi double")
+    rows = spark.createDataFrame([(1, "Scratch", {}), (2, "Scratch", {"a": 0.5, "b": float("nan")}), (3, "Scratch", {"a": 0.5, "b": 0.5})], "i int, cls string, features map<string,double>")
+    got = {r["i"]: r for r in verify(rows, rules, "cls").collect()}
+    assert [got[i]["status"] for i in (1, 2, 3)] == ["FAIL", "WARN", "PASS"] and "missing" in got[1]["reasons"][0]
+
+
+def test_hash_of_any_id(spark):
+    from diegrid.functions.numeric import mix
+    ids = [0, 1, 4_000_000_000, 2**62, -5, -2**63]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "x bigint").select(mix(F.col("x"), 3)).collect()]
+    assert all(0 <= h < 2147483647 for h in got) and len(set(got)) == len(ids)
