@@ -112,7 +112,7 @@ def verify(df: DataFrame, rules: DataFrame, cls: str, by: list[str] = [], prefix
     bad = F.filter(checked, lambda r: ~F.coalesce(r["v"].between(r["lo"] - margin(r), r["hi"] + margin(r)), F.lit(False)))      # a missing value fails
     out = joined.withColumn("_bad", bad)
     reasons = F.transform("_bad", lambda r: F.concat(
-        F.coalesce(F.try_element_at(label, r["feature"]), r["feature"]), F.lit(" = "), F.coalesce(format_3g(r["v"]), F.lit("missing")), F.lit(", but "), F.col(cls),
+        F.coalesce(F.try_element_at(label, r["feature"]), r["feature"]), F.lit(" = "), F.when(r["v"].isNull(), F.lit("missing")).otherwise(format_3g(r["v"])), F.lit(", but "), F.col(cls),
         F.lit(" wafers here show "), format_3g(r["lo"]), F.lit("-"), format_3g(r["hi"])))
     status = F.when(F.size("_bad") == 0, "PASS").when(F.size("_bad") == 1, "WARN").otherwise("FAIL")
     return out.select(*df.columns, status.alias(f"{prefix}status"), reasons.alias(f"{prefix}reasons"))
