@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 
 from diegrid.sources.tables import shared_path
@@ -9,7 +11,12 @@ from diegrid.sources.tables import shared_path
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` as Parquet below spark.checkpoint.dir and reads it back: lineage ends here, and a
-    lost executor costs no more than the tasks that it ran. The folder's owner clears it."""
-    path = shared_path(df.sparkSession, name)
+    lost executor costs no more than the tasks that it ran. The folder's owner clears it.
+
+    Spark's cleaner deletes shuffle files once the driver has collected what refers to them, so the
+    driver collects here: the files of a long chain of steps would fill the disks else."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
