@@ -15,10 +15,11 @@ indexed instead of single ones:
 Where the first n - ceil(t * n) + l tokens of a set are all rare, it shares the l first common tokens with any
 set that it links with, and candidates have to share that many entries.
 
-No link is lost for any choice of the frequent class, which only steers the cost. Candidates are
-verified on whole sets. Equal sets collapse to one before the index is built. Index buckets of up to
-`BUCKET` sets make pairs. The sets of larger buckets are compared in blocks by matrix products, of which only links
-leave a task, so no pair of a large group of near copies is ever a row.
+Tokens are counted by slot, over all documents, in the same pass that takes the identity of every set:
+the frequent class is all tokens of the fuller slots. No link is lost for any choice of this class, which
+only steers the cost. Candidates are verified on whole sets. Equal sets collapse to one before the index is built. Index buckets of up to
+`BUCKET` sets make pairs. The sets of larger buckets are compared in blocks, of which only links leave a
+task, so no pair of a large group of near copies is ever a row.
 """
 
 from __future__ import annotations
@@ -35,14 +36,20 @@ from diegrid.llm.words import SPACES, mix, shingle_sets
 from diegrid.operators.components import connected_nodes
 
 BUCKET = 32              # all pairs are compared in buckets up to this size
-HEAVY_LIST = 1 << 20     # most tokens of the frequent class, which is broadcast (8 MB)
-HEAVY_LEAST = 32         # a frequent token is in the prefixes of more documents than that
+SLOT_BITS = 22           # tokens are counted by their leading bits; the frequent slots are broadcast (4 MB)
+SLOTS, STRIPE = 1 << SLOT_BITS, 1 << 14
+HEAVY_LEAST = 32         # a frequent slot has more tokens than that,
+HEAVY_LOADS = 8          # and than so many times the mean of all slots
 BLOCK = 1024             # sets of a block
-ORDERS = 8               # rounds that look for frequent tokens
+PAIRED = 64              # in a block, tokens of up to so many sets are counted pair by pair, others by matrix products
 SHARE = 24               # 1 + n // SHARE common tokens are asked for
 IDS = 1 << 20            # most ids that are broadcast (8 MB) to read their texts; more are joined by a shuffle
 
 
+def _slot(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def _ceil_share(n, num: int, den: int):
     return (n * num + den - 1) // den
 
@@ -69,33 +76,45 @@ def _sets(docs: DataFrame, width: int, kind: np.ndarray, emit, schema: str) -> D
     return docs.mapInArrow(run, schema)
 
 
-def _digest():
-    """Size and 128-bit identity."""
-    def emit(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-        n = np.array([len(s) for s in sets], np.int64)
-        h1 = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(1))) if len(s) else 0 for s in sets], np.uint64)
-        h2 = np.array([np.add.reduce(mix(s ^ np.uint64(0x5DEECE66D))) if len(s) else 0 for s in sets], np.uint64)
-        return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["id", "n", "h1", "h2"])
-    return emit
-
-
-def _frequent(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    return common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
-
-
-def _prefixes(num: int, den: int, known):
-    """Tokens of the rare prefixes under the frequent class so far that were not in those of the class before it."""
-    def one(s: np.ndarray) -> np.ndarray:
-        size, (before, now) = len(s) - _ceil_share(len(s), num, den) + _asked(len(s), num, den), known.value
-        if before is None:
-            return s[:size]
-        frequent = _frequent(s, now)
-        seen = s[~_frequent(s, before)][:2 * size if len(before) else size]       # looks further ahead than the prefix: fewer rounds
-        return np.setdiff1d(s[~frequent][:2 * size], seen, assume_unique=True) if frequent.any() else s[:0]
+def _digest(docs: DataFrame, width: int, kind: np.ndarray) -> DataFrame:
+    """docs(id, text) -> one row for each row: size and 128-bit identity of its set; and each task's counts of
+    tokens by slot, in rows of `STRIPE` slots that carry their number as `stripe`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = np.zeros(SLOTS, np.uint32)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                sets = list(shingle_sets(part.column(1), width, kind))
+                np.add.at(load, _slot(np.concatenate(sets)), 1)
+                n = np.array([len(s) for s in sets], np.int64)
+                h1 = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(1))) if len(s) else 0 for s in sets], np.uint64)
+                h2 = np.array([np.add.reduce(mix(s ^ np.uint64(0x5DEECE66D))) if len(s) else 0 for s in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                                                  pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
+        for at in range(0, SLOTS, STRIPE):
+            if load[at:at + STRIPE].any():
+                void = [pa.nulls(1, pa.int64())] * 4
+                yield pa.RecordBatch.from_arrays([*void, pa.array([at // STRIPE], pa.int32()), pa.array([load[at:at + STRIPE].tobytes()], pa.binary())], names)
+
+    names = ["id", "n", "h1", "h2", "stripe", "load"]
+    return docs.mapInArrow(run, "id bigint, n bigint, h1 bigint, h2 bigint, stripe int, load binary")
+
+
+def _frequent_slots(loads: DataFrame, least: int) -> np.ndarray:
+    """Which slots hold more than `least` tokens, from rows (stripe, load) of all tasks. `SLOTS` bits reach the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for stripe, load in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held = total.setdefault(stripe, np.zeros(STRIPE, np.int64))
+                held += np.frombuffer(load.as_buffer(), np.uint32)
+        rows = [(stripe, np.packbits(load > least).tobytes()) for stripe, load in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["stripe", "bits"])
 
-    def emit(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *map(one, sets)]).view(np.int64))], ["token"])
-    return emit
+    out = np.zeros(SLOTS, bool)
+    for row in loads.repartition("stripe").mapInArrow(run, "stripe int, bits binary").collect():
+        out[row["stripe"] * STRIPE:(row["stripe"] + 1) * STRIPE] = np.unpackbits(np.frombuffer(row["bits"], np.uint8))
+    return out
 
 
 def _signatures(num: int, den: int, heavy):
@@ -105,7 +124,7 @@ def _signatures(num: int, den: int, heavy):
         spread = n * (den - num) // num                                     # D: 0 means that only equal sets link
         if not spread:
             return True, np.zeros(0, np.uint64)
-        frequent = _frequent(s, common)
+        frequent = common[_slot(s)]
         light, free = s[~frequent], n - _ceil_share(n, num, den)
         rare = light[:free + _asked(n, num, den)]
         if len(light) > free:
@@ -160,7 +179,7 @@ def _met(rows: DataFrame, on: str) -> DataFrame:
 
 
 def _block_links(num: int, den: int):
-    """Links between two blocks of sets, or within one: common tokens of all pairs as products of incidence matrices."""
+    """Links between two blocks of sets, or within one, by the common tokens of all pairs."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
         lo, hi = key[1].as_py(), key[2].as_py()
         tokens = table["tokens"].combine_chunks()
@@ -176,15 +195,24 @@ def _block_links(num: int, den: int):
         place[left] = np.arange(len(left))
         place[right] = np.arange(len(right))
         common = np.zeros((len(left), len(right)), np.float32)
-        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+        few = times[column] <= PAIRED
+        c, r = column[few], row[few]
+        for step in range(1, PAIRED):                       # tokens of few sets: their pairs, counted at once
+            at = np.flatnonzero(c[step:] == c[:-step])
+            if not len(at):
+                break
+            for x, y in ((r[at], r[at + step]), (r[at + step], r[at])):
+                meet = (block[x] == lo) & (block[y] == hi)
+                np.add.at(common, (place[x[meet]], place[y[meet]]), 1)
+        column, row = np.unique(column[~few], return_inverse=True)[1], row[~few]
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):     # the others: products of incidence matrices
             cut = slice(*np.searchsorted(column, [first, first + 8192]))
-            if cut.stop > cut.start:
-                both = []
-                for side, number in ((left, lo), (right, hi)):
-                    m, at = np.zeros((len(side), 8192), np.float32), block[row[cut]] == number
-                    m[place[row[cut][at]], column[cut][at] - first] = 1
-                    both.append(m)
-                common += both[0] @ both[1].T
+            both = []
+            for side, number in ((left, lo), (right, hi)):
+                m, at = np.zeros((len(side), 8192), np.float32), block[row[cut]] == number
+                m[place[row[cut][at]], column[cut][at] - first] = 1
+                both.append(m)
+            common += both[0] @ both[1].T
         union = sizes[left][:, None] + sizes[right][None, :] - common
         x, y = np.nonzero((common * den >= union * num) & (ids[left][:, None] != ids[right][None, :]))
         return pa.table({"a": ids[left][x], "b": ids[right][y]})
@@ -217,19 +245,10 @@ def components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, kind
     """
     spark = docs.sparkSession
     docs = docs.select("id", "text")
-    digest = written(_sets(docs, width, kind, _digest(), "id bigint, n bigint, h1 bigint, h2 bigint"), "digest")
-
-    part = F.expr(f"n - (n * {num} + {den - 1}) div {den} + least(1 + n div {SHARE}, (n * {num} + {den - 1}) div {den})")
-    least = max(HEAVY_LEAST, ORDERS * (digest.agg(F.sum(part)).first()[0] or 0) // HEAVY_LIST)     # at most HEAVY_LIST tokens can be above
-    before, common = None, np.zeros(0, np.uint64)
-    for _ in range(ORDERS):                                     # as frequent tokens go to the end, others come into the prefixes
-        known = spark.sparkContext.broadcast((before, common))
-        counted = _sets(docs, width, kind, _prefixes(num, den, known), "token bigint").groupBy("token").count()
-        more = counted.where(F.col("count") > least).select("token").toArrow()
-        if not more.num_rows:
-            break
-        before, common = common, np.union1d(common, np.asarray(more.column(0), np.int64).view(np.uint64))
-    heavy = spark.sparkContext.broadcast(common)
+    scanned = written(_digest(docs, width, kind), "digest")
+    digest = scanned.where("stripe is null").select("id", "n", "h1", "h2")
+    least = max(HEAVY_LEAST, HEAVY_LOADS * (digest.agg(F.sum("n")).first()[0] or 0) // SLOTS)
+    heavy = spark.sparkContext.broadcast(_frequent_slots(scanned.where("stripe is not null").select("stripe", "load"), least))
 
     first = digest.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     first = written(first, "first")

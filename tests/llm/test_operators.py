@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import compare
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,7 @@ def test_ngram_join_large_groups(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BUCKET", 3)
     monkeypatch.setattr(ngram_join, "IDS", 5)
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "PAIRED", 3)
     monkeypatch.setattr(ngram_join, "HEAVY_LEAST", 4)
     random = np.random.default_rng(3)
     base = [f"b{i}" for i in range(120)]
@@ -96,6 +98,21 @@ def test_ngram_join_large_groups(spark, monkeypatch):
         assert by_row(ngram_join.components(docs.withColumnRenamed("doc_id", "id"), 4, num, den)) == classes(list(enumerate(texts)), 4, num, den)
 
 
+@pytest.mark.parametrize("hi", [0, 1])
+def test_ngram_join_blocks(monkeypatch, hi):
+    """Tokens of few sets, of many, and columns on both sides of the limit give the same links as plain sets."""
+    monkeypatch.setattr(ngram_join, "PAIRED", 4)
+    random = np.random.default_rng(hi)
+    base = [random.choice(200, 20, replace=False) for _ in range(6)]
+    sets = [np.unique(np.concatenate([base[i % 6][:18], random.integers(0, 400, 2)])) for i in range(60)]
+    block = np.arange(60) // (60 - 30 * hi)          # every base is in both blocks
+    rows = pa.table({"id": np.arange(60), "block": block, "tokens": pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))})
+    found = ngram_join._block_links(4, 5)((pa.scalar(0), pa.scalar(0), pa.scalar(hi)), rows)
+    near = {(i, j) for i in range(60) for j in range(60) if i != j and block[i] == 0 and block[j] == hi
+            and len(np.intersect1d(sets[i], sets[j])) * 5 >= len(np.union1d(sets[i], sets[j])) * 4}
+    assert near and set(zip(found["a"].to_pylist(), found["b"].to_pylist())) == near
+
+
 def test_ngram_join_sql(spark):
     assert compare.difference(spark, compare.connect(SF), QUERIES["op10_ngram_join"], SQL["op10_ngram_join"], SF) is None
 
