@@ -8,15 +8,22 @@ from pyspark.sql import DataFrame
 
 from diegrid.sources.tables import shared_path
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` as Parquet below spark.checkpoint.dir and reads it back: lineage ends here, and a
     lost executor costs no more than the tasks that it ran. The folder's owner clears it.
 
-    Spark's cleaner deletes shuffle files once the driver has collected what refers to them, so the
-    driver collects here: the files of a long chain of steps would fill the disks else."""
+    The shuffle files of the write are deleted when it ends: those of a long chain of steps would fill the disks else.
+    The cleaner alone does not do it, as it spares what a DataFrame that is still held refers to."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
