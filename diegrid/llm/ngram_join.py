@@ -17,9 +17,15 @@ set that it links with, and candidates have to share that many entries.
 
 Tokens are counted by slot, over all documents, in the same pass that takes the identity of every set:
 the frequent class is all tokens of the fuller slots. No link is lost for any choice of this class, which
-only steers the cost. Candidates are verified on whole sets. Equal sets collapse to one before the index is built. Index buckets of up to
-`BUCKET` sets make pairs. The sets of larger buckets are compared in blocks, of which only links leave a
-task, so no pair of a large group of near copies is ever a row.
+only steers the cost. Equal sets collapse to one before the index is built. Index buckets of up to
+`BUCKET` sets make pairs, larger ones are groups named by their smallest id.
+
+Every set has a sketch: one bit for each slot of its tokens, set where their number is odd. Two sketches
+differ in no more bits than their sets in tokens, so the sketches of a link differ in few. Pairs and groups
+are held against this bound; of a group, what leaves the task is a forest that connects the pairs within it.
+Every link lies in one component of these edges, a bundle. Documents that share a passage and little
+else are not drawn together by it. The whole sets of a bundle are verified in blocks, of which a forest of links
+leaves a task, so no pair of a large group of near copies is ever a row.
 """
 
 from __future__ import annotations
@@ -41,9 +47,12 @@ SLOTS, STRIPE = 1 << SLOT_BITS, 1 << 14
 HEAVY_LEAST = 32         # a frequent slot has more tokens than that,
 HEAVY_LOADS = 8          # and than so many times the mean of all slots
 BLOCK = 1024             # sets of a block
+MASS = 1 << 22           # and tokens of a block, about
+LOT = 256                # sets of small groups that share a task's turn
+SKETCH_BITS = 1 << 16    # widest sketch, of sets beyond 32,768 tokens: looser there, and still a bound
 PAIRED = 64              # in a block, tokens of up to so many sets are counted pair by pair, others by matrix products
 SHARE = 24               # 1 + n // SHARE common tokens are asked for
-IDS = 1 << 20            # most ids that are broadcast (8 MB) to read their texts; more are joined by a shuffle
+IDS = 1 << 20            # most places (lot, blocks, id) that are broadcast (about 64 MB) to read their texts; more are joined by a shuffle
 
 
 def _slot(s: np.ndarray) -> np.ndarray:
@@ -134,36 +143,46 @@ def _signatures(num: int, den: int, heavy):
 
     def emit(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         pure, sigs = zip(*map(one, sets)) if sets else ((), ())
-        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(pure, pa.bool_()), _lists(list(sigs))], ["id", "n", "pure", "sigs"])
+        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(pure, pa.bool_()), _lists(list(sigs)),
+                                           pa.array([_sketch(s) for s in sets], pa.binary())], ["id", "n", "pure", "sigs", "sketch"])
     return emit
 
 
-def _whole(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, _lists(sets)], ["id", "tokens"])
+def _sketch(s: np.ndarray) -> bytes:
+    """A power of two of bits, at least two for each token: the parity of the tokens that fall on each."""
+    width = min(SKETCH_BITS, 1 << max(9, (2 * len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _near(num: int, den: int):
-    """Sizes na, nb that can reach the threshold at all."""
-    return (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("a") != F.col("b"))
+def _words(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of `width` bytes or more, wider ones folded to it, as rows of 64-bit words."""
+    out = np.empty((len(sketches), width // 8), np.uint64)
+    for i, sketch in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, width // 8), axis=0)
+    return out
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _most_apart(x, y, num: int, den: int):
+    """Tokens that lie in only one of two linking sets of sizes x and y, at most."""
+    return x + y - 2 * _ceil_share(x + y, num, num + den)
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, width: int, kind: np.ndarray) -> DataFrame:
-    """The whole sets of these ids."""
-    ids = written(ids.distinct(), "ids")
-    wanted = F.broadcast(ids) if ids.count() <= IDS else ids
-    return written(_sets(docs.join(wanted, "id", "left_semi"), width, kind, _whole, "id bigint, tokens array<bigint>"), "sets")
+def _forest(n: int, meetings: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Edges that connect what all edges (i, each of js) connect, fewer than n."""
+    label, kept = np.arange(n), []
+    for i, js in meetings:
+        js = js[label[js] != label[i]]
+        if len(js):
+            others, at = np.unique(label[js], return_index=True)
+            kept += [(i, int(j)) for j in js[at]]
+            label[np.isin(label, others)] = label[i]
+    return kept
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs(a, b) of ids whose whole sets reach num / den."""
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-            .select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"), (F.size("ta") + F.size("tb")).cast("long").alias("total")))
-    return both.where(F.col("common") * den >= (F.col("total") - F.col("common")) * num).select("a", "b").distinct()
+def _near(num: int, den: int):
+    """Sizes na, nb that can reach the threshold at all."""
+    return (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("a") != F.col("b"))
 
 
 def _enough(entries, num: int, den: int):
@@ -219,20 +238,110 @@ def _block_links(num: int, den: int):
     return run
 
 
-def _within_bundles(large: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between sets that share a large bucket. large(sig, id).
+EDGES = "a bigint, b bigint"
+
+
+def _edges(ids: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
+    x, y = np.array(pairs, np.int64).reshape(-1, 2).T
+    return pa.table({"a": ids[x], "b": ids[y]})
+
+
+def _sketch_forest(num: int, den: int):
+    """Edges that connect the sets of a group, or of two blocks of it, whose sketches are close enough for a link."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")
+        ids, n, raw = table["id"].to_numpy(), table["n"].to_numpy(), table["sketch"].to_pylist()
+        width = np.array([len(x) for x in raw], np.int64)
+        pairs: list[tuple[int, int]] = []
+        for w in np.unique(width):
+            own = np.flatnonzero(width == w)
+            wider = np.flatnonzero((width > w) & (n * num <= n[own].max() * den))
+            rows = np.concatenate([own, wider])            # sizes rise with the width, so rows stay in order of size
+            m = _words([raw[i] for i in rows], int(w))
+            size = n[rows]
+            last = np.searchsorted(size, size * den // num, side="right")
+
+            def close() -> Iterator[tuple[int, np.ndarray]]:
+                for i in range(len(own)):
+                    j = np.arange(i + 1, last[i])
+                    if len(j):
+                        apart = np.bitwise_count(m[i + 1:last[i]] ^ m[i]).sum(axis=1, dtype=np.int64)
+                        yield i, j[apart <= _most_apart(size[i], size[j], num, den)]
+
+            pairs += [(int(rows[x]), int(rows[y])) for x, y in _forest(len(rows), close())]
+        return _edges(ids, [(x, y) for x, y in pairs if ids[x] != ids[y]])
+    return run
+
+
+def _close_pairs(num: int, den: int):
+    """Of pairs with sketches, those close enough for a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            most = _most_apart(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), num, den)
+            for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
+                x, y = x.as_py(), y.as_py()
+                x, y = _words([x, y], min(len(x), len(y)))
+                keep[i] = np.bitwise_count(x ^ y).sum() <= most[i]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    return run
+
+
+def _link_forest(width: int, kind: np.ndarray, num: int, den: int):
+    """Edges that connect what the links of a group, or between two blocks of it, connect; whole texts are read."""
+    links = _block_links(num, den)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        tokens = [x for batch in table.combine_chunks().to_batches() for x in shingle_sets(batch.column("text"), width, kind)]
+        found = links(key, pa.table({"id": table["id"], "block": table["block"], "tokens": _lists(tokens)}))
+        ids, at = np.unique(np.concatenate([found["a"].to_numpy(), found["b"].to_numpy()]), return_inverse=True)
+        x, y = at.reshape(2, -1)
+        order = np.argsort(x, kind="stable")
+        first, cuts = np.unique(x[order], return_index=True)
+        return _edges(ids, _forest(len(ids), zip(first.tolist(), np.split(y[order], cuts[1:]))))
+    return run
+
+
+def _dealt(groups: DataFrame, name: str) -> DataFrame:
+    """groups(root, id, n) -> (lot, lo, hi, block, id), the comparisons that cover all pairs of each group.
+
+    A group is dealt to blocks of about `BLOCK` sets and `MASS` tokens, each two of which meet once. Groups of one
+    block share lots by hash, about `LOT` sets in each."""
+    sized = groups.groupBy("root").agg(F.expr(f"greatest((count(*) + {BLOCK - 1}) div {BLOCK}, (sum(n) + {MASS - 1}) div {MASS})").alias("blocks"), F.count("*").alias("c"), F.sum("n").alias("mass"))
+    sized = written(sized, name)
+    c, mass = sized.where("blocks = 1").agg(F.sum("c"), F.sum("mass")).first()
+    lots = max((c or 0) // LOT, (mass or 0) // (MASS // 4)) + 1
+    lot = F.when(F.col("blocks") == 1, F.concat(F.lit("lot"), F.pmod(F.xxhash64("root"), F.lit(lots)))).otherwise(F.concat(F.lit("group"), "root"))
+    placed = groups.join(sized.drop("c", "mass"), "root").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    return (placed.select(lot.alias("lot"), "id", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+            .select("lot", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id").distinct())
 
-    Buckets that share members make a bundle. Its sets are dealt to blocks of about `BLOCK`, and each two blocks meet in one task,
-    so a pair is compared once, however many buckets it shares, and only links leave the task.
-    """
-    low = large.groupBy("sig").agg(F.min("id").alias("b"))
-    bundles = written(connected_nodes(large.join(low, "sig").select(F.col("id").alias("a"), "b").where("a <> b").distinct()), "bundles")
-    blocks = bundles.groupBy("root").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
-    placed = bundles.withColumnRenamed("node", "id").join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    dealt = placed.select("root", "id", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")).join(sets, "id")
-    dealt = dealt.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "block", "tokens")
-    found = dealt.groupBy("root", "lo", "hi").applyInArrow(_block_links(num, den), "a bigint, b bigint")
-    return _ordered(found)
+
+def _bundles(signs: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
+    """(root, id, n): groups that hold every link, from index entries (id, n, pure, sig, c) and sketches of all sets."""
+    large = shared.where(F.col("c") > BUCKET)
+    crowded = written(large.groupBy("id").agg(F.count("*").alias("entries")), "crowded")
+    few = _met(shared.where(F.col("c") <= BUCKET).groupBy("sig").agg(F.collect_list(F.struct("id", "n", "pure")).alias("m")), "m").where(_near(num, den))
+    few = written(few.groupBy("a", "b", "na", "nb", "pa", "pb").agg(F.count("*").alias("entries")), "few")
+    more = few.join(crowded.select(F.col("id").alias("a"), F.col("entries").alias("ma")), "a", "left").join(crowded.select(F.col("id").alias("b"), F.col("entries").alias("mb")), "b", "left")
+    likely = more.where(_enough(F.col("entries") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))), num, den)).select("a", "b", "na", "nb")
+    likely = likely.join(signs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), ["a", "na"])
+    likely = likely.join(signs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), ["b", "nb"])
+    pairs = likely.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_close_pairs(num, den), EDGES)
+
+    low = large.groupBy("sig").agg(F.min("id").alias("root"))
+    groups = written(large.join(low, "sig").select("root", "id", "n").distinct(), "groups")
+    rows = _dealt(groups, "group_sizes").join(signs.select("id", "n", "sketch"), "id")
+    near = rows.select("lot", "lo", "hi", "id", "n", "sketch").groupBy("lot", "lo", "hi").applyInArrow(_sketch_forest(num, den), EDGES)
+    edges = written(pairs.union(near).distinct(), "edges")
+    nodes = connected_nodes(edges).withColumnRenamed("node", "id")
+    return written(nodes.join(signs.groupBy("id").agg(F.sum("n").alias("n")), "id"), "bundles")
+
+
+def _links(docs: DataFrame, bundles: DataFrame, width: int, kind: np.ndarray, num: int, den: int) -> DataFrame:
+    dealt = written(_dealt(bundles, "bundle_sizes"), "dealt")
+    wanted = F.broadcast(dealt) if dealt.count() <= IDS else dealt
+    return docs.join(wanted, "id").groupBy("lot", "lo", "hi").applyInArrow(_link_forest(width, kind, num, den), EDGES)
 
 
 def components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, kind: np.ndarray = SPACES) -> DataFrame:
@@ -255,20 +364,11 @@ def components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, kind
     members = written(digest.select("id", "n", "h1", "h2").join(first, ["h1", "h2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "members")
     several = members.where("rep is not null").groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top")
     same = members.join(several, "id").where("rep > b").select(F.col("rep").alias("a"), "b").distinct()
-    signs = _sets(docs, width, kind, _signatures(num, den, heavy), "id bigint, n bigint, pure boolean, sigs array<bigint>")
+    signs = _sets(docs, width, kind, _signatures(num, den, heavy), "id bigint, n bigint, pure boolean, sigs array<bigint>, sketch binary")
     signs = written(signs.join(first.select(F.col("rep").alias("id"), "n"), ["id", "n"], "left_semi"), "signs")
     index = signs.select("id", "n", "pure", F.explode("sigs").alias("sig"))
     shared = written(index.join(index.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig"), "shared")
-    large = shared.where(F.col("c") > BUCKET)
-    crowded = written(large.groupBy("id").agg(F.count("*").alias("entries")), "crowded")
-
-    few = _met(shared.where(F.col("c") <= BUCKET).groupBy("sig").agg(F.collect_list(F.struct("id", "n", "pure")).alias("m")), "m").where(_near(num, den))
-    few = written(few.groupBy("a", "b", "na", "nb", "pa", "pb").agg(F.count("*").alias("entries")), "few")
-    more = few.join(crowded.select(F.col("id").alias("a"), F.col("entries").alias("ma")), "a", "left").join(crowded.select(F.col("id").alias("b"), F.col("entries").alias("mb")), "b", "left")
-    likely = more.where(_enough(F.col("entries") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))), num, den))
-    pairs = written(likely.select("a", "b"), "pairs")
-    sets = _sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowded.select("id")), width, kind)
-    links = written(verify(pairs, sets, num, den).union(_within_bundles(large, sets, num, den)).union(same).distinct(), "links")
+    links = written(_links(docs, _bundles(signs, shared, num, den), width, kind, num, den).union(same), "links")
     roots = connected_nodes(links)
 
     out = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
