@@ -7,6 +7,8 @@ similarity with it is at least t * q / (2 L + (1 - t) * q), about 0.2 for t = 0.
 With bands of one row, `BANDS` functions miss such a window with a chance of about 0.8 ** BANDS (1e-6).
 One minimum per block of `UNIT` shingles serves all classes: a window's minimum is that of its blocks.
 Candidates are verified by exact containment: the distinct shingles of the item that the document has.
+Items of at most `SHORT` shingles would be a small share of the least window, so they are not sketched: all their
+shingles are keys that every shingle of every document is looked up in, and the distinct keys found are counted.
 
 Items are few beside the corpus, but nothing bounds their table: they are searched in blocks of
 `ITEMS`, and only one block is broadcast at a time.
@@ -26,14 +28,15 @@ from pyspark.sql import types as T
 from diegrid.llm.words import ALNUM, LOWER, mix, runs_of_rows, shingle_hashes, utf8, word_bounds, word_hashes
 
 BANDS, UNIT, ITEMS = 64, 16, 20_000
+SHORT = UNIT // 2                        # items up to this size are found by all their shingles
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 class _Block:
-    """One block of items, by shingle width: their shingles, and minima by size class and band."""
+    """One block of items, by shingle width: their shingles, minima by size class and band, and the keys of short items."""
 
     def __init__(self, items: list[tuple[int, str]], width: int):
-        self.ids, self.sets, self.classes = [i for i, _ in items], [], {}
+        self.ids, self.sets, self.classes, self.short = [i for i, _ in items], [], {}, {}
         data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
         low = LOWER[data]
         starts, ends, first = word_bounds(low, offsets, ALNUM)
@@ -42,7 +45,9 @@ class _Block:
             w = min(width, int(first[k + 1] - first[k]))
             s = np.unique(shingle_hashes(words[first[k]:first[k + 1]], np.array([0, first[k + 1] - first[k]]), w)[0]) if w else np.zeros(0, np.uint64)
             self.sets.append(s)
-            if w:
+            if w and len(s) <= SHORT:
+                self.short.setdefault(w, []).append(k)
+            elif w:
                 units = 1 << max(0, int(np.ceil(np.log2(len(s) / UNIT))))
                 self.classes.setdefault(w, {}).setdefault(units, []).append(k)
         for w, by in self.classes.items():
@@ -53,6 +58,25 @@ class _Block:
                     order = np.argsort(lows, kind="stable")
                     tables.append((lows[order], np.array(members)[order]))
                 by[units] = tables
+        for w, members in self.short.items():
+            of = np.repeat(np.array(members), [len(self.sets[k]) for k in members])
+            every = np.concatenate([self.sets[k] for k in members])
+            order = np.argsort(every, kind="stable")
+            keys, first = np.unique(every[order], return_index=True)
+            self.short[w] = keys, np.append(first, len(every)), of[order]
+
+    def counted(self, hashes: np.ndarray, at: np.ndarray, w: int) -> Iterator[tuple[int, int, int]]:
+        """(row, item, common shingles) of every short item that a row shares a shingle with."""
+        keys, first, members = self.short[w]
+        place = np.searchsorted(keys, hashes)
+        hit = np.flatnonzero(keys[np.minimum(place, len(keys) - 1)] == hashes)
+        rows = np.searchsorted(at, hit, side="right") - 1
+        row, key = np.divmod(np.unique(rows * len(keys) + place[hit]), len(keys))
+        n = first[key + 1] - first[key]
+        items = members[np.repeat(first[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        pairs, common = np.unique(np.repeat(row, n) * len(self.ids) + items, return_counts=True)
+        for pair, c in zip(pairs.tolist(), common.tolist()):
+            yield *divmod(pair, len(self.ids)), c
 
     def candidates(self, hashes: np.ndarray, at: np.ndarray, by: dict) -> set[tuple[int, int]]:
         """(row, item) pairs with a window whose minimum equals the item's in one band."""
@@ -88,9 +112,12 @@ class _Block:
             low = LOWER[data[offsets[i]:offsets[j]]]
             starts, ends, first = word_bounds(low, offsets[i:j + 1] - offsets[i], ALNUM)
             words = word_hashes(low, starts, ends)
-            for w, by in self.classes.items():
+            for w in sorted({*self.classes, *self.short}):
                 hashes, at = shingle_hashes(words, first, w)
-                for r, k in sorted(self.candidates(hashes, at, by)):
+                for r, k, common in self.counted(hashes, at, w) if w in self.short else ():
+                    if common * den >= len(self.sets[k]) * num:
+                        yield i + r, k, common, len(self.sets[k])
+                for r, k in sorted(self.candidates(hashes, at, self.classes[w])) if w in self.classes else ():
                     common = int(np.isin(self.sets[k], hashes[at[r]:at[r + 1]]).sum())
                     if common * den >= len(self.sets[k]) * num:
                         yield i + r, k, common, len(self.sets[k])

@@ -156,6 +156,18 @@ def test_containment_in_long_documents(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i, _ in items}
 
 
+def test_short_items_in_long_documents():
+    """Hundreds of items of one to three shingles, each verbatim once among 300 other words: all are found, counts exact."""
+    random = np.random.default_rng(8)
+    words = [[f"i{i}w{j}" for j in range(5 + i % 3)] for i in range(600)]
+    texts = []
+    for w in words:
+        filler, at = [f"f{x}" for x in random.integers(0, 5000, 300)], int(random.integers(0, 300))
+        texts.append(" ".join(filler[:at] + w + filler[at:]))
+    block = decontaminate._Block([(i, " ".join(w)) for i, w in enumerate(words)], 5)
+    assert sorted(block.search(pa.array(texts), 4, 5)) == [(i, i, 1 + i % 3, 1 + i % 3) for i in range(600)]
+
+
 def ids_of(text, end):
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
