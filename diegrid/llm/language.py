@@ -1,7 +1,7 @@
 """Language identification by Bayesian fusion of evidence.
 
-Text likelihoods come from hashed byte trigrams, fitted on a bounded sample of labelled rows. A first pass over
-all rows gives each a posterior from its text alone; grouped sums of these posteriors make host priors,
+Text likelihoods come from hashed byte trigrams. Every label of the table is a class, fitted on a bounded sample of
+its own distinct texts, so neither the table's size nor other labels decide what exists. A first pass over all rows gives each a posterior from its text alone; grouped sums of these posteriors make host priors,
 smoothed by those of the domain and of all rows, and the reliability of each declared markup language and
 address suffix. The posterior of a row fuses all of them, its own share left out of what its host says.
 The class `und` has the uniform law over trigrams: text that no language explains better is rejected.
@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from diegrid.llm.store import written
 from diegrid.llm.words import LOWER, runs_of_rows, utf8
 
-SAMPLE = 4_000                           # labelled rows that the text model is fitted on
-LANGUAGES, LEAST = 40, 5                 # most languages, and the least rows of one in the sample
+SAMPLE = 1_000                           # distinct texts of each label that the text model is fitted on, about
 BUCKETS = 1 << 16
 WEIGHT = 100.0                           # trigrams that the text counts as, at most: neighbouring ones depend on each other
 HOST, RELIABLE, UND_PRIOR = 10.0, 5.0, 0.01
@@ -58,7 +57,8 @@ class TextModel:
         self.labels = [*labels, UND]
         shared = counts.sum(axis=0) + 0.5
         shared /= shared.sum()
-        law = (counts + 2_000 * 0.2 * shared + 0.02) / (counts + 2_000 * 0.2 * shared + 0.02).sum(axis=1, keepdims=True)
+        law = counts + 2_000 * 0.2 * shared + 0.02
+        law /= law.sum(axis=1, keepdims=True)
         self.table = np.log(np.vstack([law, np.full((1, BUCKETS), 1 / BUCKETS)])).T.astype(np.float32).copy()
 
     def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,17 +79,17 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """labelled(label, text): the `sample` rows first by hash of the text; languages with LEAST rows of it or more."""
-    rows = labelled.where("label is not null and text is not null").select("label", "text", F.xxhash64("text").alias("h"))
-    first = rows.select("label", "h").sort("h", "label").limit(sample).collect()
-    if not first:
+    """labelled(label, text): a class for each label but `und` and blank ones, from its distinct texts. Where a label
+    has more than `sample`, those whose hash is in the first share of `sample` to their number are taken."""
+    rows = labelled.where((F.trim("label") != "") & (F.col("label") != UND) & F.col("text").isNotNull()).select("label", "text", F.xxhash64("text").alias("h"))
+    sizes = rows.select("label", "h").distinct().groupBy("label").count().collect()
+    if not sizes:
         return TextModel([], np.zeros((0, BUCKETS)))
-    by: dict[str, int] = {}
-    for r in first:
-        by[r["label"]] = by.get(r["label"], 0) + 1
-    labels = sorted(sorted((k for k, n in by.items() if n >= LEAST), key=lambda k: (-by[k], k))[:LANGUAGES])
+    labels = sorted(r["label"] for r in sizes)
     counts, at = np.zeros((len(labels), BUCKETS)), {k: i for i, k in enumerate(labels)}
-    drawn = rows.where((F.col("h") <= first[-1]["h"]) & F.col("label").isin(labels)).dropDuplicates(["h", "label"]).select("label", "text")
+    last = [(r["label"], -(1 << 63) + min((1 << 64) - 1, (sample << 64) // r["count"])) for r in sizes]
+    ends = labelled.sparkSession.createDataFrame(last, "label string, last long")
+    drawn = rows.join(F.broadcast(ends), "label").where("h <= last").dropDuplicates(["h", "label"]).select("label", "text")     # one row per label
     for r in _counts(drawn).toArrow().to_batches():
         for label, bucket, n in zip(*(r.column(c).to_pylist() for c in range(3))):
             counts[at[label], bucket] = n
@@ -170,11 +170,17 @@ def domain(host: Column) -> Column:
 
 
 def decided(rows: DataFrame, model: TextModel) -> DataFrame:
-    """rows(posterior, n_trigrams, ...) -> language, confidence, keep; text under three bytes has no language."""
+    """rows(posterior, n_trigrams, declared, ...) -> language, confidence, keep; text under three bytes has no language.
+
+    Text that no class explains is taken at its word where it declares a language that is no class. Without any
+    class nothing can be judged: all text is kept."""
     names = F.array(*[F.lit(x) for x in model.labels])
     best = F.array_max("posterior")
     language = F.when(F.col("n_trigrams") > 0, names[F.array_position("posterior", best).cast("int") - 1]).otherwise(F.lit(UND))
-    return rows.withColumn("language", language).withColumn("confidence", F.when(F.col("n_trigrams") > 0, best).otherwise(F.lit(0.0))).withColumn("keep", F.col("language") != UND)
+    unmodelled = (F.trim("declared") != "") & ~F.col("declared").isin(model.labels) & (F.col("n_trigrams") > 0)
+    language = F.when((language == UND) & unmodelled, F.col("declared")).otherwise(language)
+    keep = F.col("language") != UND if len(model.labels) > 1 else F.col("n_trigrams") > 0
+    return rows.withColumn("language", language).withColumn("confidence", F.when(F.col("n_trigrams") > 0, best).otherwise(F.lit(0.0))).withColumn("keep", keep)
 
 
 def pages_as_rows(pages: DataFrame) -> DataFrame:

@@ -402,6 +402,26 @@ def test_language_evidence(spark):
     assert got[100][0] > 0.9 and got[101][0] > 0.9 and abs(sum(got[100]) - 1) < 1e-9
 
 
+def test_language_labels(spark):
+    """A rare label is a class however large the table is and however often one text repeats; an unmodelled
+    declaration, or no label at all, rejects no text."""
+    random = np.random.default_rng(3)
+
+    def text(low, n=60):
+        return " ".join("".join(chr(low + c) for c in random.integers(0, 20, 6)) for _ in range(n))
+    rows = [(i, text(0x61), "en", None) for i in range(6000)] + [(6000 + i, text(0x5D0), "he", None) for i in range(3)] + [(6003, text(0x5D0), None, None)]
+    rows += [(7000 + i, rows[0][1], "en", None) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    assert language.fit(docs.select(F.col("lang").alias("label"), "text")).labels == ["en", "he", "und"]
+    kept = language.identified(docs).where("doc_id between 6000 and 6003").collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in kept) == [(6000 + i, "he") for i in range(4)]
+    assert language.identified(docs.where("doc_id < 50").withColumn("lang", F.lit(None).cast("string"))).count() == 50
+    few = spark.createDataFrame([(0, text(0x10D0), "ka", None), (1, text(0x10D0), "und", None)], docs.schema)
+    model = language.fit(docs.select(F.col("lang").alias("label"), "text"))
+    got = language.languages(language.documents_as_rows(few, ["doc_id", "text"]), model, ["doc_id"]).collect()
+    assert {r["doc_id"]: (r["language"], r["keep"]) for r in got} == {0: ("ka", True), 1: ("und", False)}
+
+
 @pytest.fixture(scope="module")
 def staged(spark, odd):
     """The outputs of all stages, on the small tables and on the odd rows."""
