@@ -275,6 +275,25 @@ def test_small_untied_samples_use_the_exact_law(spark):
     assert abs(C.mann_whitney(log, ["x"], ["Loc"]).first().p - 2 * 2 / math.comb(11, 5)) < 1e-12
 
 
+def test_exact_law_holds_for_any_baseline(spark):
+    for a, b in ((5, 6), (3, 9), (8, 8), (6, 40)):
+        ways = np.array([1], object)                     # orders by U: one value of the small side after another
+        table = [[ways] * (b + 1) for _ in range(a + 1)]
+        for i in range(1, a + 1):
+            for j in range(1, b + 1):
+                w = np.zeros(i * j + 1, object)
+                w[j:] += table[i - 1][j]
+                w[:i * (j - 1) + 1] += table[i][j - 1]
+                table[i][j] = w
+        total = np.cumsum(table[a][b])
+        assert [C._u_at_most(m, a, b) for m in range(a * b + 1)] == list(total)
+    # 5 against 2001 untied values, all of the class above the baseline: p = 2 / C(2006, 5)
+    log = spark.createDataFrame([("Loc", 5000.0 + i) for i in range(5)] + [("None", float(i)) for i in range(2001)], "class string, x double")
+    assert abs(C.mann_whitney(log, ["x"], ["Loc"]).first().p * math.comb(2006, 5) / 2 - 1) < 1e-12
+    assert abs(2 * C._u_at_most(1121, 5, 2001) / math.comb(2006, 5) - 0.00095) < 1e-5
+    assert 0 < C._u_at_most(4 * 10**9, 8, 10**9) / math.comb(10**9 + 8, 8) - 0.5 < 1e-8
+
+
 def test_null_simulation_matches_full_scan():
     for n, k, seed in ((200, 20, 1), (500, 7, 2)):
         fast = C._null_llr(n, k, np.random.default_rng(seed), block=1 << 20)
