@@ -276,6 +276,18 @@ def test_personal_data(spark, small, odd):
     assert pii.personal_data(odd.limit(0)).count() == 0
 
 
+def test_personal_data_rare_kinds(spark):
+    """Cards beside 600 times as many addresses get a threshold, and copies of rows change neither trees nor thresholds."""
+    random = np.random.default_rng(4)
+    texts = [" ".join("server ip " + ".".join(map(str, random.integers(0, 256, 4))) for _ in range(60)) for _ in range(300)]
+    texts += [f"client {i} paid by card 4111 1111 1111 1111 on day {i}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    model, thresholds = pii.fit(docs, sample=400)
+    assert thresholds["card"] < np.inf and thresholds["ip"] < np.inf
+    again, same = pii.fit(docs.union(docs.where("doc_id < 5 or doc_id > 325")), sample=400)
+    assert again.trees == model.trees and same == thresholds
+
+
 def test_boosting_held_out():
     from diegrid.llm.boosting import Boosted, calibrated
     random = np.random.default_rng(1)
