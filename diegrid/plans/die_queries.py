@@ -40,7 +40,7 @@ def wilson_sql(k: str, n: str) -> tuple[str, str]:
     k, n = f"CAST({k} AS DOUBLE)", f"CAST({n} AS DOUBLE)"
     mid = f"(({k}/{n} + 1.96*1.96/(2*{n})) / (1 + 1.96*1.96/{n}))"
     half = f"(1.96*sqrt({k}/{n}*(1-{k}/{n})/{n} + 1.96*1.96/(4*{n}*{n})) / (1 + 1.96*1.96/{n}))"
-    return f"greatest(0.0, {mid} - {half})", f"least(1.0, {mid} + {half})"
+    return tuple(f"CASE WHEN {n} > 0 THEN {b} ELSE 0.0 END" for b in (f"greatest(0.0, {mid} - {half})", f"least(1.0, {mid} + {half})"))
 
 
 def reach_cte(name: str, cells: str, keys: str, touch: str) -> None:
@@ -155,11 +155,22 @@ def _(spark, sf):
 _W = wilson_sql("f", "n")
 
 
-@query("wilson", f"SELECT wafer_id, {R(_W[0])} AS lo, {R(_W[1])} AS hi FROM v_ext")
+cte("v_parts", """
+SELECT wafer_id, n, f, 'all' AS part FROM v_ext
+UNION ALL SELECT wafer_id, count(*) FILTER (WHERE r = rmin AND c = cmin), count(*) FILTER (WHERE r = rmin AND c = cmin AND state = 2), 'corner'
+FROM v_dies JOIN v_ext USING (wafer_id) GROUP BY 1""")
+
+
+@query("wilson", f"SELECT wafer_id, part, n, {R(_W[0])} AS lo, {R(_W[1])} AS hi FROM v_parts")
 def _(spark, sf):
-    g = V.dies(spark, sf).groupBy("wafer_id").agg(F.count("*").alias("n"), F.count_if(Q.is_fail()).alias("k"))
+    """All dies of each wafer, and the corner of its grid, which mostly holds none."""
+    g = D.with_extent(V.dies(spark, sf)).groupBy("wafer_id")
+    corner = (F.col("r") == F.col("rmin")) & (F.col("c") == F.col("cmin"))
+    g = g.agg(*[F.struct(F.lit(part).alias("part"), F.count_if(cond).alias("n"), F.count_if(cond & Q.is_fail()).alias("k")).alias(part)
+                for part, cond in (("all", F.lit(True)), ("corner", corner))])
+    g = g.select("wafer_id", F.inline(F.array("all", "corner")))
     lo, hi = wilson(F.col("k"), F.col("n"))
-    return g.select("wafer_id", r6(lo).alias("lo"), r6(hi).alias("hi"))
+    return g.select("wafer_id", "part", "n", r6(lo).alias("lo"), r6(hi).alias("hi"))
 
 
 # ---------------------------------------------------------------- one wafer
