@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diegrid.llm import decontaminate, hard_negatives, language, licenses, ngram_join, packing, pii, secrets, space_curves, token_count, token_files
+from diegrid.llm import collocations, decontaminate, hard_negatives, language, licenses, ngram_join, packing, pii, secrets, space_curves, token_count, token_files
 from diegrid.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(hard_negatives.quantised(table(spark, sf_dir, "embeddings")))
 
 
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 SQL["op10_ngram_join"] = r"""
 WITH RECURSIVE w AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -122,3 +127,27 @@ SELECT p.anchor AS anchor_id, p.id AS positive_id, row_number() OVER (PARTITION
 FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
 QUALIFY rank <= 5
 """
+
+SQL["op13_collocations"] = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+                  regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT doc, lang, generate_subscripts(ps, 1) AS piece, unnest(ps) AS t FROM d),
+w AS (SELECT doc, lang, piece, generate_subscripts(ws, 1) AS i, unnest(ws) AS w1 FROM (SELECT *, regexp_extract_all(t, '[^\x20\x09]+') AS ws FROM p)),
+g AS MATERIALIZED (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY doc, piece ORDER BY i)),
+f1 AS MATERIALIZED (SELECT lang, w1, count(*) AS f FROM g GROUP BY 1, 2),
+f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY 1, 2, 3),
+f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY 1),
+cuts AS (
+    SELECT b.lang, b.w1 || ' ' || b.w2 AS phrase, 1 AS k, b.f AS a, x.f AS l, y.f AS r FROM f2 b JOIN f1 x ON x.lang = b.lang AND x.w1 = b.w1
+        JOIN f1 y ON y.lang = b.lang AND y.w1 = b.w2 WHERE b.f >= 10 AND NOT EXISTS (
+            SELECT 1 FROM f3 t WHERE t.lang = b.lang AND ((t.w1 = b.w1 AND t.w2 = b.w2) OR (t.w2 = b.w1 AND t.w3 = b.w2)) AND 100 * t.f >= 50 * b.f)
+    UNION ALL SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 1, t.f, x.f, y.f FROM f3 t JOIN f1 x ON x.lang = t.lang AND x.w1 = t.w1
+        JOIN f2 y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+    UNION ALL SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 2, t.f, x.f, y.f FROM f3 t JOIN f2 x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2
+        JOIN f1 y ON y.lang = t.lang AND y.w1 = t.w3),
+s AS (SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score FROM k JOIN n USING (lang) WHERE rank <= 2000
+"""
