@@ -120,17 +120,17 @@ class _Part:
         self.ids, self.labels = (np.concatenate([r[i] for r in self.rows]) for i in (0, 1))
         self.rows = []
 
-    def blocks(self, anchors: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def blocks(self, anchors: np.ndarray, at_once: int) -> Iterator[tuple[int, np.ndarray]]:
         groups = self.planes.shape[1]
         bound = 8 * max(groups, 1) * max(self.most, 1) * 2 * (int(np.abs(anchors).max(initial=0)) + 1)
         if bound >= 1 << 63:
             raise ValueError("inner products of these vectors leave 64 bits")
         tables = subset_sums(anchors, groups, np.int32 if bound < 1 << 31 else np.int64)
-        for at in range(0, len(self.ids), ROWS):
-            yield at, scores(tables, self.planes[:, :, at:at + ROWS])
+        for at in range(0, len(self.ids), at_once):
+            yield at, scores(tables, self.planes[:, :, at:at + at_once])
 
 
-def _stream(pick: Callable, extra: list[str], out: pa.Schema):
+def _stream(pick: Callable, extra: list[str], out: pa.Schema, at_once: int):
     """Runs of a sorted partition: the candidates of a part (kind 0), then anchors (kind 1) in batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, _Part()
@@ -151,19 +151,19 @@ def _stream(pick: Callable, extra: list[str], out: pa.Schema):
                     held.close()
                 if not hasattr(held, "planes"):      # a part may be empty
                     continue
-                for a in range(0, len(ids), ANCHORS):
-                    some = slice(a, a + ANCHORS)
-                    more = [piece.column(piece.schema.get_field_index(x)).slice(a, ANCHORS) for x in extra]
+                for a in range(0, len(ids), at_once):
+                    some = slice(a, a + at_once)
+                    more = [piece.column(piece.schema.get_field_index(x)).slice(a, at_once) for x in extra]
                     columns = pick(held, ids[some], labels[some], v[some], *more)
                     if len(columns[0]):
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
     return run
 
 
-def _positives(k: int):
+def _positives(k: int, at_once: int):
     def pick(part: _Part, ids: np.ndarray, labels: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
         best = [np.zeros(0, np.int64)] * 3
-        for at, s in part.blocks(v):
+        for at, s in part.blocks(v, at_once):
             same = (part.labels[at:at + len(s), None] == labels[None, :]) & (part.ids[at:at + len(s), None] != ids[None, :])
             row, anchor = np.nonzero(_leading(s, same, k))
             found = anchor, s[row, anchor].astype(np.int64), part.ids[at + row]
@@ -174,7 +174,7 @@ def _positives(k: int):
     return pick
 
 
-def _negatives(k: int, low: int, high: int):
+def _negatives(k: int, low: int, high: int, at_once: int):
     """For each anchor and positive the first k rows of other labels with low * p <= high * s <= high * p."""
     def pick(part: _Part, ids: np.ndarray, labels: np.ndarray, v: np.ndarray, positive: pa.Array) -> list[np.ndarray]:
         count = positive.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -186,7 +186,7 @@ def _negatives(k: int, low: int, high: int):
         np.minimum.at(least, owner, floor_)
         np.maximum.at(most, owner, top)
         best = [np.zeros(0, np.int64)] * 3
-        for at, s in part.blocks(v):
+        for at, s in part.blocks(v, at_once):
             near = (s >= least) & (s <= most) & (part.labels[at:at + len(s), None] != labels[None, :])
             row, anchor = np.nonzero(near)
             order = np.argsort(anchor, kind="stable")
@@ -209,7 +209,8 @@ def _negatives(k: int, low: int, high: int):
     return pick
 
 
-def hard_negatives(rows: DataFrame, every: int = 100, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100) -> DataFrame:
+def hard_negatives(rows: DataFrame, every: int = 100, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100,
+                   part: int = PART, anchors_at_once: int = ANCHORS, rows_at_once: int = ROWS) -> DataFrame:
     """rows(id, label, v: array of whole numbers) -> anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 
     Anchors are the rows whose id `every` divides; scores are exact inner products, higher first, ties by smaller id.
@@ -219,23 +220,23 @@ def hard_negatives(rows: DataFrame, every: int = 100, positives: int = 5, negati
     Anchors without positives, and positives without negatives, give no rows; nor does an empty table."""
     rows = written(rows.select("id", "label", "v"), "vectors")
     total, tasks = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, -(-total // PART), min(2 * tasks, -(-total // ROWS)))
+    parts = max(1, -(-total // part), min(2 * tasks, -(-total // rows_at_once)))
     held = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "label", "v")
     anchors = rows.where(F.col("id") % every == 0)
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
 
     def met(asked: DataFrame, pick: Callable, extra: list[str], schema: str, out: pa.Schema) -> DataFrame:
         both = held.unionByName(asked.select(everywhere, F.lit(1).alias("kind"), "*"), allowMissingColumns=True)
-        return both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind", "id").mapInArrow(_stream(pick, extra, out), schema)
+        return both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind", "id").mapInArrow(_stream(pick, extra, out, anchors_at_once), schema)
 
     long = pa.int64()
-    found = met(anchors, _positives(positives), [], "anchor long, score long, id long",
+    found = met(anchors, _positives(positives, rows_at_once), [], "anchor long, score long, id long",
                 pa.schema([("anchor", long), ("score", long), ("id", long)]))
     rank = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("score"), "id"))
     first = found.select("*", rank.alias("rank")).where(F.col("rank") <= positives)
     lists = first.groupBy("anchor").agg(F.collect_list(F.struct("id", "score")).alias("positive"))
     asked = written(anchors.join(lists.withColumnRenamed("anchor", "id"), "id").select("id", "label", "v", "positive"), "anchors")
-    near = met(asked, _negatives(negatives, low, high), ["positive"], "anchor_id long, positive_id long, positive_score long, negative_score long, negative_id long",
+    near = met(asked, _negatives(negatives, low, high, rows_at_once), ["positive"], "anchor_id long, positive_id long, positive_score long, negative_score long, negative_id long",
                pa.schema([(x, long) for x in ("anchor_id", "positive_id", "positive_score", "negative_score", "negative_id")]))
     rank = F.row_number().over(Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id"))
     return (near.select("*", rank.alias("rank")).where(F.col("rank") <= negatives)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diegrid.llm import collocations, decontaminate, hard_negatives, language, licenses, ngram_join, packing, pii, secrets, space_curves, token_count, token_files
+from diegrid.llm import collocations, decontaminate, hard_negatives, language, licenses, mixing, ngram_join, packing, pii, secrets, space_curves, token_count, token_files
 from diegrid.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(hard_negatives.quantised(table(spark, sf_dir, "embeddings")))
 
 
+@query
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))

@@ -38,16 +38,13 @@ def brute(rows, every=100, k=5, low=80, high=100):
     return sorted(out)
 
 
-def mined(spark, rows):
+def mined(spark, rows, **limits):
     df = spark.createDataFrame(rows, SCHEMA)
-    return sorted(tuple(r) for r in H.hard_negatives(H.quantised(df)).collect())
+    return sorted(tuple(r) for r in H.hard_negatives(H.quantised(df), **limits).collect())
 
 
-def test_mining(spark, monkeypatch):
+def test_mining(spark):
     """Many parts and batches, ties, repeated ids and rows, nulls, odd lengths, negative ids, clashing columns."""
-    monkeypatch.setattr(H, "PART", 150)
-    monkeypatch.setattr(H, "ROWS", 40)
-    monkeypatch.setattr(H, "ANCHORS", 3)
     random = np.random.default_rng(1)
     centres = random.normal(size=(6, 12))
     rows = []
@@ -58,14 +55,14 @@ def test_mining(spark, monkeypatch):
              (1, 903, [1.0, None], "", 0, 0), (1, 904, [1.0, float("nan")], "", 0, 0), (1, 905, [float("inf")], "", 0, 0), (1, 906, [2.0, 3.0], "", 0, 0), (0, 300, [9.0], "", 0, 0)]
     want = brute(rows)
     assert len(want) > 100
-    assert mined(spark, rows) == want
+    assert mined(spark, rows, part=150, anchors_at_once=3, rows_at_once=40) == want
     assert mined(spark, rows[:0]) == []
 
 
 def test_equal_vectors(spark):
     """All scores are ties: the smallest ids win."""
     rows = [(i % 2, i, [0.5, 0.25], "", 0, 0) for i in range(300)]
-    assert mined(spark, rows) == brute(rows)
+    assert mined(spark, rows) == mined(spark, rows, part=100, anchors_at_once=2, rows_at_once=7) == brute(rows)
 
 
 def test_wide_products_are_an_error(spark):
