@@ -3,22 +3,20 @@
 Copies are handled at two levels. Maps that are equal after one of the eight symmetries share an
 orbit and are represented by their smallest id, so a group of copies, however large, is one row
 of the similarity search and never expands into its pairs; pair counts follow from
-multiplicities. Distinct orbits are compared by an exact prefix-filtered set-similarity join.
+multiplicities. Distinct orbits meet through an exact search over blocks of cells (`mask_search`).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from diegrid.constants import FINGERPRINT_SIZE
 from diegrid.functions.prefix import dense_ids
 from diegrid.operators.components import connected_nodes
+from diegrid.operators.mask_search import candidate_pairs, packed, similar_pairs
 from diegrid.sources.tables import ensure_checkpoint_dir
 
 S = FINGERPRINT_SIZE
-_MAX_KEYS = 500          # combination keys per map and symmetry: picks how many tokens form a key
 
 
 def fingerprint_cells(cells: DataFrame) -> DataFrame:
@@ -53,112 +51,20 @@ def dihedral_variants(cells: DataFrame) -> DataFrame:
     return _words(symmetric_cells(fingerprint_cells(cells)), ["wafer_id", "v"])
 
 
-def zone_counts(fp: DataFrame, rings: int = 9) -> DataFrame:
-    """Fails and passes per symmetry-invariant zone: ring round the centre x near the axes or the
-    diagonals. Corresponding counts bound the overlap of two maps under every symmetry."""
-    dy, dx = F.abs(2 * F.col("y") - (S - 1)), F.abs(2 * F.col("x") - (S - 1))
-    ring = F.least(F.floor(F.sqrt(dy * dy + dx * dx) * rings / (S * 1.1)), F.lit(rings - 1))
-    zone = (ring * 2 + F.when(F.least(dy, dx) * 12 >= F.greatest(dy, dx) * 5, 1).otherwise(0)).cast("int")
-    g = fp.select("wafer_id", "fail", "pass", zone.alias("z")).groupBy("wafer_id")
-    return g.agg(*[F.array(*[F.count_if(F.col(flag) & (F.col("z") == z)).cast("int") for z in range(2 * rings)]).alias(f"z_{flag}") for flag in ("fail", "pass")])
-
-
-def masks(cells: DataFrame) -> DataFrame:
-    """One row per wafer that has both fails and passes: the eight variants as arrays of words,
-    the two set sizes, the zone counts and the canonical form (smallest variant)."""
-    w = dihedral_variants(cells).groupBy("wafer_id", "v").agg(
-        F.map_from_entries(F.collect_list(F.struct("y", F.struct("fail_word", "pass_word")))).alias("m"),
-        F.sum(F.bit_count("fail_word")).alias("nf"), F.sum(F.bit_count("pass_word")).alias("np"))
-
-    def rows(field: str) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(S - 1)), lambda y: F.coalesce(F.try_element_at("m", y)[field], F.lit(0).cast("long")))
-
-    g = w.where("nf > 0 AND np > 0").select("wafer_id", "v", "nf", "np", rows("fail_word").alias("fail"), rows("pass_word").alias("pass"))
-    return g.groupBy("wafer_id").agg(F.array_sort(F.collect_list(F.struct("v", "fail", "pass"))).alias("variants"),
-                                     F.max("nf").alias("nf"), F.max("np").alias("np"),
-                                     F.min(F.struct("fail", "pass")).alias("canon")).join(zone_counts(fingerprint_cells(cells)), "wafer_id")
-
-
-def orbits(mask_table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(wafer_id, rep) for every comparable wafer, and the mask rows of the representatives."""
-    rep = mask_table.groupBy("canon").agg(F.min("wafer_id").alias("rep"))
-    members = mask_table.select("wafer_id", "canon").join(rep, "canon").select("wafer_id", "rep")
-    reps = mask_table.join(rep.select(F.col("rep").alias("wafer_id")), "wafer_id")
-    return members, reps
-
-
-def _similarity(variants: Column, fail: Column, pass_: Column) -> Column:
-    """max over variants of min(IoU of fails, IoU of passes)."""
-    def iou(a: Column, b: Column) -> Column:
-        count = lambda w: F.aggregate(w, F.lit(0), lambda s, x: s + F.bit_count(x))
-        both = count(F.zip_with(a, b, lambda p, q: p.bitwiseAND(q)))
-        either = count(F.zip_with(a, b, lambda p, q: p.bitwiseOR(q)))
-        return both.cast("double") / F.greatest(either, F.lit(1))
-    return F.array_max(F.transform(variants, lambda v: F.least(iou(v["fail"], fail), iou(v["pass"], pass_))))
-
-
-def _key_width(smallest: int, threshold: float) -> int:
-    """Tokens per key for maps whose size is at most smallest / threshold^2."""
-    n = smallest / threshold ** 2
-    for width in (3, 2):
-        if math.comb(int(n - math.ceil(threshold * n)) + width + 1, width) <= _MAX_KEYS:
-            return width
-    return 1
-
-
-def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b that can reach the threshold; exact, no pair is missed.
-
-    IoU >= t bounds the overlap from below by t * n, so two maps share `width` fails among the
-    first n - ceil(t n) + width of them in any fixed order. Rarely failing cells come first; the
-    key is a combination of `width` cells, wide for sparse maps, where single cells are shared by
-    chance. Sizes must agree within t as well, which limits partners to equal or adjacent size
-    classes; the class is part of the key.
-    """
-    fails = (reps.select("wafer_id", "nf", "np", F.explode("variants").alias("s"))
-             .select("wafer_id", "nf", "np", "s.v", F.posexplode("s.fail").alias("y", "word")).where("word <> 0")
-             .select("wafer_id", "nf", "np", "v", "y", "word", F.explode(F.sequence(F.lit(0), F.lit(S - 1))).alias("x"))
-             .where("(shiftright(word, x) & 1) = 1").select("wafer_id", "nf", "np", "v", (F.col("y") * S + F.col("x")).alias("cell")))
-    rarity = fails.groupBy("cell").agg(F.count("*").alias("df"))                              # at most S * S rows
-    ordered = (fails.join(F.broadcast(rarity), "cell").groupBy("wafer_id", "nf", "np", "v")
-               .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "cell"))), lambda s: s["cell"]).alias("cells")))
-    base = math.log(1 / threshold)
-    top = int(math.log(S * S) / base) + 1
-    width = F.array(*[F.lit(_key_width(int(math.exp(k * base)), threshold)) for k in range(top + 1)])
-    size_class = F.floor(F.ln("nf") / base + 1e-9).cast("int")
-    w = (ordered.select("*", F.explode(F.array(size_class, size_class - 1)).alias("cls")).where("cls >= 0")
-         .withColumn("width", F.get(width, F.col("cls")))
-         .withColumn("width", F.least("width", "nf"))
-         .withColumn("pre", F.slice("cells", F.lit(1), F.least(F.col("nf"), F.col("nf") - F.ceil(threshold * F.col("nf") - 1e-9) + F.col("width")).cast("int"))))
-    c = S * S
-    combos = F.expr(f"""CASE width WHEN 1 THEN transform(pre, a -> CAST(a AS BIGINT))
-        WHEN 2 THEN flatten(transform(pre, (a, i) -> transform(slice(pre, i + 2, size(pre)), b -> least(a, b) * {c}L + greatest(a, b))))
-        ELSE flatten(flatten(transform(pre, (a, i) -> transform(slice(pre, i + 2, size(pre)), (b, j) ->
-             transform(slice(pre, i + j + 3, size(pre)), d -> array_sort(array(a, b, d))[0] * {c * c}L + array_sort(array(a, b, d))[1] * {c}L + array_sort(array(a, b, d))[2]))))) END""")
-    keyed = w.select("wafer_id", "nf", "np", "v", "cls", "width", F.explode(combos).alias("key"))
-    a = keyed.select(F.col("wafer_id").alias("a"), F.col("nf").alias("nfa"), F.col("np").alias("npa"), "cls", "width", "key")
-    b = keyed.where("v = 0").select(F.col("wafer_id").alias("b"), F.col("nf").alias("nfb"), F.col("np").alias("npb"), "cls", "width", "key")
-    close = [F.least(p, q) >= threshold * F.greatest(p, q) for p, q in ((F.col("nfa"), F.col("nfb")), (F.col("npa"), F.col("npb")))]
-    return a.join(b, ["cls", "width", "key"]).where((F.col("a") < F.col("b")) & close[0] & close[1]).select("a", "b").distinct()
+def orbits(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(wafer_id, rep) for every wafer that has both fails and passes, and (rep, canon): the smallest wafer of
+    those that are equal under a symmetry, with their common smallest variant."""
+    masks = packed(words).checkpoint()                   # read by both results
+    reps = masks.groupBy("canon").agg(F.min("wafer_id").alias("rep"))
+    return masks.join(reps, "canon").select("wafer_id", "rep"), reps.select("rep", "canon")
 
 
 def near_duplicates(cells: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Similar orbits (a < b, sim) and membership (wafer_id, rep). Masks and pairs are read several
-    times by what follows, so both are checkpointed to the shared folder."""
+    """Similar orbits (a < b, sim) and membership (wafer_id, rep). Both are read several times by what follows."""
     ensure_checkpoint_dir(cells.sparkSession)
-    members, reps = orbits(masks(cells).checkpoint())
-    one = reps.select(F.col("wafer_id").alias("b"), F.col("variants")[0]["fail"].alias("fail"), F.col("variants")[0]["pass"].alias("pass"))
-    zones = [reps.select(F.col("wafer_id").alias(k), F.col("z_fail").alias(f"{k}_fail"), F.col("z_pass").alias(f"{k}_pass")) for k in ("a", "b")]
-
-    def reach(flag: str) -> Column:                     # upper bound of the IoU from zone counts
-        tally = lambda pick: F.aggregate(F.zip_with(f"a_{flag}", f"b_{flag}", pick), F.lit(0), lambda t, x: t + x)
-        return tally(lambda x, y: F.least(x, y)) >= threshold * tally(lambda x, y: F.greatest(x, y))
-
-    # the short zone vectors meet first: the masks, 4 KB per map, only travel for pairs that pass
-    likely = candidate_pairs(reps, threshold).join(zones[0], "a").join(zones[1], "b").where(reach("fail") & reach("pass")).select("a", "b")
-    pairs = (likely.join(reps.select(F.col("wafer_id").alias("a"), "variants"), "a").join(one, "b")
-             .select("a", "b", _similarity(F.col("variants"), F.col("fail"), F.col("pass")).alias("sim")).where(F.col("sim") >= threshold))
-    return pairs.checkpoint(), members
+    members, reps = orbits(fingerprint(cells))
+    reps = reps.checkpoint()
+    return similar_pairs(candidate_pairs(reps, threshold), reps, threshold).checkpoint(), members
 
 
 def _with_self(pairs: DataFrame, members: DataFrame) -> DataFrame:
