@@ -99,8 +99,8 @@ def _blocks(level: int, threshold: float) -> int:
     return int(min(CELLS, _differ(top, threshold) // 2 + 1 + _SPARE))
 
 
-def search_keys(reps: DataFrame, threshold: float) -> DataFrame:
-    """reps(rep, canon) -> key, lacking, asks (the larger mask of a pair), rep, which, size, other."""
+def search_keys(reps: DataFrame, threshold: float, asks: bool) -> DataFrame:
+    """reps(rep, canon) -> key, lacking, rep, size, other: of the larger mask of a pair, which asks, or of the smaller one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -112,33 +112,31 @@ def search_keys(reps: DataFrame, threshold: float) -> DataFrame:
                     level = _level(size, threshold)
                     for lv in np.unique(np.concatenate([level[used], level[used] + 1])):
                         n_blocks = _blocks(int(lv), threshold)
-                        for asks in (True, False):
-                            rows = np.flatnonzero(used & ((level == lv) | (~np.bool_(asks) & (level == lv - 1))))
-                            if not len(rows):
-                                continue
-                            if asks:                     # equal variants of one map are asked once
-                                grids = turns(bits[rows, which]).transpose(1, 0, 2, 3).reshape(-1, CELLS)
-                                owner = np.repeat(rows, 8)
-                                packed_ = np.concatenate([owner[:, None].astype(">i8").view(np.uint8).reshape(-1, 8), np.packbits(grids, axis=1)], axis=1)
-                                once = np.sort(np.unique(packed_, axis=0, return_index=True)[1])
-                                grids, owner = grids[once], owner[once]
-                                picked = np.minimum(_differ(size[owner], threshold) // 2 + 1, n_blocks)
-                            else:
-                                grids, owner = bits[rows, which].reshape(-1, CELLS), rows
-                                picked = np.full(len(rows), n_blocks)
-                            row, key, lacking = _keys(grids, int(lv), n_blocks, picked, which)
-                            o = owner[row]
-                            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lacking), pa.array(np.full(len(o), asks)), pa.array(ids[o]), pa.array(size[o]), pa.array(other[o])],
-                                                             ["key", "lacking", "asks", "rep", "size", "other"])
-
-    return reps.select("rep", "canon").mapInArrow(run, "key long, lacking boolean, asks boolean, rep long, size long, other long")
+                        rows = np.flatnonzero(used & ((level == lv) | ((level == lv - 1) & (not asks))))
+                        if not len(rows):
+                            continue
+                        if asks:                     # equal variants of one map are asked once
+                            grids = turns(bits[rows, which]).transpose(1, 0, 2, 3).reshape(-1, CELLS)
+                            owner = np.repeat(rows, 8)
+                            packed_ = np.concatenate([owner[:, None].astype(">i8").view(np.uint8).reshape(-1, 8), np.packbits(grids, axis=1)], axis=1)
+                            once = np.sort(np.unique(packed_, axis=0, return_index=True)[1])
+                            grids, owner = grids[once], owner[once]
+                            picked = np.minimum(_differ(size[owner], threshold) // 2 + 1, n_blocks)
+                        else:
+                            grids, owner = bits[rows, which].reshape(-1, CELLS), rows
+                            picked = np.full(len(rows), n_blocks)
+                        row, key, lacking = _keys(grids, int(lv), n_blocks, picked, which)
+                        o = owner[row]
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lacking), pa.array(ids[o]), pa.array(size[o]), pa.array(other[o])],
+                                                         ["key", "lacking", "rep", "size", "other"])
+
+    return reps.select("rep", "canon").mapInArrow(run, "key long, lacking boolean, rep long, size long, other long")
 
 
 def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs a < b of reps(rep, canon) that can reach the threshold; no pair that does is missed."""
-    keys = search_keys(reps, threshold).checkpoint()
-    a = keys.where("asks").select("key", F.col("lacking").alias("la"), F.col("rep").alias("x"), F.col("size").alias("sx"), F.col("other").alias("ox"))
-    b = keys.where("not asks").select("key", F.col("lacking").alias("lb"), F.col("rep").alias("y"), F.col("size").alias("sy"), F.col("other").alias("oy"))
+    a = search_keys(reps, threshold, True).select("key", F.col("lacking").alias("la"), F.col("rep").alias("x"), F.col("size").alias("sx"), F.col("other").alias("ox"))
+    b = search_keys(reps, threshold, False).select("key", F.col("lacking").alias("lb"), F.col("rep").alias("y"), F.col("size").alias("sy"), F.col("other").alias("oy"))
     larger = (F.col("sy") < F.col("sx")) | ((F.col("sy") == F.col("sx")) & (F.col("x") < F.col("y")))
     close = (F.col("sy") >= threshold * F.col("sx") - 1e-9) & (F.least("ox", "oy") >= threshold * F.greatest("ox", "oy") - 1e-9)
     met = a.join(b, "key").where(~(F.col("la") & F.col("lb")) & larger & close)
