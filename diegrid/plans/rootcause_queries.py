@@ -5,12 +5,31 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from diegrid.constants import CAUSES, CLASSES, PRIORS
-from diegrid.functions.numeric import ERFC_COEFFICIENTS
+from diegrid.functions.numeric import BETA_TERMS, ERFC_COEFFICIENTS, GAMMA_SERIES
 from diegrid.operators import dies as D, rootcause as C
+from diegrid.plans.metric_queries import mix_sql
 from diegrid.plans.registry import R, cte, query
 from diegrid.sources import views as V
 
 
+def student_sql(t: str, dof: str) -> str:
+    """Two-sided p of Student's t as text: both sides of the incomplete beta function, the fraction written out."""
+    a, z = f"(CAST({dof} AS DOUBLE) / 2)", f"(CAST({t} AS DOUBLE) * {t} / ({dof}))"
+    steps = " * ".join(f"({a} + {k}) / ({a} + {k}.5)" for k in range(8))
+    series = "(" + " + ".join(f"{c!r} / ({a} + 8) ^ {i}" for i, c in enumerate(GAMMA_SERIES)) + ")"
+    front = f"(exp(-({a} + 0.5) * ln(1 + {z})) * sqrt({z}) * {steps} * sqrt({a} + 8) * {series} / sqrt(pi()))"
+
+    def tail(p: str, q: str, x: str) -> str:
+        v = "1.0"
+        for j in range(BETA_TERMS, 0, -1):
+            m = j // 2
+            d = f"{m} * ({q} - {m}) * {x} / (({p} + {2 * m - 1}) * ({p} + {2 * m}))" if j % 2 == 0 else f"-({p} + {m}) * ({p} + {q} + {m}) * {x} / (({p} + {2 * m}) * ({p} + {2 * m + 1}))"
+            v = f"(1 + {d} / {v})"
+        return f"{front} / {p} / {v}"
+
+    return f"CASE WHEN {t} * {t} < 16 THEN 1 - {tail('0.5', a, f'({z} / (1 + {z}))')} ELSE {tail(a, '0.5', f'(1 / (1 + {z}))')} END"
+
+
 def erfc_sql(x: str) -> str:
     t = f"(1.0 / (1.0 + 0.5 * ({x})))"
     poly = f"CAST({ERFC_COEFFICIENTS[-1]} AS DOUBLE)"
@@ -151,7 +170,27 @@ def _(spark, sf):
     return D.rounded(C.drift_statistics(log, roles.factors, classes), "stat", "rate_before", "rate_after")
 
 
-@query("changepoint_pvalue")
+# every admissible split of every replicate, with the counts before it from a running total over all places
+cte("v_nreps", "SELECT n, k, least(k, n - k) AS m, CAST(floor(least(k, n - k) + least(k, n - k) * least(k, n - k) * 4 / (n * 5) + least(k, n - k) / 16 + 64) AS BIGINT) AS draws, rep "
+    "FROM (SELECT DISTINCT n, CAST(k AS BIGINT) AS k FROM v_drift), (SELECT unnest(range(1, 301)) AS rep)")
+cte("v_nhash", f"SELECT n, k, m, rep, j, {mix_sql('j', 'rep')} AS h FROM (SELECT *, unnest(range(draws)) AS j FROM v_nreps)")
+cte("v_ndraws", f"SELECT n, k, m, rep, j, {mix_sql('h', '2 * n + 1')} AS h FROM v_nhash")
+cte("v_npos", f"SELECT n, k, m, rep, (h * 2147483647 + {mix_sql('h', '3 * n + 2')}) % n AS pos, min(j) AS j FROM v_ndraws GROUP BY ALL")
+cte("v_nkept", "SELECT n, k, m, rep, pos FROM v_npos QUALIFY row_number() OVER (PARTITION BY n, k, rep ORDER BY j) <= m")
+cte("v_nsplit", """
+SELECT n, k, m, rep, pos AS n1, row_number() OVER (PARTITION BY n, k, rep ORDER BY pos) - 1 AS c FROM v_nkept
+UNION ALL SELECT n, k, m, rep, pos + 1, row_number() OVER (PARTITION BY n, k, rep ORDER BY pos) FROM v_nkept
+UNION ALL SELECT n, k, m, rep, e, count(*) FILTER (pos < e) FROM v_nkept, LATERAL (SELECT unnest([30, n - 30]) AS e) GROUP BY ALL""")
+cte("v_null", f"""
+SELECT n, k, rep, coalesce(max(CASE WHEN (k - k1) * n1 > k1 * (n - n1) THEN round({_ll('k1', 'n1')} + {_ll('(k - k1)', '(n - n1)')} - {_ll('k', 'n')}, 9) ELSE 0 END)
+       FILTER (n1 >= 30 AND n1 <= n - 30), 0) AS null_stat
+FROM (SELECT n, k, rep, n1, CASE WHEN k = m THEN c ELSE n1 - c END AS k1 FROM v_nsplit) GROUP BY ALL""")
+cte("v_pdrift", bh_sql("(SELECT *, (1 + (SELECT count(*) FROM v_null u WHERE u.n = d.n AND u.k = d.k AND u.null_stat >= d.stat)) / 301.0 AS p FROM v_drift d)", "class, scope"))
+
+
+@query("changepoint_pvalue", f"""
+SELECT class, scope, n, CAST(k AS BIGINT) AS k, {R('stat')} AS stat, onset_seq, onset_wafer, {R('k1 / n1')} AS rate_before,
+       {R('(k - k1) / (n - n1)')} AS rate_after, {R('p')} AS p, {R('q')} AS q FROM v_pdrift""")
 def _(spark, sf):
     log, roles, classes = setup(spark, sf)
     t = C.changepoint_pvalue(C.drift_statistics(log, roles.factors, classes))
@@ -164,9 +203,9 @@ FROM (SELECT c.class, bin, edges, count(*) AS n, count(*) FILTER (v.class = c.cl
       FROM (SELECT class, edges, greatest(len(list_filter(edges, lambda e: e < v)), 1) AS bin FROM v_pvals,
               (SELECT list_sort(list_distinct(quantile_cont(v, [0, 0.25, 0.5, 0.75, 1]))) AS edges FROM v_pvals WHERE param = 'cmp_pad_cycles') WHERE param = 'cmp_pad_cycles') v,
            (SELECT class FROM v_ccount WHERE analysed) c GROUP BY 1, 2, 3)
-JOIN (SELECT class, r, least(1.0, {erfc_sql('abs(r * sqrt(n - 2) / sqrt(1 - r * r)) / sqrt(2.0)')}) AS p
-      FROM (SELECT c.class, count(*) AS n, corr(CASE WHEN v.class = c.class THEN 1.0 ELSE 0.0 END, v) AS r
-            FROM v_pvals v, (SELECT class FROM v_ccount WHERE analysed) c WHERE param = 'cmp_pad_cycles' GROUP BY 1)) USING (class)""")
+JOIN (SELECT class, r, {student_sql('t', 'dof')} AS p
+      FROM (SELECT class, r, r * sqrt(n - 2) / sqrt(1 - r * r) AS t, n - 2 AS dof FROM (SELECT c.class, count(*) AS n, corr(CASE WHEN v.class = c.class THEN 1.0 ELSE 0.0 END, v) AS r
+            FROM v_pvals v, (SELECT class FROM v_ccount WHERE analysed) c WHERE param = 'cmp_pad_cycles' GROUP BY 1))) USING (class)""")
 def _(spark, sf):
     log, roles, classes = setup(spark, sf)
     return D.rounded(C.consumables(log, roles.params, classes), "rate", "r", "p")

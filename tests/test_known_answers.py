@@ -62,6 +62,33 @@ def test_tail_probabilities(spark):
         assert abs(r.p - 0.05) < 1e-6
 
 
+def test_student_at_all_sizes(spark):
+    """Against the finite trigonometric sum for whole degrees of freedom, on both sides of 1,000, and the normal limit."""
+    def exact(t, k):
+        th = math.atan(t / math.sqrt(k))
+        c, s = math.cos(th), math.sin(th)
+        if k % 2:
+            term, total = c, c if k > 1 else 0.0
+            for j in range(1, (k - 3) // 2 + 1):
+                term *= c * c * 2 * j / (2 * j + 1)
+                total += term
+            return 1 - 2 / math.pi * (th + s * total)
+        term, total = 1.0, 1.0
+        for j in range(1, (k - 2) // 2 + 1):
+            term *= c * c * (2 * j - 1) / (2 * j)
+            total += term
+        return 1 - s * total
+
+    ts = [0.0, 1e-6, 0.3, 1.0, 1.6, 1.74, 2.0, 3.5, 6.0]
+    cases = [(t, k, exact(t, k)) for t in ts for k in (1, 2, 3, 4, 7, 30, 999, 1000, 1001, 1002, 20_001)]
+    cases += [(t, k, math.erfc(t / math.sqrt(2))) for t in ts for k in (10 ** 9, 10 ** 12)]
+    df = spark.createDataFrame(cases, "t double, k long, want double")
+    for sign in (1, -1):
+        for r in df.select("t", "k", "want", N.student_two_sided(F.col("t") * sign, F.col("k")).alias("p")).collect():
+            assert abs(r.p - r.want) < 1e-8, r
+    assert df.limit(1).select(N.student_two_sided(F.lit(1.0), F.lit(0)).alias("p")).first().p is None
+
+
 @pytest.mark.parametrize("connectivity", [4, 8])
 def test_label_cells_matches_flood_fill(spark, connectivity):
     rnd = random.Random(1)
@@ -294,24 +321,41 @@ def test_exact_law_holds_for_any_baseline(spark):
     assert 0 < C._u_at_most(4 * 10**9, 8, 10**9) / math.comb(10**9 + 8, 8) - 0.5 < 1e-8
 
 
-def test_null_simulation_matches_full_scan():
-    for n, k, seed in ((200, 20, 1), (500, 7, 2)):
-        fast = C._null_llr(n, k, np.random.default_rng(seed), block=1 << 20)
-        rng = np.random.default_rng(seed)
-        pos = np.sort(rng.choice(n, k, replace=False))
-        ind = np.zeros(n)
-        ind[pos] = 1
-        best, c = 0.0, np.cumsum(ind)
-
-        def ll(x, m):
-            p = min(max(x / m, 1e-12), 1 - 1e-12)
-            return x * math.log(p) + (m - x) * math.log(1 - p)
-
-        for n1 in range(30, n - 30 + 1):
-            k1 = c[n1 - 1]
-            if (k - k1) / (n - n1) > k1 / n1:
-                best = max(best, ll(k1, n1) + ll(k - k1, n - n1) - ll(k, n))
-        assert abs(best - fast) < 1e-9
+def test_null_statistics_match_a_full_scan(spark):
+    """Every admissible split of the drawn places; arrays and blocks of rows agree; events rare, common, at half."""
+    def ll(x, m):
+        return sum(s * v * math.log(v) for s, v in ((1, x), (1, m - x), (-1, m)) if v > 0)
+
+    sizes = [(200, 20), (500, 7), (300, 290), (400, 200), (120, 60), (5000, 1), (5000, 2400)]
+    df = spark.createDataFrame(sizes, "n long, k long")
+    fast = {(r.n, r.k, r.rep): r.null for r in C.null_statistics(df, 5, seed=3).collect()}
+    rows = {(r.n, r.k, r.rep): r.null for r in C.null_statistics(df, 5, seed=3, long=0, width=64).collect()}
+    assert len(fast) == 5 * len(sizes) and fast == rows
+    for n, k in sizes:
+        m = min(k, n - k)
+        draws = int(m + m * m * 4 / (n * 5) + m / 16 + 64)
+        for rep in range(1, 6):
+            seen = []
+            for j in range(draws):
+                h = int(C._mixed(C._mixed(np.array([j]), rep + 3), 2 * n + 1)[0])
+                pos = (h * 2147483647 + int(C._mixed(np.array([h]), 3 * n + 2)[0])) % n
+                if pos not in seen:
+                    seen.append(pos)
+            assert len(seen) >= m
+            events = set(seen[:m]) if k == m else set(range(n)) - set(seen[:m])
+            best, k1 = 0.0, len([p for p in events if p < 29])
+            for n1 in range(30, n - 30 + 1):
+                k1 += n1 - 1 in events
+                if (k - k1) * n1 > k1 * (n - n1):
+                    best = max(best, ll(k1, n1) + ll(k - k1, n - n1) - ll(k, n))
+            assert abs(best - fast[n, k, rep]) < 2e-9
+    for n in (400, 1000, 4096, 10_007):                  # draws are even over places and replicates
+        high = np.concatenate([C._mixed(C._mixed(np.arange(20 * n), rep), 2 * n + 1) for rep in range(5)])
+        count = np.bincount((high * 2147483647 + C._mixed(high, 3 * n + 2)) % n, minlength=n)
+        assert abs(((count - 100) ** 2 / 100).sum() / n - 1) < 0.25
+    x = [0, 1, 77, 2 ** 31, 2 ** 45 + 12345, -3]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x long").select(N.mix(F.col("x"), 41)).collect()]
+    assert C._mixed(np.array(x), 41).tolist() == want
 
 
 def test_folds_never_split_a_group(spark):
