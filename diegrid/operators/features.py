@@ -6,9 +6,14 @@ on-wafer share exceeds one half. Densities are ratios of exact integer sums.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import cache
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from diegrid.constants import FEATURES, INPUT_SIZE
 from diegrid.functions.numeric import ratio
@@ -17,6 +22,7 @@ from diegrid.operators.dies import BIN_EPS, morans_i
 from diegrid.sources.tables import ensure_checkpoint_dir
 
 PI = 3.141592653589793
+ANGLES, EDGE_RINGS = 64, (12, 16)        # angles of the edge profile; its rings, of 16 up to the inscribed circle
 
 
 def on_cells(cells: DataFrame, size: int = INPUT_SIZE) -> DataFrame:
@@ -27,36 +33,65 @@ def on_cells(cells: DataFrame, size: int = INPUT_SIZE) -> DataFrame:
         (F.sqrt(dx * dx + dy * dy) / (size / 2)).alias("r"), F.atan2(dy, dx).alias("th"))
 
 
-def _density(cond: Column) -> tuple[Column, Column]:
-    return F.sum(F.when(cond, F.col("fn"))), F.count_if(cond)
-
-
-def _sector(n: int) -> Column:
-    return F.floor((F.col("th") + PI) / (2 * PI / n) + BIN_EPS).cast("int") % n
-
-
-def density_features(on: DataFrame) -> DataFrame:
-    """Overall and radial densities, contrasts and the 13 regions in one aggregation; sectors
-    are sorted within each ring, which makes them rotation invariant."""
-    r = F.col("r")
+@cache
+def zone_masks(size: int = INPUT_SIZE) -> dict[str, np.ndarray]:
+    """Which cells belong to each radial zone, region and edge bin."""
+    y, x = np.divmod(np.arange(size * size), size)
+    dy, dx = y - (size - 1) / 2, x - (size - 1) / 2
+    r, th = np.sqrt(dx * dx + dy * dy) / (size / 2), np.arctan2(dy, dx)
+    sector = {n: np.floor((th + PI) / (2 * PI / n) + BIN_EPS).astype(int) % n for n in (4, 8)}
     zones = {f"radial_{i}": (r >= i / 8) & (r < (i + 1) / 8) for i in range(8)}
     zones |= {"inner": r < 0.3, "not_inner": r >= 0.3, "mid": (r >= 0.3) & (r < 0.75), "outer": r >= 0.8, "not_outer": r < 0.8,
               "region_center": r < 1 / 3}
-    zones |= {f"mid_{k}": (r >= 1 / 3) & (r < 2 / 3) & (_sector(4) == k) for k in range(4)}
-    zones |= {f"out_{k}": (r >= 2 / 3) & (_sector(8) == k) for k in range(8)}
-    aggs = []
-    for name, cond in zones.items():
-        f, n = _density(cond)
-        aggs += [f.alias(f"f_{name}"), n.alias(f"n_{name}")]
-    g = on.groupBy("wafer_id").agg(F.sum("fn").alias("f_all"), F.count("*").alias("area"), F.max("s2").alias("s2"), *aggs)
-
+    zones |= {f"mid_{k}": (r >= 1 / 3) & (r < 2 / 3) & (sector[4] == k) for k in range(4)}
+    zones |= {f"out_{k}": (r >= 2 / 3) & (sector[8] == k) for k in range(8)}
+    ring = np.floor(r * EDGE_RINGS[1] + BIN_EPS).astype(int)
+    angle = np.minimum(np.floor((th + PI) / (2 * PI) * ANGLES + BIN_EPS), ANGLES - 1).astype(int)
+    return zones | {f"edge_{i}_{t}": (r < 1) & (ring == i) & (angle == t) for i in range(*EDGE_RINGS) for t in range(ANGLES)}
+
+
+def grid_sums(on: DataFrame, size: int = INPUT_SIZE) -> DataFrame:
+    """wafer_id, s2, area, fails, f and n (sum of fn and number of cells per zone, exact), radon_peak.
+
+    A wafer is one row of at most size^2 cells. Everything that is linear in its grid is one matrix product for
+    a batch of wafers: sums over zones, and column sums of all rotations."""
+    rows = on.groupBy("wafer_id").agg(F.max("s2").cast("long").alias("s2"), F.collect_list(F.struct((F.col("y") * size + F.col("x")).cast("int").alias("at"), F.col("fn").cast("long").alias("fn"))).alias("cells"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zones, turned = np.stack(list(zone_masks(size).values()), axis=1).astype(np.float64), rotation_operator(size)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                flat, n = part.column(2).flatten(), part.num_rows
+                at = np.repeat(np.arange(n), part.column(2).value_lengths().to_numpy()) * size * size + flat.field("at").to_numpy()
+                fails, held = np.zeros(n * size * size), np.zeros(n * size * size)
+                fails[at], held[at] = flat.field("fn").to_numpy(), 1
+                fails, held = fails.reshape(n, -1), held.reshape(n, -1)
+                sums = (fails / part.column(1).to_numpy()[:, None] @ turned).reshape(n, -1, size)
+                peak = (sums.max(axis=2) / (sums.sum(axis=2) / size + 1e-6)).max(axis=1)
+                counts = [pa.array(list((m @ zones).astype(np.int64)), pa.list_(pa.int64())) for m in (fails, held)]       # whole numbers below 2^53
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(m.sum(axis=1).astype(np.int64)) for m in (held, fails)], *counts, pa.array(peak)],
+                                                 ["wafer_id", "s2", "area", "fails", "f", "n", "radon_peak"])
+
+    return rows.mapInArrow(run, "wafer_id long, s2 long, area long, fails long, f array<long>, n array<long>, radon_peak double")
+
+
+def _zone(name: str) -> tuple[Column, Column]:
+    i = list(zone_masks()).index(name)
+    return F.col("f")[i], F.col("n")[i]
+
+
+def density_features(sums: DataFrame) -> DataFrame:
+    """Overall and radial densities, contrasts and the 13 regions; sectors are sorted within each ring, which
+    makes them rotation invariant."""
     def dens(name: str) -> Column:
-        return F.coalesce(ratio(F.col(f"f_{name}"), F.col("s2") * F.col(f"n_{name}")), F.lit(0.0))
+        f, n = _zone(name)
+        return ratio(f, F.col("s2") * n)
 
     mids = F.sort_array(F.array(*[dens(f"mid_{k}") for k in range(4)]))
     outs = F.sort_array(F.array(*[dens(f"out_{k}") for k in range(8)]))
-    return g.select(
-        "wafer_id", "area", ratio(F.col("f_all"), F.col("s2") * F.col("area")).alias("fail_frac"),
+    return sums.select(
+        "wafer_id", "area", ratio(F.col("fails"), F.col("s2") * F.col("area")).alias("fail_frac"),
         *[dens(f"radial_{i}").alias(f"radial_{i}") for i in range(8)],
         (dens("inner") - dens("not_inner")).alias("center_contrast"),
         (dens("mid") - F.greatest(dens("inner"), dens("outer"))).alias("donut_contrast"),
@@ -82,37 +117,48 @@ def polar_density(on: DataFrame, n_r: int = 16, n_theta: int = 64) -> DataFrame:
                     F.coalesce(F.try_element_at("m", F.col("bin")), F.lit(0.0)).alias("density")))
 
 
-def edge_features(on: DataFrame) -> DataFrame:
+def edge_features(sums: DataFrame) -> DataFrame:
     """Share of edge angles above max(.3, 2 * fail share) and the worst 8-wide circular mean.
 
     The edge profile of one wafer is a fixed array of 64 values, so the circular mean is an
     array expression rather than a window over duplicated angles.
     """
-    per_angle = polar_bins(on).where("ri >= 12").groupBy("wafer_id", "ti").agg(
-        *[F.sum(F.when(F.col("ri") == i, F.col("density")).otherwise(F.lit(0.0))).alias(f"d{i}") for i in range(12, 16)])
-    edge = ((F.col("d12") + F.col("d13")) + F.col("d14")) + F.col("d15")
-    arrays = per_angle.groupBy("wafer_id").agg(F.map_from_entries(F.collect_list(F.struct("ti", (edge / 4).alias("e")))).alias("m"))
-    frac = on.groupBy("wafer_id").agg((F.sum("fn") / (F.max("s2") * F.count("*"))).alias("ff"))
-    return (frac.join(arrays, "wafer_id", "left")
-            .withColumn("edge", F.expr("transform(sequence(0, 63), i -> coalesce(try_element_at(m, i), 0D))"))
-            .select("wafer_id",
-                    F.expr("size(filter(edge, e -> e > greatest(0.3D, 2 * ff))) / 64D").alias("edge_coverage"),
-                    F.expr("array_max(transform(sequence(0, 63), i -> aggregate(sequence(0, 7), 0D, "
-                           "(a, j) -> a + edge[(i + j) % 64]) / 8))").alias("edge_max_sector")))
-
-
-def cluster_table(cells: DataFrame) -> DataFrame:
-    """Clusters of failing cells with their exact moments."""
+    names, rings = list(zone_masks()), EDGE_RINGS[1] - EDGE_RINGS[0]
+    first = names.index(f"edge_{EDGE_RINGS[0]}_0")
+
+    def at_angle(t: Column) -> Column:
+        total = F.lit(0.0)
+        for i in range(rings):
+            at = t + (first + i * ANGLES)
+            total = total + ratio(F.get("f", at), F.col("s2") * F.get("n", at))
+        return total / rings
+
+    edge = sums.select("wafer_id", ratio(F.col("fails"), F.col("s2") * F.col("area")).alias("ff"), F.transform(F.sequence(F.lit(0), F.lit(ANGLES - 1)), at_angle).alias("edge"))
+    return edge.select("wafer_id",
+                       F.expr(f"size(filter(edge, e -> e > greatest(0.3D, 2 * ff))) / {ANGLES}D").alias("edge_coverage"),
+                       F.expr(f"array_max(transform(sequence(0, {ANGLES - 1}), i -> aggregate(sequence(0, 7), 0D, "
+                              f"(a, j) -> a + edge[(i + j) % {ANGLES}]) / 8))").alias("edge_max_sector"))
+
+
+def outlines(cells: DataFrame) -> DataFrame:
+    """Clusters of failing cells by row: (wafer_id, comp, r, k, lo, hi, sc, scc). All cluster features come from it."""
     bad = cells.where("2 * wn > s2 AND 2 * fn > s2").select("wafer_id", F.col("y").alias("r"), F.col("x").alias("c"))
-    r, c = F.col("r").cast("long"), F.col("c").cast("long")
-    return label_cells(bad, ["wafer_id"]).groupBy("wafer_id", "comp").agg(
-        F.count("*").alias("n"), F.sum(r).alias("sr"), F.sum(c).alias("sc"),
-        F.sum(r * r).alias("srr"), F.sum(c * c).alias("scc"), F.sum(r * c).alias("src"))
+    c = F.col("c").cast("long")
+    return label_cells(bad, ["wafer_id"]).groupBy("wafer_id", "comp", "r").agg(
+        F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(c).alias("sc"), F.sum(c * c).alias("scc"))
 
 
-def cluster_features(cells: DataFrame, clusters: DataFrame) -> DataFrame:
+def cluster_table(outline: DataFrame) -> DataFrame:
+    """Clusters of failing cells with their exact moments."""
+    r = F.col("r").cast("long")
+    return outline.groupBy("wafer_id", "comp").agg(
+        F.sum("k").alias("n"), F.sum(r * F.col("k")).alias("sr"), F.sum("sc").alias("sc"),
+        F.sum(r * r * F.col("k")).alias("srr"), F.sum("scc").alias("scc"), F.sum(r * F.col("sc")).alias("src"))
+
+
+def cluster_features(sums: DataFrame, clusters: DataFrame) -> DataFrame:
     """Share of failing cells in large clusters, and how many large clusters there are."""
-    area = cells.groupBy("wafer_id").agg(F.greatest(F.count_if(F.expr("2 * wn > s2")), F.lit(1)).alias("area"))
+    area = sums.select("wafer_id", "area")
     big = F.col("n") >= F.greatest(F.lit(8.0), 0.004 * F.col("area"))
     return (area.join(clusters, "wafer_id", "left").groupBy("wafer_id").agg(
         F.sum(F.when(big, F.col("n")).otherwise(F.lit(0))).alias("clustered"), F.sum("n").alias("fails"),
@@ -126,10 +172,10 @@ def largest_cluster(clusters: DataFrame) -> DataFrame:
         F.struct("comp", "n", "sr", "sc", "srr", "scc", "src"), F.struct(F.col("n"), -F.col("comp"))).alias("k")).select("wafer_id", "k.*")
 
 
-def salient_features(cells: DataFrame, clusters: DataFrame, size: int = INPUT_SIZE) -> DataFrame:
+def salient_features(sums: DataFrame, clusters: DataFrame, size: int = INPUT_SIZE) -> DataFrame:
     """Area share, distance from the centre and elongation of the largest cluster; the
     eigenvalues of the 2 x 2 sample covariance are closed-form."""
-    area = cells.groupBy("wafer_id").agg(F.greatest(F.count_if(F.expr("2 * wn > s2")), F.lit(1)).alias("area"))
+    area = sums.select("wafer_id", "area")
     n, m = F.col("n"), (size - 1) / 2
 
     def cov(sab: str, sa: str, sb: str) -> Column:
@@ -163,49 +209,42 @@ def hull_area(rows: pd.Series) -> pd.Series:
     return rows.map(area)
 
 
-def solidity_feature(cells: DataFrame) -> DataFrame:
-    """Cells of the largest cluster over the area of their convex hull (at least 1).
+def solidity_feature(sums: DataFrame, rows: DataFrame) -> DataFrame:
+    """Cells of the largest cluster over the area of their convex hull (at least 1), from outlines.
 
     Rows shrink to their two ends in the JVM; a batch of at most 64-row outlines goes to Python.
     """
-    bad = cells.where("2 * wn > s2 AND 2 * fn > s2").select("wafer_id", F.col("y").alias("r"), F.col("x").alias("c"))
-    rows = label_cells(bad, ["wafer_id"]).groupBy("wafer_id", "comp", "r").agg(
-        F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     code = (F.col("r").cast("long") * 65536 + F.col("lo")) * 65536 + F.col("hi")
     best = (rows.groupBy("wafer_id", "comp").agg(F.sum("k").alias("n"), F.collect_list(code).alias("rows"))
             .groupBy("wafer_id").agg(F.max_by(F.struct("n", "rows"), F.struct(F.col("n"), -F.col("comp"))).alias("k")))
-    return (cells.select("wafer_id").distinct().join(best.select("wafer_id", "k.*"), "wafer_id", "left")
+    return (sums.select("wafer_id").join(best.select("wafer_id", "k.*"), "wafer_id", "left")
             .select("wafer_id", F.when(F.col("n") >= 3, F.col("n") / F.greatest(hull_area(F.coalesce(
                 "rows", F.array().cast("array<bigint>"))), F.lit(1.0))).otherwise(F.lit(1.0)).alias("salient_solidity")))
 
 
-def rotation_table(spark: SparkSession, size: int = INPUT_SIZE, step: int = 15) -> DataFrame:
-    """(angle, y, x, col, weight): how much source cell (y, x) adds to column `col` of the
-    rotated map, by bilinear interpolation. Fixed size: 12 angles x size^2 cells x few taps."""
-    m, n = (size - 1) / 2, 180 // step
-    g = spark.range(n * size * size).select(
-        (F.expr(f"CAST(id DIV {size * size} AS INT)") * step).alias("angle"),
-        F.expr(f"CAST(id DIV {size} % {size} AS INT)").alias("v"), F.expr(f"CAST(id % {size} AS INT)").alias("col"))
-    a = F.radians("angle")
-    dx, dy = F.col("col") - m, F.col("v") - m
-    g = g.select("angle", "col", (F.cos(a) * dx - F.sin(a) * dy + m).alias("sx"), (F.sin(a) * dx + F.cos(a) * dy + m).alias("sy"))
-    x0, y0 = F.floor("sx").cast("int"), F.floor("sy").cast("int")
-    fx, fy = F.col("sx") - F.floor("sx"), F.col("sy") - F.floor("sy")
-    taps = F.array(*[F.struct((y0 + j).alias("y"), (x0 + i).alias("x"), ((fy if j else 1 - fy) * (fx if i else 1 - fx)).alias("w"))
-                     for j in (0, 1) for i in (0, 1)])
-    return (g.select("angle", "col", F.inline(taps)).where(f"w > 0 AND y BETWEEN 0 AND {size - 1} AND x BETWEEN 0 AND {size - 1}")
-            .groupBy("angle", "y", "x", "col").agg(F.sum("w").alias("weight")))
-
-
-def radon_feature(on: DataFrame, size: int = INPUT_SIZE) -> DataFrame:
+@cache
+def rotation_operator(size: int = INPUT_SIZE, step: int = 15) -> np.ndarray:
+    """(size^2, angles * size): how much each cell adds to each column of the rotated map, by bilinear
+    interpolation. Of fixed size, 25 MB in a worker."""
+    m = (size - 1) / 2
+    v, col = np.divmod(np.arange(size * size), size)
+    out = np.zeros((size * size, 180 // step * size))
+    for i in range(180 // step):
+        a = math.radians(i * step)
+        sx, sy = math.cos(a) * (col - m) - math.sin(a) * (v - m) + m, math.sin(a) * (col - m) + math.cos(a) * (v - m) + m
+        x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+        for j in (0, 1):
+            for k in (0, 1):
+                weight = np.abs(1 - j - (sy - y0)) * np.abs(1 - k - (sx - x0))
+                y, x = y0 + j, x0 + k
+                ok = (y >= 0) & (y < size) & (x >= 0) & (x < size)
+                np.add.at(out, (y[ok] * size + x[ok], i * size + col[ok]), weight[ok])
+    return out
+
+
+def radon_feature(sums: DataFrame) -> DataFrame:
     """Largest peak-to-mean ratio of the column sums over 12 rotations."""
-    table = rotation_table(on.sparkSession, size)
-    cols = (on.where("fn > 0").join(F.broadcast(table), ["y", "x"])
-            .groupBy("wafer_id", "angle", "col").agg(F.sum(F.col("fn") / F.col("s2") * F.col("weight")).alias("v")))
-    peak = cols.groupBy("wafer_id", "angle").agg(F.max("v").alias("top"), F.sum("v").alias("total"))
-    best = peak.groupBy("wafer_id").agg(F.max(F.col("top") / (F.col("total") / size + 1e-6)).alias("radon_peak"))
-    return (on.select("wafer_id").distinct().join(best, "wafer_id", "left")
-            .select("wafer_id", F.coalesce("radon_peak", F.lit(0.0)).alias("radon_peak")))
+    return sums.select("wafer_id", "radon_peak")
 
 
 def moran_feature(cells: DataFrame) -> DataFrame:
@@ -213,13 +252,14 @@ def moran_feature(cells: DataFrame) -> DataFrame:
 
 
 def feature_matrix(cells: DataFrame) -> DataFrame:
-    """All 35 features, one row per wafer, in the fixed order. Seven branches read the resampled
-    grid, so it is computed once and checkpointed to the shared folder."""
+    """All 35 features, one row per wafer, in the fixed order. Three branches read the resampled grid: sums over it,
+    cluster outlines and Moran's I. The grid, and what clusters need of it, are checkpointed to the shared folder."""
     ensure_checkpoint_dir(cells.sparkSession)
     cells = cells.checkpoint()
-    on, clusters = on_cells(cells), cluster_table(cells)
-    parts = [density_features(on).drop("area"), edge_features(on), cluster_features(cells, clusters),
-             salient_features(cells, clusters), solidity_feature(cells), radon_feature(on), moran_feature(cells)]
+    sums, outline = grid_sums(on_cells(cells)).checkpoint(), outlines(cells).checkpoint()
+    clusters = cluster_table(outline)
+    parts = [density_features(sums).drop("area"), edge_features(sums), cluster_features(sums, clusters),
+             salient_features(sums, clusters), solidity_feature(sums, outline), radon_feature(sums), moran_feature(cells)]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "wafer_id")

@@ -127,19 +127,23 @@ def cells(spark, sf):
     return D.resample_area(V.dies(spark, sf))
 
 
+def sums(spark, sf):
+    return M.grid_sums(M.on_cells(cells(spark, sf)))
+
+
 @query("feat_density", f"SELECT wafer_id, {_cols(_DENS)} FROM v_fdens")
 def _(spark, sf):
-    return D.rounded(M.density_features(M.on_cells(cells(spark, sf))).select("wafer_id", *_DENS), *_DENS)
+    return D.rounded(M.density_features(sums(spark, sf)).select("wafer_id", *_DENS), *_DENS)
 
 
 @query("feat_contrast", f"SELECT wafer_id, {_cols(_CONTRAST)} FROM v_fdens")
 def _(spark, sf):
-    return D.rounded(M.density_features(M.on_cells(cells(spark, sf))).select("wafer_id", *_CONTRAST), *_CONTRAST)
+    return D.rounded(M.density_features(sums(spark, sf)).select("wafer_id", *_CONTRAST), *_CONTRAST)
 
 
 @query("feat_regions", f"SELECT wafer_id, {_cols(_REGIONS)} FROM v_fdens")
 def _(spark, sf):
-    return D.rounded(M.density_features(M.on_cells(cells(spark, sf))).select("wafer_id", *_REGIONS), *_REGIONS)
+    return D.rounded(M.density_features(sums(spark, sf)).select("wafer_id", *_REGIONS), *_REGIONS)
 
 
 @query("polar_density", f"""
@@ -152,29 +156,27 @@ def _(spark, sf):
 
 @query("feat_edge", f"SELECT wafer_id, {_cols(['edge_coverage', 'edge_max_sector'])} FROM v_fedge")
 def _(spark, sf):
-    return D.rounded(M.edge_features(M.on_cells(cells(spark, sf))), "edge_coverage", "edge_max_sector")
+    return D.rounded(M.edge_features(sums(spark, sf)), "edge_coverage", "edge_max_sector")
 
 
 @query("feat_clusters", f"SELECT wafer_id, {_cols(['clustered_frac', 'n_clusters'])} FROM v_fclus")
 def _(spark, sf):
-    c = cells(spark, sf)
-    return D.rounded(M.cluster_features(c, M.cluster_table(c)), "clustered_frac", "n_clusters")
+    return D.rounded(M.cluster_features(sums(spark, sf), M.cluster_table(M.outlines(cells(spark, sf)))), "clustered_frac", "n_clusters")
 
 
 @query("feat_salient", f"SELECT wafer_id, {_cols(['salient_area', 'salient_r', 'salient_elong'])} FROM v_fsal")
 def _(spark, sf):
-    c = cells(spark, sf)
-    return D.rounded(M.salient_features(c, M.cluster_table(c)), "salient_area", "salient_r", "salient_elong")
+    return D.rounded(M.salient_features(sums(spark, sf), M.cluster_table(M.outlines(cells(spark, sf)))), "salient_area", "salient_r", "salient_elong")
 
 
 @query("feat_solidity", f"SELECT wafer_id, {_cols(['salient_solidity'])} FROM v_fsol")
 def _(spark, sf):
-    return D.rounded(M.solidity_feature(cells(spark, sf)), "salient_solidity")
+    return D.rounded(M.solidity_feature(sums(spark, sf), M.outlines(cells(spark, sf))), "salient_solidity")
 
 
 @query("feat_radon", f"SELECT wafer_id, {_cols(['radon_peak'])} FROM v_fradon")
 def _(spark, sf):
-    return D.rounded(M.radon_feature(M.on_cells(cells(spark, sf))), "radon_peak")
+    return D.rounded(M.radon_feature(sums(spark, sf)), "radon_peak")
 
 
 @query("feat_moran", f"SELECT wafer_id, {_cols(['moran_i'])} FROM v_fmoran")
