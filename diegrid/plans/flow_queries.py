@@ -106,14 +106,13 @@ def _(spark, sf):
 @query("stream_defect_rate", f"""
 SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, chamber, wafers, defects, {R('defects / wafers')} AS rate FROM (
   SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, chamber, count(*) AS wafers, CAST(sum(CASE WHEN class <> 'None' THEN 1 ELSE 0 END) AS BIGINT) AS defects
-  FROM events JOIN v_process ON seq = event_id GROUP BY 1, 2)
-WHERE start + INTERVAL 6 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+  FROM events JOIN v_process ON seq = event_id GROUP BY 1, 2)""")
 def _(spark, sf):
-    """The events table as a stream; windows that closed by the last watermark."""
+    """The events table as a stream; all windows, those still open at its end too."""
     schema = table(spark, sf, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     rows = V.process_columns(raw.withColumn("ts", F.col("ts").cast("timestamp")), "ts")
-    out = flow.run_to_table(flow.defect_rate(rows), "defect-rate")
+    out = flow.run_to_table(flow.defect_rate(rows), "defect-rate", ["start", "end", "chamber"])
     return D.rounded(out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "chamber", "wafers", "defects", "rate"), "rate")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from diegrid.functions.labels import canonical_label, nested_label
@@ -13,12 +17,12 @@ WAFER_SCHEMA = T.StructType([
 ])
 
 
-def read_wafers(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = WAFER_SCHEMA) -> DataFrame:
+def read_wafers(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType = WAFER_SCHEMA, strict: bool = True) -> DataFrame:
     """Labelled wafers with a declared schema (no inference pass); unlabelled ones are dropped
-    before the maps are touched."""
+    before the maps are touched. An unknown label is an error; if not `strict`, its class is NULL and `label` tells it."""
     raw = spark.read.schema(schema).format(fmt).load(path)
     return (raw.withColumn("label", nested_label(F.col("failureType"))).where("label IS NOT NULL")
-            .withColumn("cls", canonical_label(F.col("label"))).drop("failureType"))
+            .withColumn("cls", canonical_label(F.col("label"), strict)).drop("failureType"))
 
 
 def read_process_log(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -37,15 +41,31 @@ def read_image_folder(spark: SparkSession, root: str) -> DataFrame:
                     F.regexp_extract(path, r"([^/]+)$", 1).alias("file"), "length", "content"))
 
 
+def _decoded(spark: SparkSession, root: str) -> DataFrame:
+    image = spark.read.format("image").option("recursiveFileLookup", True).load(root).select("image.*")
+    return image.select(F.regexp_extract("origin", r"([^/]+)$", 1).alias("image"), "origin", "width", "height", "nChannels", "data")
+
+
+def unreadable_images(spark: SparkSession, root: str) -> DataFrame:
+    """(image, path, reason) of files that hold no image: what `image_pixels` has no rows for."""
+    bad = _decoded(spark, root).where("width <= 0 OR height <= 0 OR nChannels NOT IN (1, 3, 4)")
+    return bad.select("image", F.col("origin").alias("path"), F.lit("not an image").alias("reason"))
+
+
 def image_pixels(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded pixels (image, y, x, r, g, b) of an image folder."""
-    img = (spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root)
-           .select(F.regexp_extract("image.origin", r"([^/]+)$", 1).alias("image"), "image.width", "image.height",
-                   F.hex("image.data").alias("hex"), "image.nChannels"))
+    """Decoded pixels (image, y, x, r, g, b) of an image folder; unreadable files are listed by `unreadable_images`.
 
-    def channel(k: int):                              # stored blue, green, red
-        return F.conv(F.substr("hex", (F.col("p") * F.col("nChannels") + k) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    An image is cut into its rows first, so what travels with a row of pixels is that row's bytes."""
+    def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, y, n, row in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                colours = np.frombuffer(row.as_buffer(), np.uint8).reshape(-1, n).astype(np.int32)        # blue, green, red, or grey
+                b, g, r = (colours[:, min(k, n - 1)] if n > 1 else colours[:, 0] for k in range(3))
+                width = len(colours)
+                yield pa.RecordBatch.from_arrays([pa.array([image.as_py()] * width), pa.array(np.full(width, y, np.int32)), pa.array(np.arange(width, dtype=np.int32)),
+                                                  pa.array(r), pa.array(g), pa.array(b)], ["image", "y", "x", "r", "g", "b"])
 
-    return (img.select("*", F.explode(F.expr("sequence(0, width * height - 1)")).alias("p"))
-            .select("image", F.expr("CAST(p DIV width AS INT)").alias("y"), (F.col("p") % F.col("width")).alias("x"),
-                    channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b")))
+    rows = (_decoded(spark, root).where("width > 0 AND height > 0 AND nChannels IN (1, 3, 4)")
+            .select("*", F.explode(F.expr("sequence(0, height - 1)")).alias("y"))
+            .select("image", "y", "nChannels", F.expr("substring(data, y * width * nChannels + 1, width * nChannels)").alias("row")))
+    return rows.mapInArrow(pixels, "image string, y int, x int, r int, g int, b int")

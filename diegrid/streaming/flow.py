@@ -28,26 +28,34 @@ def defect_rate(events: DataFrame, window: str = "6 hours", late: str = "1 hour"
     return g.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "chamber", "wafers", "defects", (F.col("defects") / F.col("wafers")).alias("rate"))
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Drain a stream once into a parquet table in the shared folder (exactly once), and read it."""
+def run_to_table(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Drain a stream once, in update mode, into a table in the shared folder, and read the last state of every key.
+
+    Each micro-batch overwrites its own folder, so a retry adds nothing twice. Windows that are still open are in the
+    table: what a stream gives at its end is what the same rows give as a batch. An empty stream gives no rows."""
     spark = stream.sparkSession
     path = shared_path(spark, name)
-    query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-log")
-             .outputMode("append").trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/epoch=-1")
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{path}-log").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(path)
+    values = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"last.{c}").alias(c) for c in stream.columns])
 
 
 def validate_stream(wafers: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Check a stream of raw maps; each micro-batch is split into an accepted and a quarantine
-    table. A repeated batch overwrites its own folder, so a retry adds nothing twice."""
+    """Check a stream of raw maps: accepted wafers, and the quarantine with its reasons. Each micro-batch is
+    checked once and overwrites its own folder, so a retry adds nothing twice. Both are empty for an empty stream."""
     spark = wafers.sparkSession
     path = shared_path(spark, name)
+    validate_wafers(spark.createDataFrame([], wafers.schema)).write.parquet(f"{path}/epoch=-1")
 
     def store(batch: DataFrame, epoch: int) -> None:
-        good, bad = split_valid(validate_wafers(batch))
-        good.write.mode("overwrite").parquet(f"{path}/accepted/epoch={epoch}")
-        bad.write.mode("overwrite").parquet(f"{path}/quarantine/epoch={epoch}")
+        validate_wafers(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    wafers.writeStream.foreachBatch(store).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/accepted"), spark.read.parquet(f"{path}/quarantine")
+    wafers.writeStream.foreachBatch(store).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    return split_valid(spark.read.parquet(path).drop("epoch"))
