@@ -7,7 +7,7 @@ rules, thresholds and temperatures come back as small tables keyed by the held-o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from diegrid.constants import FEATURE_LABELS
 from diegrid.functions.arrays import clip, entropy, let, total
@@ -118,6 +118,33 @@ def verify(df: DataFrame, rules: DataFrame, cls: str, by: list[str] = [], prefix
     return out.select(*df.columns, status.alias(f"{prefix}status"), reasons.alias(f"{prefix}reasons"))
 
 
+def verification_checks(df: DataFrame, rules: DataFrame, cls: str, by: list[str] = []) -> DataFrame:
+    """Adds `checks`: for every rule of the class in `cls` the feature, its value, the expected range and whether
+    it is kept, as `verify` judges it; empty without rules."""
+    packed = rules.groupBy(*by, F.col("cls").alias(cls)).agg(F.array_sort(F.collect_list(F.struct("feature", "lo", "hi"))).alias("_rules"))
+    margin = lambda r: 0.05 * (r["hi"] - r["lo"] + 1e-9)
+
+    def check(r: Column) -> Column:
+        v = F.try_element_at("features", r["feature"])
+        return F.struct(r["feature"].alias("feature"), F.round(v, 4).alias("value"), F.round(r["lo"], 4).alias("lo"), F.round(r["hi"], 4).alias("hi"),
+                        F.coalesce(v.between(r["lo"] - margin(r), r["hi"] + margin(r)), F.lit(False)).alias("ok"))
+
+    joined = df.join(F.broadcast(packed), [*by, cls], "left")            # at most k rules per class and fit
+    return joined.select(*df.columns, F.coalesce(F.transform("_rules", check), F.array().cast(
+        "array<struct<feature:string,value:double,lo:double,hi:double,ok:boolean>>")).alias("checks"))
+
+
+def write_policy(path: str, **tables: DataFrame) -> None:
+    """Saves fitted tables (rules, thresholds, temperatures ..) by name, one folder each."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def read_policy(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
+    """The saved tables of a policy; a name that was not saved is an error."""
+    return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in names}
+
+
 def verification_stats(df: DataFrame) -> DataFrame:
     return df.groupBy("status").agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("int")).alias("accuracy"))
 
@@ -165,8 +192,28 @@ def route_cascade(df: DataFrame, fast_threshold: float, full_threshold: float, m
 
 
 def crossfit_thresholds(df: DataFrame, targets: list[float], n_folds: int) -> DataFrame:
-    """Thresholds per held-out fold and for deployment from the eligible rows."""
-    return pick_thresholds(for_training(df.where("eligible"), n_folds).select("held", "conf", "correct"), targets, ["held"])
+    """`pick_thresholds` for every held-out fold and for deployment, from the eligible rows. One aggregate by
+    confidence carries the counts of all folds; what a fold may learn from is the total without its own."""
+    correct, own = F.col("correct").cast("long"), range(n_folds)
+    t = df.where("eligible").groupBy("conf").agg(
+        F.count("*").alias("n"), F.sum(correct).alias("ok"), *[F.count_if(F.col("fold") == k).alias(f"n{k}") for k in own],
+        *[F.coalesce(F.sum(F.when(F.col("fold") == k, correct)), F.lit(0)).alias(f"ok{k}") for k in own])
+    r = running_totals(t, [], "conf", ["n", "ok", *[f"{m}{k}" for k in own for m in ("n", "ok")]], descending=True)
+
+    def sums(k: int) -> tuple[Column, Column, Column]:
+        if k == DEPLOYED:
+            return F.col("run_n"), F.col("run_ok"), F.col("all_n")
+        return F.col("run_n") - F.col(f"run_n{k}"), F.col("run_ok") - F.col(f"run_ok{k}"), F.col("all_n") - F.col(f"all_n{k}")
+
+    best, folds = [], [DEPLOYED, *own]
+    for k in folds:
+        n, ok, total_ = sums(k)
+        best.append(F.max(total_).alias(f"N{k + 1}"))
+        best += [F.max(F.when(F.try_divide(ok, n) >= tg, F.struct(n.alias("n"), F.col("conf").alias("t"), (ok / n).alias("a")))).alias(f"b{k + 1}_{i}") for i, tg in enumerate(targets)]
+    rows = F.array(*[F.struct(F.lit(k).alias("held"), F.lit(float(tg)).alias("target"), F.coalesce(F.col(f"b{k + 1}_{i}.t"), F.lit(1.01)).alias("threshold"),
+                              F.coalesce(F.try_divide(F.col(f"b{k + 1}_{i}.n"), F.col(f"N{k + 1}")), F.lit(0.0)).alias("coverage"), F.col(f"b{k + 1}_{i}.a").alias("accuracy"))
+                     for k in folds for i, tg in enumerate(targets)])
+    return r.agg(*best).select(F.inline(rows))
 
 
 def crossfit_route(df: DataFrame, targets: list[float], n_folds: int) -> DataFrame:

@@ -125,6 +125,14 @@ def segmentation_range(dies: DataFrame, classes: DataFrame, cam: DataFrame | Non
                     F.coalesce("hi", F.lit(0)).alias("dies_max")))
 
 
+def segmentation_area(dies: DataFrame, ranges: DataFrame, **geometry) -> DataFrame:
+    """The range of `segmentation_range` in percent of the dies and in mm^2: adds pct_min, pct_max, mm2_min, mm2_max."""
+    units = die_units(dies, **geometry).select("wafer_id", (F.col("die_w_mm") * F.col("die_h_mm")).alias("die"))
+    held = ranges.join(dies.groupBy("wafer_id").agg(F.count("*").alias("n")), "wafer_id").join(units, "wafer_id")
+    return held.select(*ranges.columns, *[(100 * F.col(f"dies_{m}") / F.col("n")).alias(f"pct_{m}") for m in ("min", "max")],
+                       *[(F.col(f"dies_{m}") * F.col("die")).alias(f"mm2_{m}") for m in ("min", "max")])
+
+
 def pattern_area(dies: DataFrame, pattern: DataFrame, **geometry) -> DataFrame:
     p = pattern.groupBy("wafer_id").agg(F.count("*").alias("p"))
     g = (dies.groupBy("wafer_id").agg(F.count("*").alias("n"), F.count_if(is_fail()).alias("f"))

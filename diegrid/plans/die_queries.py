@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from diegrid.constants import CLASSES
 from diegrid.functions.numeric import r6, wilson
 from diegrid.operators import dies as D, quantify as Q
-from diegrid.plans.registry import R, cte, query
+from diegrid.plans.registry import BODIES, R, cte, query
 from diegrid.sources import views as V
 
 _CLASS_LIST = "[" + ", ".join(f"'{c}'" for c in CLASSES) + "]"
@@ -268,10 +268,18 @@ FROM v_ext LEFT JOIN (
   UNION ALL
   SELECT wafer_id, mn, frac, count(*) FROM v_whole, (VALUES (1), (2), (3)) a(mn), (VALUES (0.3), (0.5), (0.7)) b(frac) GROUP BY 1, 2, 3
 ) USING (wafer_id) GROUP BY 1""")
-def _(spark, sf):
+def segmentation_range(spark, sf):
     return Q.segmentation_range(V.dies(spark, sf), V.wafer_classes(spark, sf), V.activation(spark, sf))
 
 
+@query("segmentation_area", f"""
+SELECT wafer_id, dies_min, dies_max, {R('100.0 * dies_min / n')} AS pct_min, {R('100.0 * dies_max / n')} AS pct_max,
+       {R('dies_min * dw * dh')} AS mm2_min, {R('dies_max * dw * dh')} AS mm2_max
+FROM ({BODIES["segmentation_range"]}) JOIN v_ext USING (wafer_id)""")
+def _(spark, sf):
+    return D.rounded(Q.segmentation_area(V.dies(spark, sf), segmentation_range(spark, sf)), "pct_min", "pct_max", "mm2_min", "mm2_max")
+
+
 _WP = wilson_sql("p", "n")
 cte("v_patn", "SELECT wafer_id, n, f, dw, dh, coalesce(p, 0) AS p FROM v_ext LEFT JOIN (SELECT wafer_id, count(*) AS p FROM v_pattern GROUP BY 1) USING (wafer_id)")
 

@@ -13,6 +13,7 @@ from diegrid.operators import dies as D, policy as P
 from diegrid.plans.metric_queries import youden_sql
 from diegrid.plans.registry import R, cte, query
 from diegrid.sources import views as V
+from diegrid.sources.tables import shared_path
 
 C, FOLDS = V.N_CLASSES, 5
 FAST_TARGET, TARGETS = 0.6, [0.5, 0.6, 0.8]
@@ -128,6 +129,18 @@ def _(spark, sf):
         "vec_id", F.col("pred").alias("top"), "status", F.array_join("reasons", "; ").alias("reasons"))
 
 
+@query("verification_checks", """
+SELECT t.vec_id, feature, round(value, 4) AS value, round(lo, 4) AS lo, round(hi, 4) AS hi, NOT bad AS ok
+FROM v_top t JOIN v_check c ON c.held = -1 AND c.vec_id = t.vec_id AND c.cls = CAST(t.pred AS VARCHAR)""")
+def _(spark, sf):
+    """By rules that were saved and read again."""
+    path = shared_path(spark, "policy")
+    P.write_policy(path, rules=P.fit_verifier(feature_rows(spark, sf)))
+    rows = V.probs(spark, sf).select("vec_id", F.col("pred").cast("string").alias("top")).join(feature_map(spark, sf), "vec_id")
+    checked = P.verification_checks(rows, P.read_policy(spark, path, "rules")["rules"], "top")
+    return checked.select("vec_id", F.inline("checks"))
+
+
 def judged(spark, sf, fit: str, tempered: bool = False, members: bool = False):
     """Predictions with runner-up and verification of both classes; fit = 'fold' (cross-fitted) or 'all'."""
     if members:
