@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diegrid.llm.store import written
@@ -70,10 +70,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _usable(vectors: DataFrame) -> DataFrame:
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     v = v.where("vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    return v.where("exists(v, x -> x <> 0)")
+    v = v.where("exists(v, x -> x <> 0)")
+    length = v.agg(F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
+    if length["least"] == length["most"]:
+        return v
+    return v.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(length["most"]) - F.size("v"))))
 
 
-def _distinct(vectors: DataFrame, k: int) -> DataFrame:
+def _scaled(v: str) -> Column:
+    """The vector times a power of two that brings its largest component near 1: sums of squares neither vanish
+    nor overflow, and cosines keep their last bit."""
+    largest = F.array_max(F.transform(v, F.abs))
+    exponent = F.greatest(F.least(-F.floor(F.log2(largest)), F.lit(1000)), F.lit(-1000))
+    return F.transform(v, lambda x: x * F.pow(F.lit(2.0), exponent))
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _distinct(usable: DataFrame, k: int) -> DataFrame:
     """Each distinct vector once, with its k + 1 smallest ids; partitions reduce their rows first."""
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list[int]] = {}
@@ -89,7 +106,7 @@ def _distinct(vectors: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(set(seen[b]))[:k + 1] for b in part], pa.list_(pa.int64())),
                                               pa.array([np.frombuffer(b) for b in part], pa.list_(pa.float64()))], ["ids", "v"])
 
-    rows = _usable(vectors).mapInArrow(local, "ids array<long>, v array<double>")
+    rows = usable.mapInArrow(local, "ids array<long>, v array<double>")
     merged = rows.groupBy(F.xxhash64("v").alias("h"), "v").agg(F.flatten(F.collect_list("ids")).alias("ids"))
     return merged.select("v", F.slice(F.array_sort(F.array_distinct("ids")), 1, k + 1).alias("ids"))
 
@@ -99,8 +116,7 @@ def _keyed(index: DataFrame, curves: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 v = _matrix(batch.column(1))
-                unit = v / np.abs(v).max(axis=1, keepdims=True)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                unit = _unit(v)
                 for c in range(curves):
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(v), c, np.int32)), pa.array(curve_keys(unit, c))], ["row", "curve", "key"])
 
@@ -113,10 +129,8 @@ def _meet(k: int):
         if not left.num_rows or not right.num_rows:
             return pa.table({"query": pa.array([], pa.int64()), "row": pa.array([], pa.int64())})
         place = left["place"].to_numpy()
-        rows, v = left["row"].to_numpy(), _matrix(left["v"].combine_chunks())
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        q = _matrix(right["v"].combine_chunks())
-        score = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ v.T
+        rows, v = left["row"].to_numpy(), _unit(_matrix(left["v"].combine_chunks()))
+        score = _unit(_matrix(right["v"].combine_chunks())) @ v.T
         low, high = right["low"].to_numpy(), right["high"].to_numpy()
         score[(place[None, :] < low[:, None]) | (place[None, :] > high[:, None])] = -np.inf
         take = min(k + 3, len(rows))
@@ -132,12 +146,13 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVE
 
     Null, zero, null-holding and non-finite vectors take no part, nor do rows without id. Rows that repeat an
     id with another vector are further candidates under that id, which is listed once, and such a query has
-    its smallest vector. Vectors have one length. An empty table gives no rows.
+    its smallest vector. Shorter vectors go on with zeros. Any finite size of components is right. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    index = written(_distinct(vectors, k).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    usable = _usable(vectors)
+    index = written(_distinct(usable, k).withColumn("row", F.monotonically_increasing_id()), "vectors")
     total = index.count()
-    queries = _usable(vectors).where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = usable.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = written(queries.select(F.col("vec_id").alias("query"), "v"), "queries")
     n_blocks = max(1, -(-queries.count() // QUERIES))
     at = written(queries.join(index.select("v", "row"), "v").select("query", "row"), "query_rows")
@@ -176,7 +191,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVE
     def dot(a: str, b: str):
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-    scored = (met.join(queries.withColumnRenamed("v", "qv"), "query").join(index, "row")
+    scored = (met.join(queries.select("query", _scaled("v").alias("qv")), "query").join(index.select("row", "ids", _scaled("v").alias("v")), "row")
               .withColumn("score", dot("qv", "v") / (F.sqrt(dot("qv", "qv")) * F.sqrt(dot("v", "v")))))
     found = scored.select("query", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query").groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))

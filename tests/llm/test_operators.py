@@ -384,6 +384,14 @@ def test_nearest(spark):
         assert hits / total >= 0.9
 
 
+def test_nearest_extreme_and_ragged_vectors(spark):
+    """Tiny and huge components keep their cosines; shorter vectors go on with zeros."""
+    rows = [(0, [1.0, 1.0]), (1, [3e200, 3e200]), (2, [1e-200, 2e-200]), (3, [1.0]), (4, [5e-324, 0.0, 5e-324]), (5, [-1e300, 1e-300, 0.0])]
+    got = {r["vec_id"]: r["score"] for r in space_curves.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    want = {1: 1.0, 2: 3 / 10 ** 0.5, 3: 0.5 ** 0.5, 4: 0.5, 5: -(0.5 ** 0.5)}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+
+
 def test_nearest_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [2.0, 0.1]), (None, [1.0, 1.0]), (7, []), (8, [float("inf"), 0.0])]
     rows += [(i, [1.0, 0.5]) for i in range(60, 40, -1)]
