@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from re import _constants as op
@@ -124,15 +124,34 @@ class Rule:
     group: int = 0
     flags: int = 0
     base: bool = False
+    find: Callable[[str], Iterator[tuple[int, int]]] | None = None       # finds the pattern's matches in linear time
     query: Query = field(init=False)
 
     def __post_init__(self) -> None:
         self.query = trigram_query(self.pattern, self.flags)
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
+        if self.find:
+            return [(self.kind, a, b) for a, b in self.find(text)]
         return [(self.kind, m.start(), m.end()) for m in re.compile(self.pattern, self.flags).finditer(text) if m.end(self.group) - m.start(self.group) >= self.least]
 
 
+def _web_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the `jwt` pattern. Runs of its characters are cut at dots, so each character is read once: three parts
+    in a row make a token, from the first mark in the first part on."""
+    for run in re.finditer("[A-Za-z0-9_.-]+", text):
+        parts, at, i = run.group().split("."), [run.start()], 0
+        for part in parts:
+            at.append(at[-1] + len(part) + 1)
+        while i + 2 < len(parts):
+            mark = parts[i].find("eyJ")
+            if 0 <= mark <= len(parts[i]) - 13 and parts[i + 1].startswith("eyJ") and len(parts[i + 1]) >= 13 and len(parts[i + 2]) >= 10:
+                yield at[i] + mark, at[i + 3] - 1
+                i += 3
+            else:
+                i += 1
+
+
 # The patterns. ASCII keeps letters such as the long s from passing for s.
 RULES = [
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2, re.I | re.A, True),
@@ -141,7 +160,7 @@ RULES = [
     Rule("pem", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
     Rule("hub", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", find=_web_tokens),
     Rule("url", r"[a-z][a-z0-9+]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{6,128}@", flags=re.A),
 ]
 
