@@ -1,15 +1,16 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
 Pieces are dealt by hash to blocks of about `BLOCK` pieces, each packed in one task: best fit by falling
-length, then local search between underfull bins. The emptiest bin gives a document away, exchanges one for
-a shorter one, two for one or one for two, whenever that fills a fuller bin further; each exchange raises the
-sum of squared fills, so the search ends. What is left in bins that stay underfull is pooled over all blocks
-and packed again, until one block holds the pool.
+length, then local search between underfull bins. Every underfull bin, the emptiest first, gives one or two
+documents to any other one for none, one or two of its, always by the exchange that raises the sum of squared
+fills most. The search ends when a pass over all bins finds no such exchange: squares are whole numbers and
+bounded, so it does. Bins at most `POOLED` full are pooled over all blocks and packed again, until one block
+holds the pool or the pool no longer shrinks by a quarter.
 """
 
 from __future__ import annotations
 
-import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -24,8 +25,7 @@ from diegrid.llm.store import written
 from diegrid.llm.tokens import word_encoder
 
 BLOCK = 16_000           # pieces packed by one task
-STUCK = 16               # underfull bins without an improving exchange, in a row, that end a search
-ROUNDS = 4               # of pooling
+POOLED = 15 / 16         # share of a bin
 
 
 class Packer:
@@ -55,88 +55,91 @@ class Packer:
             free |= 1 << (room - need)
 
     def search(self) -> None:
-        """Empties bins until none can give anything away or the fewest possible are left."""
-        total, size = sum(self.lengths), self.size
-        fewest = -(-total // size)
-        used = sum(1 for d in self.docs if d)
+        """Exchanges between underfull bins, the emptiest giving first, until a pass over all of them finds none
+        that raises the sum of squared fills or the fewest possible bins are left."""
+        fewest = -(-sum(self.lengths) // self.size)
+        used = sum(1 for ds in self.docs if ds)
         if used <= fewest:
             return
-        self.best = [np.full(size + 1, -1, np.int64) for _ in range(3)]       # most room of a bin with no / one / two documents of a length
-        self.heaps: list[list[list[tuple[int, int]]]] = [[[] for _ in range(size + 1)] for _ in range(3)]
-        self.sums: dict[int, list[set[int]]] = {}
-        for b in range(len(self.docs)):
-            if self.left[b] > 0 and self.docs[b]:
-                self._enter(b)
-        queue = sorted((b for b in range(len(self.docs)) if self.left[b] > 0 and self.docs[b]), key=lambda b: -self.left[b])
-        stuck = 0
-        for b in queue:
-            if used <= fewest or stuck >= STUCK:
-                break
-            if not self.docs[b]:
-                continue
-            self._leave(b)
-            while self.docs[b] and self._give(b):
-                pass
-            if self.docs[b]:
-                stuck += 1
-                self._enter(b)
-            else:
-                used, stuck = used - 1, 0
+        self.held, self.room, self.bin, self.kind = (np.zeros(1 << 10, t) for t in (np.int64, np.int64, np.int32, np.int8))
+        self.end, self.slots = 0, {}
+        for b in self._underfull():
+            self._enter(b)
+        moved = True
+        while moved and used > fewest:
+            moved = False
+            for a in self._underfull():
+                while self.docs[a] and self.left[a] and self._give(a):
+                    moved = True
+                if not self.docs[a]:
+                    used -= 1
+                    if used <= fewest:
+                        return
+
+    def _underfull(self) -> list[int]:
+        """The emptiest first."""
+        return sorted((b for b in range(len(self.docs)) if self.left[b] > 0 and self.docs[b]), key=lambda b: (-self.left[b], b))
 
     def _enter(self, b: int) -> None:
-        ls = [self.lengths[d] for d in self.docs[b]]
-        sums = [{0}, set(ls), {x + y for i, x in enumerate(ls) for y in ls[:i] if x + y <= self.size}]
-        self.sums[b] = sums
-        for kind in range(3):
-            for s in sums[kind]:
-                heapq.heappush(self.heaps[kind][s], (-self.left[b], b))
-                self.best[kind][s] = max(self.best[kind][s], self.left[b])
+        """Rows of what bin b can hand back for a document: nothing, one or two of its own, by total length."""
+        ls = sorted({self.lengths[d] for d in self.docs[b]})
+        rows = [(0, 0), *((x, 1) for x in ls), *((s, 2) for s in {self.lengths[d] + self.lengths[e] for i, d in enumerate(self.docs[b]) for e in self.docs[b][:i]} if s < self.size)]
+        if self.end + len(rows) > len(self.held):
+            self._compact(len(rows))
+        at = self.slots[b] = slice(self.end, self.end + len(rows))
+        self.held[at], self.kind[at] = zip(*rows)
+        self.room[at], self.bin[at], self.end = self.left[b], b, at.stop
 
     def _leave(self, b: int) -> None:
-        for kind, sums in enumerate(self.sums.pop(b)):
-            for s in sums:
-                self._top(kind, s)
-
-    def _top(self, kind: int, s: int) -> int:
-        """The bin with most room that holds `kind` documents of total length s."""
-        heap = self.heaps[kind][s]
-        while heap and not (-heap[0][0] == self.left[heap[0][1]] and heap[0][1] in self.sums and s in self.sums[heap[0][1]][kind]):
-            heapq.heappop(heap)
-        self.best[kind][s] = -heap[0][0] if heap else -1
-        return heap[0][1] if heap else -1
+        self.room[self.slots.pop(b)] = -1
+
+    def _compact(self, more: int) -> None:
+        """Drops rows of bins that have left, and doubles the columns where that gains too little."""
+        live = np.flatnonzero(self.room[:self.end] >= 0)
+        size = max(len(self.held), 2 * (len(live) + more))
+        self.held, self.room, self.bin, self.kind = (np.concatenate([x[live], np.zeros(size - len(live), x.dtype)]) for x in (self.held, self.room, self.bin, self.kind))
+        self.end, at = len(live), 0
+        for b, n in sorted(((b, x.stop - x.start) for b, x in self.slots.items()), key=lambda p: self.slots[p[0]].start):
+            self.slots[b] = slice(at, at + n)
+            at += n
 
     def _give(self, a: int) -> bool:
-        """One improving exchange that empties bin a further: the one that moves most."""
-        ds = sorted(self.docs[a], key=lambda d: -self.lengths[d])
-        offers = [((d,), self.lengths[d]) for d in ds] + [((d, e), self.lengths[d] + self.lengths[e]) for i, d in enumerate(ds) for e in ds[:i]]
-        most, chosen = 0, None
-        for mine, length in offers:
-            if length <= most or length > self.size:
-                continue
-            for kind in (0, 1, 2) if len(mine) == 1 else (0, 1):
-                top = min(length, 1 if kind == 0 else self.size + 1)
-                fits = self.best[kind][:top] >= length - np.arange(top)
-                s = int(fits.argmax()) if len(fits) else 0
-                if len(fits) and fits[s] and length - s > most:
-                    most, chosen = length - s, (mine, kind, s)
+        """The exchange with any other underfull bin that raises the squares most: bin a gives one or two documents
+        of total L for documents of total S of a bin with room r, where 0 < L - S <= r. The squares grow by
+        twice (L - S) times what a's room exceeds the room left there by."""
+        self._leave(a)
+        held, room, kind = self.held[:self.end], self.room[:self.end], self.kind[:self.end]
+        ds, most, chosen = self.docs[a], 0, None
+        offers = {self.lengths[d]: (d,) for d in ds}
+        offers = [*offers.items(), *{self.lengths[d] + self.lengths[e]: (d, e) for i, d in enumerate(ds) for e in ds[:i]}.items()]
+        for length, mine in offers:
+            moved = length - held
+            after = room - moved                                       # room left there
+            gain = np.where((moved > 0) & (after >= 0) & (room >= 0), moved * (self.left[a] - after), 0)
+            if len(mine) == 2:
+                gain[kind == 2] = 0
+            i = int(gain.argmax()) if len(gain) else 0
+            if len(gain) and gain[i] > most:
+                most, chosen = int(gain[i]), (mine, i, int(moved[i]))
         if chosen is None:
+            self._enter(a)
             return False
-        mine, kind, s = chosen
-        b = self._top(kind, s)
-        if self.left[b] - self.left[a] >= most:                               # squares would not grow
-            return False
+        mine, i, moved = chosen
+        b, own, s = int(self.bin[i]), self.docs[int(self.bin[i])], int(held[i])
         theirs: list[int] = []
-        if kind == 1:
-            theirs = [next(d for d in self.docs[b] if self.lengths[d] == s)]
-        elif kind == 2:
-            own = self.docs[b]
-            theirs = next([x, y] for i, x in enumerate(own) for y in own[:i] if self.lengths[x] + self.lengths[y] == s)
+        if kind[i] == 1:
+            theirs = [next(d for d in own if self.lengths[d] == s)]
+        elif kind[i] == 2:
+            theirs = next([x, y] for j, x in enumerate(own) for y in own[:j] if self.lengths[x] + self.lengths[y] == s)
         self._leave(b)
-        self.docs[a] = [d for d in self.docs[a] if d not in mine] + theirs
-        self.docs[b] = [d for d in self.docs[b] if d not in theirs] + list(mine)
-        self.left[a] += most
-        self.left[b] -= most
-        self._enter(b)
+        self.docs[a] = [d for d in ds if d not in mine] + theirs
+        self.docs[b] = [d for d in own if d not in theirs] + list(mine)
+        self.left[a] += moved
+        self.left[b] -= moved
+        if self.docs[a]:
+            self._enter(a)
+        if self.left[b]:
+            self._enter(b)
         return True
 
 
@@ -160,7 +163,8 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     """
     full = pieces.where(F.col("length") == size).select("piece_id", (F.col("piece_id") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, done, first = pieces.where(F.col("length") < size).select("piece_id", "length"), [full], 0
-    for round_ in range(ROUNDS):
+    before = None
+    for round_ in itertools.count():
         count = rest.count()
         if not count:
             break
@@ -168,12 +172,12 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
         packed = (rest.withColumn("block", F.pmod(F.xxhash64("piece_id", F.lit(round_)), F.lit(blocks))).groupBy("block")
                   .applyInArrow(_pack_block(size, first), "piece_id long, length long, block long, bin long, offset long, fill long"))
         packed = written(packed, "packed")
-        last = blocks == 1 or round_ == ROUNDS - 1
-        done.append(packed.where("true" if last else f"fill > {size * 15 // 16}")
+        last = blocks == 1 or before is not None and 4 * blocks > 3 * before
+        done.append(packed.where("true" if last else f"fill > {int(size * POOLED)}")
                     .select("piece_id", ((F.col("block") * (1 << 24) + F.col("bin")) * 2).alias("sequence_id"), "offset"))
         if last:
             break
-        rest, first = packed.where(f"fill <= {size * 15 // 16}").select("piece_id", "length"), first + blocks
+        rest, first, before = packed.where(f"fill <= {int(size * POOLED)}").select("piece_id", "length"), first + blocks, blocks
     return reduce(DataFrame.union, done)
 
 
