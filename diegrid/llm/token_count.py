@@ -59,14 +59,28 @@ def _encode_chunks(chunks: DataFrame, path: str, chunk: int) -> DataFrame:
     return chunks.select("row", "k", "reach", "text").mapInArrow(run, f"row long, k long, reach long, head {places}, tail {places}, total long")
 
 
+def _cut(texts: DataFrame, chunk: int) -> DataFrame:
+    """texts(row, ks: array of (k, reach), text) -> row, k, reach, text of the chunk. A text is read once, so
+    cutting takes time in proportion to it, and yields `BATCH` chunks at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row, ks, text = batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), batch.column(2)[r].as_py()
+                for i in range(0, len(ks), BATCH):
+                    rows = [(row, x["k"], x["reach"], text[x["k"] * chunk:(x["k"] + 1) * chunk + x["reach"]]) for x in ks[i:i + BATCH]]
+                    types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["row", "k", "reach", "text"])
+
+    return texts.select("row", "ks", "text").mapInArrow(run, "row long, k long, reach long, text string")
+
+
 def _huge(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     """docs(row, doc_id, n_bytes, text) of more than one chunk -> doc_id, n_bytes, n_tokens."""
     docs = written(docs.withColumn("chars", F.length("text").cast("long")), "huge")
 
     def encoded(keys: DataFrame) -> DataFrame:
-        texts = docs.join(keys.groupBy("row").agg(F.collect_list(F.struct("k", "reach")).alias("ks")), "row").select("row", F.explode("ks").alias("x"), "text")
-        cut = texts.select("row", "x.k", "x.reach", F.expr(f"substring(text, cast(x.k * {chunk} + 1 as int), cast({chunk} + x.reach as int))").alias("text"))
-        return written(_encode_chunks(cut.repartition("row", "k"), path, chunk), "chunks")
+        texts = docs.join(keys.groupBy("row").agg(F.collect_list(F.struct("k", "reach")).alias("ks")), "row")
+        return written(_encode_chunks(_cut(texts, chunk).repartition("row", "k"), path, chunk), "chunks")
 
     count = F.expr(f"int((chars + {chunk} - 1) div {chunk})")
     keys = docs.select("row", F.explode(F.sequence(F.lit(0).cast("long"), (count - 1).cast("long"))).alias("k")).withColumn("reach", F.lit(overlap).cast("long"))

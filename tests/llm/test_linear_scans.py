@@ -2,10 +2,14 @@
 
 import re
 import time
+import zlib
 
 import numpy as np
 
-from diegrid.llm import pii, secrets
+from pyspark.sql import functions as F
+
+from diegrid.llm import pii, secrets, token_count
+from diegrid.llm.queries import vocabulary
 
 JWT = next(r for r in secrets.RULES if r.kind == "jwt")
 
@@ -66,3 +70,30 @@ def test_many_spans():
     start = time.time()
     base, kept = pii.spans(text, Scores(), dict.fromkeys(pii.KINDS, 0.2))
     assert len(base) >= 20_000 and len(kept) >= len(base) and time.time() - start < 60
+
+
+def test_chunks_of_a_long_text(spark):
+    """48 million characters are cut in seconds, and the chunks are the text."""
+    n, chunk, reach = 48_000_000, token_count.CHUNK, token_count.OVERLAP
+    text = F.repeat(F.lit("long text é\U0001F642 of words, " * 100), n // 2_300)
+    chunks = -(-(n // 2_300 * 2_300) // chunk)
+    rows = spark.range(1).select(F.col("id").alias("row"), F.expr(f"transform(sequence(0L, {chunks - 1}L), k -> struct(k, {reach}L as reach))").alias("ks"), text.alias("text"))
+    start = time.time()
+    cut = token_count._cut(rows, chunk).select("k", F.length("text").alias("n"), F.crc32("text").alias("h")).collect()
+    assert time.time() - start < 60 and len(cut) == chunks
+    whole = "long text é\U0001F642 of words, " * 100 * (n // 2_300)
+    for r in cut:
+        part = whole[r["k"] * chunk:(r["k"] + 1) * chunk + reach]
+        assert (r["n"], r["h"]) == (len(part), zlib.crc32(part.encode()))
+
+
+def test_token_counts_of_a_long_text(spark):
+    import sentencepiece
+    path = vocabulary("piece_bpe_32k.model")
+    random = np.random.default_rng(3)
+    words = ["".join(chr(c) for c in random.integers(97, 123, 7)) for _ in range(5_000)]
+    text = " ".join(words[i] for i in random.integers(0, len(words), 500_000))
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_count.token_counts(docs, path).collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert got == {1: len(library.encode(text)), 2: len(library.encode("short")), 3: 0}
