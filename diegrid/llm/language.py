@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from diegrid.llm.store import written
 from diegrid.llm.words import LOWER, runs_of_rows, utf8
@@ -24,6 +25,7 @@ BUCKETS = 1 << 16
 WEIGHT = 100.0                           # trigrams that the text counts as, at most: neighbouring ones depend on each other
 HOST, RELIABLE, UND_PRIOR = 10.0, 5.0, 0.01
 UND = "und"
+DOUBLES = T.ArrayType(T.DoubleType())
 
 _FOLD = LOWER.copy()
 _FOLD[0x30:0x3A] = 0x30                  # digits are alike
@@ -59,7 +61,7 @@ class TextModel:
         shared /= shared.sum()
         law = counts + 2_000 * 0.2 * shared + 0.02
         law /= law.sum(axis=1, keepdims=True)
-        self.table = np.log(np.vstack([law, np.full((1, BUCKETS), 1 / BUCKETS)])).T.astype(np.float32).copy()
+        self.table = np.log(np.vstack([law, np.full((1, BUCKETS), 1 / BUCKETS)])).astype(np.float32)
 
     def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Sum of log-probabilities by row and class over the whole text, and trigrams of the row."""
@@ -73,10 +75,16 @@ class TextModel:
                 code = _codes(data[at:end])
                 row = np.searchsorted(offsets[i:j + 1], np.arange(at, at + len(code)), side="right") - 1 if j - i > 1 else np.zeros(len(code), np.int64)
                 inside = np.arange(at, at + len(code)) + 2 < offsets[i:j + 1][row + 1]
+                row, code = row[inside], code[inside]
                 for c in range(len(self.labels)):
-                    out[i:j, c] += np.bincount(row[inside], self.table[code[inside], c], minlength=j - i)
+                    out[i:j, c] += np.bincount(row, self.table[c].take(code), minlength=j - i)
         return out, n
 
+    def evidence(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods by row and class, weighed as at most `WEIGHT` trigrams, and trigrams of the row."""
+        logs, n = self.scores(column)
+        return logs * (np.minimum(n, WEIGHT) / np.maximum(n, 1))[:, None], n.astype(np.int64)
+
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> TextModel:
     """labelled(label, text): a class for each label but `und` and blank ones, from its distinct texts. Where a label
@@ -103,65 +111,108 @@ def scored(rows: DataFrame, model: TextModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logs, n = held.value.scores(batch.column(place))
-            evidence = logs * (np.minimum(n, WEIGHT) / np.maximum(n, 1))[:, None]
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * logs.shape[1]), pa.array(evidence.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, flat, pa.array(n.astype(np.int64))], [*names, "evidence", "n_trigrams"])
+            evidence, n = held.value.evidence(batch.column(place))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(evidence), pa.array(n, pa.int64())], [*names, "evidence", "n_trigrams"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("evidence", DOUBLES), T.StructField("n_trigrams", T.LongType())]))
+
+
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _alone(evidence: np.ndarray) -> np.ndarray:
+    """Posteriors from the text and the prior of `und`, the last class, alone."""
+    logs = evidence.copy()
+    logs[:, -1] += np.log(UND_PRIOR)
+    return _softmax(logs)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["evidence array<double>, n_trigrams long"])
-    return rows.mapInArrow(run, schema)
 
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    """Rows of n doubles; zeros for null lists."""
+    out = np.zeros((len(column), n))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return out
 
-def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    e = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
 
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
 
-def _sums(rows: DataFrame, key: str, n: int) -> DataFrame:
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*[F.sum(F.col("alone")[i]) for i in range(n)]).alias(f"{key}_n"))
+
+def fuse(evidence: np.ndarray, sums: dict[str, np.ndarray], given: dict[str, np.ndarray], everything: np.ndarray) -> np.ndarray:
+    """Posteriors of rows by class. sums: weights of the classes under each row's host, domain, declared language and
+    suffix, over all rows; given: whether a row has the declaration or suffix; everything: weights over all rows.
+    A row's own share is left out under its keys."""
+    alone, total = _alone(evidence), everything.sum() + 1.0
+    own = {k: np.maximum(x - alone, 0.0) for k, x in sums.items()}
+    count = {k: np.maximum(x.sum(axis=1, keepdims=True) - 1.0, 0.0) for k, x in sums.items()}
+    everywhere = (everything + 1.0 / len(everything)) / total
+    by_domain = (own["domain"] + HOST * everywhere) / (count["domain"] + HOST)
+    logs = evidence + np.log((own["host"] + HOST * by_domain) / (count["host"] + HOST))
+    for key, has in given.items():                                   # P(key | class) / P(key): 1 where nothing is declared
+        share = (count[key] + RELIABLE) / (total + RELIABLE)
+        logs += np.where(has[:, None], np.log((own[key] + RELIABLE * share) / (everything + RELIABLE) / share), 0.0)
+    return _softmax(logs)
+
+
+KEYS = ("host", "domain", "declared", "suffix")
 
 
 class Priors:
     """Grouped sums of the text posteriors of all rows, by host, domain, declared language and suffix."""
 
     def __init__(self, evidence: DataFrame, model: TextModel):
-        """evidence(host, declared, suffix, evidence), any of the first three may be null."""
-        self.n = len(model.labels)
-        alone = written(evidence.select("host", domain(F.col("host")).alias("domain"), "declared", "suffix", self.alone(F.col("evidence")).alias("alone")), "alone")
-        whole = alone.agg(*[F.sum(F.col("alone")[i]) for i in range(self.n)]).first()
-        self.all = [float(x or 0.0) for x in whole]
-        self.tables = {k: written(_sums(alone, k, self.n), f"by-{k}") for k in ("host", "domain", "declared", "suffix")}
-
-    def alone(self, evidence: Column) -> Column:
-        und = self.n - 1
-        return _softmax(F.transform(evidence, lambda x, i: x + F.when(i == und, float(np.log(UND_PRIOR))).otherwise(0.0)))
-
-    def fused(self, rows: DataFrame) -> DataFrame:
-        """rows(host, declared, suffix, evidence, ...) -> the same, and `posterior` by class."""
-        n, total = self.n, sum(self.all) + 1.0
-        rows = rows.withColumn("domain", domain(F.col("host"))).withColumn("alone", self.alone(F.col("evidence")))
+        """evidence(host, declared, suffix, evidence), any of the first three may be null. Each Arrow batch is summed
+        by key before the shuffle, so a host with a third of all rows is a row a batch."""
+        self.model, n = model, len(model.labels)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                alone = _alone(_matrix(batch.column(len(KEYS)), n))
+                for i, kind in enumerate(KEYS):
+                    codes = batch.column(i).dictionary_encode()
+                    valid = codes.indices.is_valid().to_numpy(zero_copy_only=False)
+                    at, names = codes.indices.drop_null().to_numpy(zero_copy_only=False), codes.dictionary
+                    if not len(names):
+                        continue
+                    sums = np.stack([np.bincount(at, alone[valid, c], minlength=len(names)) for c in range(n)], axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(names), pa.string()), names, _lists(sums)], ["kind", "key", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array(["all"]), pa.array([None], pa.string()), _lists(alone.sum(axis=0)[None, :])], ["kind", "key", "sums"])
+
+        parts = evidence.select("host", domain(F.col("host")).alias("domain"), "declared", "suffix", "evidence").mapInArrow(run, "kind string, key string, sums array<double>")
+        sums = written(parts.groupBy("kind", "key").agg(F.array(*[F.sum(F.col("sums")[c]) for c in range(n)]).alias("sums")), "priors")
+        whole = sums.where("kind = 'all'").first()
+        self.all = np.array(whole["sums"] if whole else [0.0] * n)
+        self.tables = {k: written(sums.where(F.col("kind") == k).select(F.col("key").alias(k), F.col("sums").alias(f"{k}_n")), f"by-{k}") for k in KEYS}
+
+    def fused(self, rows: DataFrame, from_text: bool = False) -> DataFrame:
+        """rows(host, declared, suffix, evidence, ...) -> the same, and `posterior` by class. With `from_text` rows
+        hold `text` instead of evidence, which is scored in the same batch and left out of the result; `n_trigrams` is added."""
+        model, everything, n = self.model, self.all, len(self.model.labels)
+        held = rows.sparkSession.sparkContext.broadcast(model) if from_text else None
+        names = [c for c in rows.columns if not (from_text and c == "text")]
+        sources = [*names, "text"] if from_text else names
+        joined = rows.withColumn("domain", domain(F.col("host")))
         for key, table in self.tables.items():
-            rows = rows.join(table, key, "left")
-
-        def own(key: str, i: int) -> Column:
-            """Weight of class i under this key in all other rows."""
-            return F.greatest(F.coalesce(F.col(f"{key}_n")[i] - F.col("alone")[i], F.lit(0.0)), F.lit(0.0))
-
-        def count(key: str) -> Column:
-            return F.greatest(F.coalesce(F.aggregate(f"{key}_n", F.lit(0.0), lambda s, x: s + x) - 1.0, F.lit(0.0)), F.lit(0.0))
-
-        logs = []
-        for i in range(n):
-            everywhere = (self.all[i] + 1.0 / n) / total
-            by_domain = (own("domain", i) + HOST * everywhere) / (count("domain") + HOST)
-            by_host = (own("host", i) + HOST * by_domain) / (count("host") + HOST)
-            log = F.col("evidence")[i] + F.log(by_host)
-            for key in ("declared", "suffix"):                       # P(key | class) / P(key): 1 where nothing is declared
-                share = (count(key) + RELIABLE) / (total + RELIABLE)
-                log = log + F.when(F.col(key).isNull(), 0.0).otherwise(F.log((own(key, i) + RELIABLE * share) / (self.all[i] + RELIABLE) / share))
-            logs.append(log)
-        return rows.withColumn("posterior", _softmax(F.array(*logs))).drop("domain", "alone", *(f"{k}_n" for k in self.tables))
+            joined = joined.join(table, key, "left")
+        sums = [f"{k}_n" for k in KEYS]
+        added = ["n_trigrams", "posterior"] if from_text else ["posterior"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column = dict(zip([*sources, *sums], batch.columns))
+                if held is None:
+                    evidence, new = _matrix(column["evidence"], n), []
+                else:
+                    evidence, trigrams = held.value.evidence(column["text"])
+                    new = [pa.array(trigrams, pa.int64())]
+                given = {k: column[k].is_valid().to_numpy(zero_copy_only=False) for k in ("declared", "suffix")}
+                posterior = fuse(evidence, {k: _matrix(column[f"{k}_n"], n) for k in KEYS}, given, everything)
+                yield pa.RecordBatch.from_arrays([*(column[c] for c in names), *new, _lists(posterior)], [*names, *added])
+
+        types = {"n_trigrams": T.LongType(), "posterior": DOUBLES}
+        return joined.select(*sources, *sums).mapInArrow(run, T.StructType([*(rows.schema[c] for c in names), *(T.StructField(c, types[c]) for c in added)]))
 
 
 def domain(host: Column) -> Column:
@@ -220,8 +271,6 @@ def identified(docs: DataFrame) -> DataFrame:
     model = fit(docs.select(F.col("lang").alias("label"), "text"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"),
                          F.when(F.col("source").contains("."), F.substring_index("source", ".", -1)).alias("suffix"))
-    evidence = scored(packed.select("text", "host", "declared", "suffix"), model).drop("text")
-    priors = Priors(evidence, model)
-    carried = scored(packed.select("text", "host", "declared", "suffix", "doc"), model).drop("text")
-    kept = decided(priors.fused(carried), model).where("keep")
+    priors = Priors(scored(packed.select("text", "host", "declared", "suffix"), model).drop("text"), model)
+    kept = decided(priors.fused(packed, from_text=True), model).where("keep")
     return kept.select(*[(F.col("language") if c == "lang" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
