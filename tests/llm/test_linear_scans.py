@@ -1,11 +1,10 @@
-"""Scans of one text stay linear: personal data and web tokens in texts of some megabytes."""
+"""Scans of one text stay linear: personal data, web tokens and chunks for token counts in texts of many megabytes."""
 
 import re
 import time
 import zlib
 
 import numpy as np
-
 from pyspark.sql import functions as F
 
 from diegrid.llm import pii, secrets, token_count
