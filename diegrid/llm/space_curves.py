@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 For each of `CURVES` orderings, vectors on the unit sphere are projected to a few dimensions, shifted, and
-put in the order of a Hilbert curve. Rows are cut into ranges of `RANGE` rows in that order; a query meets
-the rows within `reach` places of its own on every curve. The best of each range are merged and ranked again
-by the exact measure on original vectors.
+put in the order of a Hilbert curve; orderings take their dimensions from a common rotation in turn, so
+together they see all of them. Rows are cut into ranges of `RANGE` rows in that order; a query meets
+the rows within `reach` places of its own on every curve, by a product of one-byte codes. The best of all windows
+are merged by code, and the best of these ranked by the exact measure on original vectors.
 
 Equal vectors are one row of the index with their smallest ids, so a vector that very many rows share
-costs no more than others. Ranges have bounded sizes, and the queries of a range are dealt in blocks.
+costs no more than others. A range is held once by a task and its queries stream past it, so memory
+does not depend on their number.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from pyspark.sql import functions as F
 
 from diegrid.llm.store import written
 
-CURVES, DIMS, BITS = 10, 6, 10
-RANGE, RANGES = 4_096, 20_000            # rows of a range, about; most ranges, whose bounds are broadcast (5 MB)
-QUERIES = 1_024                          # queries of a range that one task takes at once
-REACH = 0.16                             # share of the rows on either side that a query meets on each curve
+CURVES, DIMS, BITS = 40, 6, 10
+RANGE, RANGES = 16_384, 20_000           # rows of a range, about; most ranges, whose bounds are broadcast (6 MB)
+TOGETHER = 32                            # queries, neighbours on the curve, that one product scores
+REACH, LEAST = 0.01, 24                  # share of the rows on either side that a query meets on each curve; rows at least
+MORE = 16                                # rows beyond k that are ranked again on original vectors
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -51,15 +54,26 @@ def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(unit: np.ndarray, curve: int) -> np.ndarray:
-    """The curve's own random directions and shift; coordinates spread over the grid by the normal law
-    that projections of high-dimensional directions follow about."""
-    random = np.random.default_rng(1000 + curve)
-    basis = np.linalg.qr(random.normal(size=(unit.shape[1], min(DIMS, unit.shape[1]))))[0]
-    y = unit @ basis * np.sqrt(unit.shape[1])
-    spread = 1 / (1 + np.exp(-1.702 * y))
-    grid = ((0.75 * spread + 0.25 * random.random(basis.shape[1])) * (1 << BITS)).astype(np.int64)
-    return hilbert(np.clip(grid, 0, (1 << BITS) - 1), BITS)
+def orderings(width: int, curves: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Directions and shift of each curve. A random rotation serves as many curves as it has groups of `DIMS` directions."""
+    dims = min(DIMS, width)
+    per, found = width // dims, []
+    for c in range(curves):
+        if c % per == 0:
+            turn = np.linalg.qr(np.random.default_rng(1000 + c).normal(size=(width, width)))[0]
+        found.append((turn[:, c % per * dims:(c % per + 1) * dims], np.random.default_rng(1_000_000 + c).random(dims)))
+    return found
+
+
+def curve_keys(unit: np.ndarray, basis: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Coordinates spread over the grid by the normal law that projections of high-dimensional directions follow about."""
+    spread = 1 / (1 + np.exp(-1.702 * (unit @ basis) * np.sqrt(unit.shape[1])))
+    return hilbert(np.clip(((0.75 * spread + 0.25 * shift) * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1), BITS)
+
+
+def codes(v: np.ndarray) -> np.ndarray:
+    """Components in 127ths of the largest one. Vectors of one direction have one code."""
+    return np.rint(v / np.abs(v).max(axis=1, keepdims=True) * 127).astype(np.int8)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -113,30 +127,68 @@ def _distinct(usable: DataFrame, k: int) -> DataFrame:
 
 def _keyed(index: DataFrame, curves: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             if batch.num_rows:
-                v = _matrix(batch.column(1))
-                unit = _unit(v)
-                for c in range(curves):
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(v), c, np.int32)), pa.array(curve_keys(unit, c))], ["row", "curve", "key"])
+                unit = _unit(_matrix(batch.column(1)))
+                turns = turns or orderings(unit.shape[1], curves)
+                for c, (basis, shift) in enumerate(turns):
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(unit), c, np.int32)), pa.array(curve_keys(unit, basis, shift))], ["row", "curve", "key"])
 
     return index.select("row", "v").mapInArrow(run, "row long, curve int, key long")
 
 
-def _meet(k: int):
-    """Scores the queries of one range and block against the rows within their reach."""
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query": pa.array([], pa.int64()), "row": pa.array([], pa.int64())})
-        place = left["place"].to_numpy()
-        rows, v = left["row"].to_numpy(), _unit(_matrix(left["v"].combine_chunks()))
-        score = _unit(_matrix(right["v"].combine_chunks())) @ v.T
-        low, high = right["low"].to_numpy(), right["high"].to_numpy()
-        score[(place[None, :] < low[:, None]) | (place[None, :] > high[:, None])] = -np.inf
-        take = min(k + 3, len(rows))
-        best = np.argpartition(-score, take - 1, axis=1)[:, :take]
-        good = np.take_along_axis(score, best, axis=1) > -np.inf
-        return pa.table({"query": np.repeat(right["query"].to_numpy(), take)[good.ravel()], "row": rows[best][good]})
+def _coded(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns `names` with a code of vector v."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [c.tobytes() for c in codes(_matrix(batch.column(len(names))))] if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], [*names, "code"])
+
+    return rows.select(*names, "v").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", code binary")
+
+
+def _decoded(column: pa.Array) -> np.ndarray:
+    """Codes as floats of length 1."""
+    x = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _windows(take: int):
+    """A sorted partition holds, range by range, rows in their order (kind 0) and then queries in theirs (kind 1). Each
+    query keeps the `take` rows of its window with the best codes, ties by smallest id."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            curve, part, kind = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero(np.diff(curve) | np.diff(part) | np.diff(kind)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if hi == lo:
+                    continue
+                if (curve[lo], part[lo]) != current:
+                    current, held = (curve[lo], part[lo]), []
+                piece = batch.slice(lo, hi - lo)
+                place, low, high, ids, first = (piece.column(i).to_numpy(zero_copy_only=False) for i in range(3, 8))
+                code = _decoded(piece.column(8))
+                if kind[lo] == 0:
+                    held.append((place, ids, first, code))
+                    continue
+                if len(held) > 1:
+                    held = [tuple(np.concatenate(x) for x in zip(*held))]
+                if not held:
+                    continue
+                (places, rows, firsts, known), out = held[0], []
+                for at in range(0, len(ids), TOGETHER):
+                    some = slice(at, at + TOGETHER)
+                    a, b = np.searchsorted(places, low[some]), np.searchsorted(places, high[some], "right")
+                    base = a.min()
+                    score = code[some] @ known[base:b.max()].T
+                    for i, (x, y) in enumerate(zip(a - base, b - base)):
+                        s = score[i, x:y]
+                        good = np.flatnonzero(s >= np.partition(s, len(s) - take)[len(s) - take]) if len(s) > take else np.arange(len(s))
+                        good = good[np.lexsort((firsts[base + x + good], -s[good]))[:take]]
+                        out.append((np.full(len(good), ids[at + i]), rows[base + x + good], firsts[base + x + good], s[good]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query", "row", "first", "near"])
     return run
 
 
@@ -154,8 +206,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVE
     total = index.count()
     queries = usable.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = written(queries.select(F.col("vec_id").alias("query"), "v"), "queries")
-    n_blocks = max(1, -(-queries.count() // QUERIES))
-    at = written(queries.join(index.select("v", "row"), "v").select("query", "row"), "query_rows")
+    at = written(_coded(queries.join(index.select("v", "row"), "v"), ["query", "row"]), "query_rows")
 
     ranges = min(RANGES, max(1, -(-total // RANGE)))
     keys = written(_keyed(index, curves), "keys")
@@ -173,20 +224,43 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVE
     keyed = keys.mapInArrow(place, "row long, curve int, key long, part int")
     counts = keyed.groupBy("curve", "part").count()
     ahead = counts.withColumn("ahead", F.coalesce(F.sum("count").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = keyed.withColumn("place", F.row_number().over(Window.partitionBy("curve", "part").orderBy("key", "row")))
     ahead = written(ahead, "ranges")
+    starts: dict[int, list[tuple[int, int]]] = {}
+    for r in ahead.sort("curve", "part").collect():          # at most RANGES for each curve
+        starts.setdefault(r["curve"], []).append((r["ahead"] + 1, r["part"]))
+    held_starts = spark.sparkContext.broadcast({c: np.array(x, np.int64).T for c, x in starts.items()})
+    ranked = keyed.withColumn("place", F.row_number().over(Window.partitionBy("curve", "part").orderBy("key", "row")))
     ranked = written(ranked.join(F.broadcast(ahead.select("curve", "part", "ahead")), ["curve", "part"])
                      .select("curve", "part", "row", (F.col("place") + F.col("ahead")).alias("place")), "places")
+    near = max(k + 1, LEAST, int(reach * total))
 
-    near = max(k + 1, int(reach * total))
-    asked = ranked.join(F.broadcast(at) if n_blocks == 1 else at, "row").select("curve", "query", (F.col("place") - near).alias("low"), (F.col("place") + near).alias("high"))
-    spans = ahead.select("curve", "part", F.col("ahead").alias("before"), (F.col("ahead") + F.col("count")).alias("upto"))
-    asked = (asked.join(F.broadcast(spans), "curve").where("before < high and upto >= low")
-             .withColumn("block", F.pmod(F.xxhash64("query"), F.lit(n_blocks))).join(queries, "query").select("curve", "part", "block", "query", "low", "high", "v"))
-    asked = written(asked, "asked")
-    held = (ranked.join(index.select("row", "v"), "row").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-            .select("curve", "part", "block", "row", "place", "v"))
-    met = held.groupBy("curve", "part", "block").cogroup(asked.groupBy("curve", "part", "block")).applyInArrow(_meet(k), "query long, row long").distinct()
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ranges that the window of a query touches, one row each."""
+        for batch in batches:
+            curve, places = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            first, last = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for c in np.unique(curve):
+                start, mine = held_starts.value[c][0], curve == c
+                first[mine] = np.maximum(np.searchsorted(start, places[mine] - near, "right") - 1, 0)
+                last[mine] = np.searchsorted(start, places[mine] + near, "right") - 1
+            times = last - first + 1
+            source = np.repeat(np.arange(batch.num_rows), times)
+            step = np.arange(len(source)) - np.repeat(np.cumsum(times) - times, times) + first[source]
+            part = np.array([held_starts.value[c][1][i] for c, i in zip(curve[source], step)], np.int32)
+            more = batch.take(pa.array(source))
+            yield pa.RecordBatch.from_arrays([more.column(0), pa.array(part), *more.columns[1:]], ["curve", "part", "place", "query", "code"])
+
+    asked = ranked.join(at, "row").select("curve", "place", "query", "code").mapInArrow(reached, "curve int, part int, place long, query long, code binary")
+    asked = asked.select("curve", "part", F.lit(1).alias("kind"), "place", (F.col("place") - near).alias("low"), (F.col("place") + near).alias("high"),
+                         F.col("query").alias("id"), F.lit(0).cast("long").alias("first"), "code")
+    coded = _coded(index.select("row", F.col("ids")[0].alias("first"), "v"), ["row", "first"])
+    rows = ranked.join(coded, "row").select("curve", "part", F.lit(0).alias("kind"), "place", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"),
+                                            F.col("row").alias("id"), "first", "code")
+    met = (rows.unionByName(asked).repartition("curve", "part").sortWithinPartitions("curve", "part", "kind", "place")
+           .mapInArrow(_windows(k + MORE), "query long, row long, first long, near float"))
+    met = met.groupBy("query", "row").agg(F.min("first").alias("first"), F.max("near").alias("near"))
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "first"))
+    met = written(met.withColumn("place", best).where(F.col("place") <= k + MORE).select("query", "row"), "met")
 
     def dot(a: str, b: str):
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
