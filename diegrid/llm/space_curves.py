@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from diegrid.llm.store import written
@@ -91,12 +91,19 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return v.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(length["most"]) - F.size("v"))))
 
 
-def _scaled(v: str) -> Column:
-    """The vector times a power of two that brings its largest component near 1: sums of squares neither vanish
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near 1: sums of squares neither vanish
     nor overflow, and cosines keep their last bit."""
-    largest = F.array_max(F.transform(v, F.abs))
-    exponent = F.greatest(F.least(-F.floor(F.log2(largest)), F.lit(1000)), F.lit(-1000))
-    return F.transform(v, lambda x: x * F.pow(F.lit(2.0), exponent))
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query, ids, qv, v) -> query, ids, score in double precision."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = _scaled(_matrix(batch.column(2))), _scaled(_matrix(batch.column(3)))
+            score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["query", "ids", "score"])
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -262,11 +269,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVE
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "first"))
     met = written(met.withColumn("place", best).where(F.col("place") <= k + MORE).select("query", "row"), "met")
 
-    def dot(a: str, b: str):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-    scored = (met.join(queries.select("query", _scaled("v").alias("qv")), "query").join(index.select("row", "ids", _scaled("v").alias("v")), "row")
-              .withColumn("score", dot("qv", "v") / (F.sqrt(dot("qv", "qv")) * F.sqrt(dot("v", "v")))))
+    pairs = met.join(queries.select("query", F.col("v").alias("qv")), "query").join(index.select("row", "ids", "v"), "row")
+    scored = pairs.select("query", "ids", "qv", "v").mapInArrow(_cosines, "query long, ids array<long>, score double")
     found = scored.select("query", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query").groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.select(F.col("query").alias("query_id"), rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
