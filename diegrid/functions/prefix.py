@@ -63,6 +63,27 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
                              for i, rank in enumerate(h)])
 
 
+def keyed_median(df: DataFrame, keys: list[str], value: str, name: str = "median", buckets: int = 256) -> DataFrame:
+    """Exact median of `value` per key, for keys of any size and number; null values and keys take no part, a key without
+    others has no row.
+
+    A histogram of each key, in equal steps between its ends, says which steps hold the middle ranks; only their distinct
+    values are put in order. Nothing is collected, no buffer holds the values of a key, and the steps of one key are dealt
+    to many tasks. Any steps give exact results.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ends = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    step = F.floor((F.col("_v").cast("double") - F.col("_lo")) / (F.col("_hi").cast("double") - F.col("_lo")) * buckets)
+    steps = counts.join(ends, keys).withColumn("_bucket", F.when(F.col("_hi") > F.col("_lo"), F.least(step, F.lit(buckets - 1))).otherwise(F.lit(0)))
+    through = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)        # `buckets` rows per key
+    hist = steps.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_s"), F.max("_all").alias("_all")).withColumn("_upto", F.sum("_s").over(through))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = hist.where((F.col("_upto") > low) & (F.col("_upto") - F.col("_s") <= high)).select(*keys, "_bucket", (F.col("_upto") - F.col("_s")).alias("_before"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = steps.join(middle, [*keys, "_bucket"]).withColumn("_upto", F.sum("_n").over(inside) + F.col("_before"))
+    return ranked.groupBy(*keys).agg(((F.min(F.when(F.col("_upto") > low, F.col("_v"))) + F.min(F.when(F.col("_upto") > high, F.col("_v")))) / 2).alias(name))
+
+
 def global_row_number(df: DataFrame, keys: list[str], order: str, tie: str, name: str = "rn", buckets: int = 64) -> DataFrame:
     """row_number() over (partition by keys order by order, tie) for keys of any size. `order` must
     be numeric and spread (an id or a hash), so that no single value fills a bucket."""

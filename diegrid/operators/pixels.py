@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from diegrid.functions.prefix import exact_quantiles
+from diegrid.functions.prefix import exact_quantiles, keyed_median
 from diegrid.operators.dies import STRIDE
 from diegrid.sources.tables import ensure_checkpoint_dir
 
@@ -161,8 +161,8 @@ def die_to_die(die_px: DataFrame, k_mad: float = 6.0, min_affected: float = 0.05
 
     Each die's median is removed; the reference of a pixel is the median over the eight
     neighbouring dies, absent ones replaced by the wafer's median die; deviations are judged by
-    the wafer's median absolute deviation. Medians are over one die, one pixel position of a
-    wafer, or one wafer's image: bounded groups.
+    the wafer's median absolute deviation. The other medians are over one die or one pixel position
+    of a wafer: bounded groups. The last one, over all pixels of a wafer, holds no buffer of them.
     """
     die = Window.partitionBy("wafer_id", "r", "c")
     spot = Window.partitionBy("wafer_id", "px")
@@ -173,7 +173,7 @@ def die_to_die(die_px: DataFrame, k_mad: float = 6.0, min_affected: float = 0.05
     d = d.select("*", F.median("v").over(spot).alias("golden"), F.concat(*frames).alias("near"))
     full = F.array_sort(F.concat("near", F.array_repeat("golden", 8 - F.size("near"))))
     d = d.select("wafer_id", "r", "c", F.abs(F.col("v") - (F.get(full, F.lit(3)) + F.get(full, F.lit(4))) / 2).alias("diff"))
-    mad = d.groupBy("wafer_id").agg((F.median("diff") + 1e-6).alias("mad"))
+    mad = keyed_median(d, ["wafer_id"], "diff", "mad").withColumn("mad", F.col("mad") + 1e-6)
     g = d.join(mad, "wafer_id").groupBy("wafer_id", "r", "c").agg(F.avg((F.col("diff") > k_mad * 1.4826 * F.col("mad")).cast("int")).alias("affected"))
     return g.select("*", F.when(F.col("affected") >= min_affected, 2).otherwise(1).alias("state"))
 
