@@ -2,8 +2,9 @@
 
 A global `ORDER BY` window would put every row of a key into one task. Instead the order is cut
 at approximate quantiles, rows are windowed within a bucket, and the few bucket totals are
-accumulated and joined back. The cuts are collected once (keys x buckets numbers) and become
-literals, so that every later evaluation, also after a lost executor, uses the same buckets.
+accumulated and joined back. The cuts of at most `FEW` keys are collected once and become literals,
+those of more keys are checkpointed in the shared folder and joined by a shuffle; either way every later
+evaluation, also after a lost executor, uses the same buckets.
 Any cuts give exact results; good ones only balance the tasks.
 """
 
@@ -12,24 +13,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def with_bucket(df: DataFrame, keys: list[str], order: str, buckets: int = 64) -> DataFrame:
-    """Adds `_bucket`: the number of cut points below `order`; rows equal in `order` share it."""
+FEW = 10_000        # keys whose cuts are collected and broadcast (5 MB at 64 buckets); offsets are `buckets` rows for each of them
+
+
+def _bucketed(df: DataFrame, keys: list[str], order: str, buckets: int) -> tuple[DataFrame, bool]:
+    """`df` with `_bucket`, the number of cut points below `order`, and whether the keys are few."""
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(F.col(order).cast("double"), shares, 2000)).alias("_cuts"))
-    rows = cuts.collect()                              # one short array per key
-    if keys:
+    rows = cuts.limit(FEW + 1).collect()               # one short array per key
+    few = len(rows) <= FEW
+    if not keys:
+        joined = df.withColumn("_cuts", F.array(*[F.lit(float(v)) for v in rows[0]["_cuts"] or []]).cast("array<double>"))
+    elif few:
         joined = df.join(F.broadcast(df.sparkSession.createDataFrame(rows, cuts.schema)), keys)
     else:
-        values = rows[0]["_cuts"] or []
-        joined = df.withColumn("_cuts", F.array(*[F.lit(float(v)) for v in values]).cast("array<double>"))
-    return joined.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(order).cast("double")))).drop("_cuts")
+        from diegrid.sources.tables import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        joined = df.join(cuts.checkpoint(), keys)      # fixed in the shared folder; many keys share the tasks of a shuffle
+    return joined.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(order).cast("double")))).drop("_cuts"), few
+
+
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    """Broadcast with few keys; a shuffle join, or what adaptive execution makes of it, else."""
+    return F.broadcast(df) if few else df
+
+
+def with_bucket(df: DataFrame, keys: list[str], order: str, buckets: int = 64) -> DataFrame:
+    """Adds `_bucket`: the number of cut points below `order`; rows equal in `order` share it."""
+    return _bucketed(df, keys, order, buckets)[0]
 
 
 def running_totals(df: DataFrame, keys: list[str], order: str, measures: list[str],
                    descending: bool = False, buckets: int = 64) -> DataFrame:
     """For rows that are unique in (keys, order): adds run_<m>, the sum of m up to and including
     the row, and all_<m>, the sum over the key."""
-    b = with_bucket(df, keys, order, buckets)
+    b, few = _bucketed(df, keys, order, buckets)
     by = F.desc(order) if descending else F.asc(order)
     step = F.desc("_bucket") if descending else F.asc("_bucket")
     local = Window.partitionBy(*keys, "_bucket").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
@@ -40,7 +58,7 @@ def running_totals(df: DataFrame, keys: list[str], order: str, measures: list[st
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
     offsets = sums.select(*keys, "_bucket", *[F.coalesce(F.sum(f"s_{m}").over(before), F.lit(0)).alias(f"off_{m}") for m in measures],
                           *[F.sum(f"s_{m}").over(whole).alias(f"all_{m}") for m in measures])
-    out = rows.join(F.broadcast(offsets), [*keys, "_bucket"])
+    out = rows.join(_small(offsets, few), [*keys, "_bucket"])
     return out.select(*df.columns, *[(F.col(f"run_{m}") + F.col(f"off_{m}")).alias(f"run_{m}") for m in measures],
                       *[f"all_{m}" for m in measures])
 
@@ -87,12 +105,12 @@ def keyed_median(df: DataFrame, keys: list[str], value: str, name: str = "median
 def global_row_number(df: DataFrame, keys: list[str], order: str, tie: str, name: str = "rn", buckets: int = 64) -> DataFrame:
     """row_number() over (partition by keys order by order, tie) for keys of any size. `order` must
     be numeric and spread (an id or a hash), so that no single value fills a bucket."""
-    b = with_bucket(df, keys, order, buckets)
+    b, few = _bucketed(df, keys, order, buckets)
     local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order, tie))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = b.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).select(
         *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))     # `buckets` rows per key
-    return (b.withColumn("_rn", local).join(F.broadcast(offsets), [*keys, "_bucket"])
+    return (b.withColumn("_rn", local).join(_small(offsets, few), [*keys, "_bucket"])
             .select(*df.columns, (F.col("_rn") + F.col("_off")).alias(name)))
 
 
@@ -116,11 +134,11 @@ def dense_ids(df: DataFrame, column: str, name: str = "id") -> DataFrame:
 def global_lag(df: DataFrame, keys: list[str], order: str, column: str, name: str, buckets: int = 64) -> DataFrame:
     """lag(column) over (partition by keys order by order) for keys of any size: within buckets by
     a window, across them by the last value of the previous non-empty bucket."""
-    b = with_bucket(df, keys, order, buckets)
+    b, few = _bucketed(df, keys, order, buckets)
     local = F.lag(F.struct(F.col(column).alias("v"))).over(Window.partitionBy(*keys, "_bucket").orderBy(order))
     last = b.groupBy(*keys, "_bucket").agg(F.max_by(F.struct(F.col(column).alias("v")), order).alias("_last"))
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket")
     edge = last.select(*keys, "_bucket", F.lag("_last").over(before).alias("_edge"))           # `buckets` rows per key
-    return (b.withColumn("_lag", local).join(F.broadcast(edge), [*keys, "_bucket"])
+    return (b.withColumn("_lag", local).join(_small(edge, few), [*keys, "_bucket"])
             .select(*df.columns, F.coalesce("_lag", "_edge")["v"].alias(name),
                     F.coalesce("_lag", "_edge").isNotNull().alias(f"{name}_exists")))
