@@ -1,16 +1,18 @@
 """Pixel tables to die maps: pixels(image, y, x, r, g, b), one row per pixel of a picture.
 
-Colours are looked up once per distinct quantised colour (at most 32^3), histograms and votes are
-per-image aggregations, and neighbouring dies meet in RANGE frames.
+Colours are looked up in a table of the 32^3 quantised ones, histograms are per-image aggregations, pitches and votes
+come from one picture at a time, and neighbouring dies meet in RANGE frames.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from diegrid.functions.prefix import exact_quantiles, keyed_median
 from diegrid.operators.dies import STRIDE
-from diegrid.sources.tables import ensure_checkpoint_dir
 
 # --- fixed values: degree-6 polynomial fit of the viridis colour map (public domain, M. Zucker);
 # rows are the coefficients of t^0 .. t^6 for red, green, blue in [0, 1]
@@ -27,35 +29,35 @@ VIRIDIS = [
 STANDARD, SPREAD, STANDARD_MASS, PEAK_MASS = (0, 128, 255), 24, 0.9, 0.004
 
 
-def map_channel(position: Column, k: int) -> Column:
-    """Channel k (0-255) of the colour map at a position 0-255."""
-    t, v = position / 255.0, F.lit(VIRIDIS[-1][k])
-    for c in reversed(VIRIDIS[:-1]):
-        v = v * t + c[k]
-    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v * 255)) + 0.5).cast("int")
+def _nearest() -> pd.DataFrame:
+    """Every colour in steps of 8 (32^3, packed in q) with the nearest position v, the smallest on ties, and the map's
+    colour there: whatever the pictures hold."""
+    t = np.arange(256) / 255.0
+    colours = []
+    for k in range(3):
+        v = np.full(256, VIRIDIS[-1][k])
+        for c in reversed(VIRIDIS[:-1]):
+            v = v * t + c[k]
+        colours.append(np.floor(np.clip(v * 255, 0.0, 255.0) + 0.5).astype(np.int32))
+    q = np.arange(32 ** 3)
+    v = sum((((q >> shift & 31) * 8 + 4)[:, None] - c) ** 2 for shift, c in zip((10, 5, 0), colours)).argmin(1).astype(np.int32)
+    return pd.DataFrame({"q": q, "v": v} | {f"m{n}": c[v] for n, c in zip("rgb", colours)})
 
 
 def with_position(pixels: DataFrame) -> DataFrame:
     """Adds v, the colour map position (0-255) nearest to the pixel's colour in steps of 8, and
-    dist, the distance of the true colour to that map colour.
+    dist, the distance of the true colour to that map colour. Pixels without a colour are left out,
+    channels outside 0-255 are an error.
 
-    The search over the map runs once per distinct quantised colour, at most 32^3 rows, which are
-    checkpointed and joined back.
+    The search over the map runs once for each of the 32^3 quantised colours, not for pixels, which are read once.
     """
-    ensure_checkpoint_dir(pixels.sparkSession)
-    q = [F.floor(F.col(n) / 8).cast("int").alias(f"q{n}") for n in "rgb"]
-
-    def squared(x: Column) -> Column:
-        return x * x
-
-    def d2(i: Column) -> Column:
-        return sum((squared(F.col(f"q{n}") * 8 + 4 - map_channel(i, k)) for k, n in enumerate("rgb")), F.lit(0))
-
-    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.struct(d2(i).alias("d"), i.alias("v"))))["v"]
-    found = pixels.select(*q).distinct().select("qr", "qg", "qb", best.alias("v")).checkpoint()
-    found = found.select("*", *[map_channel(F.col("v"), k).alias(f"m{n}") for k, n in enumerate("rgb")])
-    gap = sum((squared(F.col(n) - F.col(f"m{n}")) for n in "rgb"), F.lit(0))
-    return pixels.select("*", *q).join(F.broadcast(found), ["qr", "qg", "qb"]).select("image", "y", "x", "v", F.sqrt(gap).alias("dist"))
+    found = pixels.sparkSession.createDataFrame(_nearest(), "q bigint, v int, mr int, mg int, mb int")
+    channels = [F.col(n) for n in "rgb"]
+    packed = sum((F.shiftleft(F.shiftright(F.col(n), 3), shift) for n, shift in (("g", 5), ("b", 0))), F.shiftleft(F.shiftright("r", 3), 10))
+    beyond = (F.least(*channels) < 0) | (F.greatest(*channels) > 255)
+    key = F.coalesce(F.when(beyond, F.raise_error("with_position: a channel outside 0-255").cast("bigint")).otherwise(packed.cast("bigint")), F.lit(-1).cast("bigint"))
+    gap = sum(((F.col(n) - F.col(f"m{n}")) * (F.col(n) - F.col(f"m{n}")) for n in "rgb"), F.lit(0))
+    return pixels.select("*", key.alias("q")).join(F.broadcast(found), "q").select("image", "y", "x", "v", F.sqrt(gap).alias("dist"))
 
 
 def palette_levels(positions: DataFrame) -> DataFrame:
@@ -82,61 +84,98 @@ def palette_levels(positions: DataFrame) -> DataFrame:
 
 def pixel_states(positions: DataFrame) -> DataFrame:
     """Pixels with their die state: the code of the nearest level, the lower one on ties. States
-    are decided per (image, position), then joined to the pixels."""
-    levels = palette_levels(positions)
-    kinds = positions.select("image", "v").distinct().join(levels, "image")
-    nearest = F.array_min(F.zip_with("levels", "codes", lambda a, c: F.struct(F.abs(a - F.col("v")).alias("d"), a.alias("a"), c.alias("c"))))["c"]
-    return positions.join(kinds.select("image", "v", nearest.alias("state")), ["image", "v"]).select("image", "y", "x", "state")
+    are decided for the 256 positions of each image, 256 bytes that its pixels look up."""
+    distance = lambda v: F.zip_with("levels", "codes", lambda a, c: F.struct(F.abs(a - v).alias("d"), a.alias("a"), c.alias("c")))
+    states = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.array_min(distance(v))["c"].cast("byte"))
+    table = palette_levels(positions).select("image", states.alias("states"))
+    return (positions.select("image", "y", "x", "v").join(table.hint("shuffle_hash"), "image")
+            .select("image", "y", "x", F.get("states", F.col("v")).cast("int").alias("state")))
+
+
+def _picture(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    y, x, state = (rows.column(n).to_numpy().astype(np.int64) for n in ("y", "x", "state"))
+    return y, x, state, int(y.max()) + 1, int(x.max()) + 1
+
+
+def state_lines(states: DataFrame) -> DataFrame:
+    """(image, y, line): the states (0-9) of each pixel line as text, by x."""
+    def run(rows: pa.Table) -> pa.Table:
+        y, x, state, _h, _w = _picture(rows)
+        order = np.lexsort((x, y))
+        text = (state[order] + 48).astype(np.uint8).tobytes().decode("ascii")
+        at, start = np.unique(y[order], return_index=True)
+        lines = [text[a:b] for a, b in zip(start, [*start[1:], len(text)])]
+        return pa.table([pa.array(np.full(len(at), rows.column("image")[0].as_py())), pa.array(at, pa.int32()), pa.array(lines, pa.string())], names=["image", "y", "line"])
 
+    return (states.select(F.col("image").cast("long").alias("image"), "y", "x", "state").groupBy("image")
+            .applyInArrow(run, "image long, y int, line string"))
 
-def image_sizes(states: DataFrame) -> DataFrame:
-    return states.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+
+def _count(line: np.ndarray, pos: np.ndarray, state: np.ndarray, size: int, lo: int, hi: int, min_boundaries: int) -> int | None:
+    """Dies along an axis: the smallest count whose phases of the colour changes come near the best one's."""
+    order = np.lexsort((pos, line))
+    line, pos, state = line[order], pos[order], state[order]
+    at = pos[1:][(line[1:] == line[:-1]) & (state[1:] != state[:-1])]
+    if len(at) < max(1, min_boundaries):
+        return None
+    n = np.bincount(at)
+    where = np.flatnonzero(n)
+    k = np.arange(lo, hi + 1)
+    phase = 6.283185307179586 * k[:, None] * where / size
+    score = np.hypot(np.cos(phase) @ n[where], np.sin(phase) @ n[where]) / len(at)
+    return int(k[score >= 0.8 * score.max()][0])
+
+
+def _pitch(rows: pa.Table, lo: int, hi: int, min_boundaries: int) -> tuple[int, int, int | None, int | None]:
+    y, x, state, h, w = _picture(rows)
+    return h, w, _count(x, y, state, h, lo, hi, min_boundaries), _count(y, x, state, w, lo, hi, min_boundaries)
 
 
 def grid_pitch(states: DataFrame, lo: int = 12, hi: int = 160, min_boundaries: int = 20) -> DataFrame:
     """(image, h, w, rows, cols): dies along each axis; NULL where there are too few boundaries.
 
     Colour changes sit on multiples of the pitch, so the mean phase |e^{2 pi i n pos / size}| peaks
-    at the right count n and its multiples; the smallest n near the maximum is taken. Changes are
-    counted per position first, so the phases see at most `size` rows per image and axis.
+    at the right count n and its multiples; the smallest n near the maximum is taken. A picture, a bounded group, is
+    looked at as a whole; Spark deals the pictures to the tasks.
     """
-    size = image_sizes(states)
-
-    def changes(axis: str, pos: str, line: str, length: str) -> DataFrame:
-        prev = F.lag("state").over(Window.partitionBy("image", line).orderBy(pos))
-        d = states.select("image", pos, line, "state", prev.alias("prev")).where("prev <> state").join(size, "image")
-        return (d.groupBy("image", F.lit(axis).alias("axis"), F.col(pos).alias("pos"), F.col(length).alias("size")).agg(F.count("*").alias("n")))
-
-    moved = changes("rows", "y", "x", "h").union(changes("cols", "x", "y", "w"))
-    k = moved.select("*", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("k"))
-    phase = 6.283185307179586 * F.col("k") * F.col("pos") / F.col("size")
-    g = k.groupBy("image", "axis", "k").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.cos(phase)).alias("c"), F.sum(F.col("n") * F.sin(phase)).alias("s"))
-    g = g.select("image", "axis", "k", "m", (F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("m")).alias("score"))
-    best = g.groupBy("image", "axis").agg(F.max("m").alias("m"), F.collect_list(F.struct("k", "score")).alias("scores"), F.max("score").alias("top"))
-    found = F.array_min(F.transform(F.filter("scores", lambda s: s["score"] >= 0.8 * F.col("top")), lambda s: s["k"]))
-    n = best.where(F.col("m") >= min_boundaries).groupBy("image").agg(
-        F.max(F.when(F.col("axis") == "rows", found)).alias("rows"), F.max(F.when(F.col("axis") == "cols", found)).alias("cols"))
-    return size.join(n, "image", "left")
-
-
-def cell_votes(states: DataFrame) -> DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
+        return pa.table([[v] for v in (rows.column("image")[0].as_py(), *_pitch(rows, lo, hi, min_boundaries))], schema=schema)
+
+    schema = pa.schema([("image", pa.int64()), *[(n, pa.int32()) for n in ("h", "w", "rows", "cols")]])
+    return (states.select(F.col("image").cast("long").alias("image"), "y", "x", "state").groupBy("image")
+            .applyInArrow(run, "image long, h int, w int, rows int, cols int"))
+
+
+def cell_votes(states: DataFrame, lo: int = 12, hi: int = 160, min_boundaries: int = 20) -> DataFrame:
     """Majority state in a window of 0.4 pitch round each die centre (lowest state on ties), and how
-    many pixels of the die's whole cell carry that state. One aggregation gives both."""
-    g = states.join(grid_pitch(states).where("rows IS NOT NULL AND cols IS NOT NULL"), "image")
-    k = F.greatest(F.lit(1), F.floor(0.4 * F.least(F.col("h") / F.col("rows"), F.col("w") / F.col("cols")))).cast("int")
-    g = g.select("*", F.floor(F.col("y") * F.col("rows") / F.col("h")).cast("int").alias("r"), F.floor(F.col("x") * F.col("cols") / F.col("w")).cast("int").alias("c"), k.alias("k"))
-
-    def inside(pos: str, cell: str, n: str, length: str) -> Column:
-        start = F.floor((F.col(cell) + 0.5) * F.col(length) / F.col(n)) - F.floor(F.col("k") / 2)
-        return F.col(pos).between(start, start + F.col("k") - 1)
-
-    near = inside("y", "r", "rows", "h") & inside("x", "c", "cols", "w")
-    votes = g.groupBy("image", "r", "c").agg(
-        *[F.count_if(near & (F.col("state") == s)).alias(f"v{s}") for s in (0, 1, 2)], *[F.count_if(F.col("state") == s).alias(f"n{s}") for s in (0, 1, 2)])
-    win = (F.when((F.col("v0") >= F.col("v1")) & (F.col("v0") >= F.col("v2")), 0).when(F.col("v1") >= F.col("v2"), 1).otherwise(2))
-    votes = votes.withColumn("state", win)
-    agree = F.when(F.col("state") == 0, F.col("n0")).when(F.col("state") == 1, F.col("n1")).otherwise(F.col("n2"))
-    return votes.select("image", "r", "c", "state", agree.alias("agree"), (F.col("n0") + F.col("n1") + F.col("n2")).alias("pixels"))
+    many pixels of the die's whole cell carry that state. Pictures without a pitch have no cells."""
+    names = ["image", "r", "c", "state", "agree", "pixels"]
+
+    def run(rows: pa.Table) -> pa.Table:
+        h, w, n_rows, n_cols = _pitch(rows, lo, hi, min_boundaries)
+        if n_rows is None or n_cols is None:
+            return schema.empty_table()
+        y, x, state, _h, _w = _picture(rows)
+        r, c = y * n_rows // h, x * n_cols // w
+        k = max(1, int(np.floor(0.4 * min(h / n_rows, w / n_cols))))
+
+        def inside(pos: np.ndarray, cell: np.ndarray, n: int, length: int) -> np.ndarray:
+            start = np.floor((cell + 0.5) * length / n).astype(np.int64) - k // 2
+            return (pos >= start) & (pos < start + k)
+
+        near = inside(y, r, n_rows, h) & inside(x, c, n_cols, w)
+        cell = r * n_cols + c
+        known = (state >= 0) & (state <= 2)
+        every = np.bincount(cell[known] * 3 + state[known], minlength=n_rows * n_cols * 3).reshape(-1, 3)
+        votes = np.bincount((cell * 3 + state)[near & known], minlength=n_rows * n_cols * 3).reshape(-1, 3)
+        found = np.unique(cell)
+        win = votes[found].argmax(1)                                # the lowest state on ties
+        columns = [np.full(len(found), rows.column("image")[0].as_py()), found // n_cols, found % n_cols, win, every[found, win], every[found].sum(1)]
+        return pa.table([pa.array(v).cast(f.type) for v, f in zip(columns, schema)], schema=schema)
+
+    schema = pa.schema([(n, pa.int32() if n in ("r", "c", "state") else pa.int64()) for n in names])
+    return (states.select(F.col("image").cast("long").alias("image"), "y", "x", "state").groupBy("image")
+            .applyInArrow(run, "image long, r int, c int, state int, agree long, pixels long"))
 
 
 def render_agreement(votes: DataFrame) -> DataFrame:

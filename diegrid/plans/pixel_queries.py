@@ -74,8 +74,7 @@ def _(spark, sf):
 
 @query("pixel_states", "SELECT image, y, string_agg(CAST(state AS VARCHAR), '' ORDER BY x) AS line FROM v_state GROUP BY 1, 2")
 def _(spark, sf):
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "state"))), lambda s: s["state"].cast("string")), "")
-    return states(spark, sf).groupBy("image", "y").agg(line.alias("line"))
+    return X.state_lines(states(spark, sf))
 
 
 cte("v_change", """
