@@ -162,14 +162,17 @@ KEYS = ("host", "domain", "declared", "suffix")
 class Priors:
     """Grouped sums of the text posteriors of all rows, by host, domain, declared language and suffix."""
 
-    def __init__(self, evidence: DataFrame, model: TextModel):
-        """evidence(host, declared, suffix, evidence), any of the first three may be null. Each Arrow batch is summed
-        by key before the shuffle, so a host with a third of all rows is a row a batch."""
+    def __init__(self, rows: DataFrame, model: TextModel, from_text: bool = False):
+        """rows(host, declared, suffix, evidence), any of the first three may be null; with `from_text` they hold `text`
+        instead of evidence, which is scored in the same worker: a second one behind it would double what a task holds in
+        Python. Each Arrow batch is summed by key before the shuffle, so a host with a third of all rows is a row a batch."""
         self.model, n = model, len(model.labels)
+        held = rows.sparkSession.sparkContext.broadcast(model) if from_text else None
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                alone = _alone(_matrix(batch.column(len(KEYS)), n))
+                given = batch.column(len(KEYS))
+                alone = _alone(_matrix(given, n) if held is None else held.value.evidence(given)[0])
                 for i, kind in enumerate(KEYS):
                     codes = batch.column(i).dictionary_encode()
                     valid = codes.indices.is_valid().to_numpy(zero_copy_only=False)
@@ -180,7 +183,7 @@ class Priors:
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * len(names), pa.string()), names, _lists(sums)], ["kind", "key", "sums"])
                 yield pa.RecordBatch.from_arrays([pa.array(["all"]), pa.array([None], pa.string()), _lists(alone.sum(axis=0)[None, :])], ["kind", "key", "sums"])
 
-        parts = evidence.select("host", domain(F.col("host")).alias("domain"), "declared", "suffix", "evidence").mapInArrow(run, "kind string, key string, sums array<double>")
+        parts = rows.select("host", domain(F.col("host")).alias("domain"), "declared", "suffix", "text" if from_text else "evidence").mapInArrow(run, "kind string, key string, sums array<double>")
         sums = written(parts.groupBy("kind", "key").agg(F.array(*[F.sum(F.col("sums")[c]) for c in range(n)]).alias("sums")), "priors")
         whole = sums.where("kind = 'all'").first()
         self.all = np.array(whole["sums"] if whole else [0.0] * n)
@@ -188,11 +191,12 @@ class Priors:
 
     def fused(self, rows: DataFrame, from_text: bool = False) -> DataFrame:
         """rows(host, declared, suffix, evidence, ...) -> the same, and `posterior` by class. With `from_text` rows
-        hold `text` instead of evidence, which is scored in the same batch and left out of the result; `n_trigrams` is added."""
+        hold `text` instead of evidence, which is scored in the same batch and left out of the result; `n_trigrams` is added.
+        Rows without a column `text` hold it in their struct `doc`, and it goes to Python once."""
         model, everything, n = self.model, self.all, len(self.model.labels)
         held = rows.sparkSession.sparkContext.broadcast(model) if from_text else None
         names = [c for c in rows.columns if not (from_text and c == "text")]
-        sources = [*names, "text"] if from_text else names
+        sources = [*names, "text"] if from_text and "text" in rows.columns else names
         joined = rows.withColumn("domain", domain(F.col("host")))
         for key, table in self.tables.items():
             joined = joined.join(table, key, "left")
@@ -205,7 +209,7 @@ class Priors:
                 if held is None:
                     evidence, new = _matrix(column["evidence"], n), []
                 else:
-                    evidence, trigrams = held.value.evidence(column["text"])
+                    evidence, trigrams = held.value.evidence(column["text"] if "text" in column else column["doc"].field("text"))
                     new = [pa.array(trigrams, pa.int64())]
                 given = {k: column[k].is_valid().to_numpy(zero_copy_only=False) for k in ("declared", "suffix")}
                 posterior = fuse(evidence, {k: _matrix(column[f"{k}_n"], n) for k in KEYS}, given, everything)
@@ -269,8 +273,8 @@ def identified(docs: DataFrame) -> DataFrame:
     being carried through the grouping.
     """
     model = fit(docs.select(F.col("lang").alias("label"), "text"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"),
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("lang").alias("declared"), F.col("source").alias("host"),
                          F.when(F.col("source").contains("."), F.substring_index("source", ".", -1)).alias("suffix"))
-    priors = Priors(scored(packed.select("text", "host", "declared", "suffix"), model).drop("text"), model)
+    priors = Priors(documents_as_rows(docs, ["text"]), model, from_text=True)
     kept = decided(priors.fused(packed, from_text=True), model).where("keep")
     return kept.select(*[(F.col("language") if c == "lang" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

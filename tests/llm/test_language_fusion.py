@@ -81,3 +81,27 @@ def test_many_labels():
         seconds[n] = time.perf_counter() - start
         assert np.allclose(posterior.sum(axis=1), 1)
     assert seconds[40] < 20 * seconds[4]
+
+
+def test_one_python_worker_a_task(spark):
+    """Texts are scored and summed by one Python operator, not by two in a row; the text goes to it once."""
+    rows = [(i, None if i % 9 == 4 else ["the cat and the dog", "le chat et le chien"][i % 2] * (i % 5), ["en", "fr"][i % 2], ["a.x.fr", "b.org", None][i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    model = language.fit(docs.select(docs["lang"].alias("label"), "text"))
+    plain = language.Priors(language.scored(language.documents_as_rows(docs, ["text"]), model).drop("text"), model)
+    seen = []
+    kept, language.written = language.written, lambda df, name: seen.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or kept(df, name)
+    try:
+        fused = language.Priors(language.documents_as_rows(docs, ["text"]), model, from_text=True)
+        out = language.identified(docs)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        language.written = kept
+    assert [p.count("MapInArrow") for name, p in seen if name == "priors"] == [1, 1] and plan.count("MapInArrow") == 1
+    assert np.allclose(fused.all, plain.all)
+    for key in language.KEYS:
+        get = lambda t: {r[0]: r[1] for r in t.collect()}
+        one, two = get(fused.tables[key]), get(plain.tables[key])
+        assert one.keys() == two.keys() and all(np.allclose(one[k], two[k]) for k in one)
+    want = {r["doc_id"]: r["language"] for r in language.languages(language.documents_as_rows(docs, ["doc_id", "text"]), model, ["doc_id"]).where("keep").collect()}
+    assert {r["doc_id"]: r["lang"] for r in out.collect()} == want
