@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from diegrid.constants import BASELINE_CLASS, FAIL, WHOLE_WAFER_CLASSES
@@ -13,6 +16,7 @@ from diegrid.functions.numeric import r6, ratio, wilson
 from diegrid.operators.components import component_sizes, label_cells
 from diegrid.operators.dies import (BIN_EPS, STRIDE, cell_code, die_polar, die_units, fail_neighbors,
                                     morans_i, neighbour_total, resample_area, to_mm)
+from diegrid.operators.grids import Wafers, per_wafer
 
 def is_fail() -> Column:
     return F.col("state") == FAIL
@@ -273,32 +277,40 @@ def gaussian_taps(sigma: float = 1.5) -> list[float]:
     return [float(v) for v in g / g.sum()]
 
 
+@cache
+def _blur(n: int, sigma: float) -> np.ndarray:
+    """(n, n): what each cell of a line adds to each one, reflected at both ends without repeating them."""
+    taps = gaussian_taps(sigma)
+    half, out, dst = len(taps) // 2, np.zeros((n, n)), np.arange(n)
+    for k, tap in enumerate(taps):
+        at = (dst + k - half) % max(1, 2 * (n - 1))
+        np.add.at(out, (np.where(at < n, at, 2 * (n - 1) - at), dst), tap)
+    return out
+
+
 def density_heatmap(dies: DataFrame, sigma: float = 1.5) -> DataFrame:
     """Gaussian blur of the fail mask over the bounding grid (reflected at its border without
     repeating the edge), kept on the wafer and scaled to the wafer's maximum.
 
-    Only failed dies are spread, first along rows, then along columns, over a table of taps per
-    grid length: at most MAX_DIM lengths x MAX_DIM positions x 13 taps.
+    A blur is two matrix products for all wafers of one grid size that a task holds together.
     """
-    taps = gaussian_taps(sigma)
-    half = len(taps) // 2
-    size = dies.groupBy("wafer_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
-    lengths = size.select("h").union(size.select("w")).distinct().toDF("n")
-    reflect = F.expr("CASE WHEN n = 1 THEN 0 WHEN pmod(dst + k, 2 * (n - 1)) < n THEN pmod(dst + k, 2 * (n - 1)) "
-                     "ELSE 2 * (n - 1) - pmod(dst + k, 2 * (n - 1)) END")
-    table = (lengths.select("n", F.explode(F.expr("sequence(0, n - 1)")).alias("dst"))
-             .select("*", F.explode(F.expr(f"sequence(-{half}, {half})")).alias("k"))
-             .select("n", "dst", reflect.alias("src"), F.element_at(F.array(*[F.lit(t) for t in taps]), F.col("k") + half + 1).alias("g"))
-             .groupBy("n", "src", "dst").agg(F.sum("g").alias("g")))
-    rows = table.toDF("w", "c", "dst_c", "gc")
-    cols = table.toDF("h", "r", "dst_r", "gr")
-    blurred = (dies.where(is_fail()).join(size, "wafer_id").join(F.broadcast(rows), ["w", "c"])
-               .groupBy("wafer_id", "h", "r", F.col("dst_c").alias("c")).agg(F.sum("gc").alias("v"))
-               .join(F.broadcast(cols), ["h", "r"])
-               .groupBy("wafer_id", F.col("dst_r").alias("r"), "c").agg(F.sum(F.col("v") * F.col("gr")).alias("v")))
-    on = dies.join(blurred, ["wafer_id", "r", "c"], "left").select("wafer_id", "r", "c", F.coalesce("v", F.lit(0.0)).alias("v"))
-    peak = F.max("v").over(Window.partitionBy("wafer_id"))
-    return on.select("wafer_id", "r", "c", (F.col("v") / (peak + 1e-9)).alias("heat"))
+    def body(wafers: Wafers) -> Iterator[pa.RecordBatch]:
+        h, w = np.maximum.reduceat(wafers.r, wafers.starts) + 1, np.maximum.reduceat(wafers.c, wafers.starts) + 1
+        fail, value = wafers.fails(), np.zeros(len(wafers.r))
+        shape, of = np.unique(np.stack([h, w], axis=1), axis=0, return_inverse=True)
+        of = of.ravel()[wafers.at]
+        order = np.argsort(of, kind="stable")
+        for rows, (height, width) in zip(np.split(order, np.flatnonzero(np.diff(of[order])) + 1), shape.tolist()):
+            ids, at = np.unique(wafers.at[rows], return_inverse=True)
+            cell = (at.ravel() * height + wafers.r[rows]) * width + wafers.c[rows]
+            mask = np.bincount(cell[fail[rows]], minlength=len(ids) * height * width).reshape(-1, height, width).astype(np.float64)
+            value[rows] = (_blur(height, sigma).T @ (mask @ _blur(width, sigma))).ravel()[cell]
+        peak = np.maximum.reduceat(value, wafers.starts)[wafers.at]
+        table = pa.table([*(wafers.columns[n] for n in ("wafer_id", "r", "c")), pa.array(value / (peak + 1e-9))], ["wafer_id", "r", "c", "heat"])
+        yield from table.to_batches(max_chunksize=10_000)
+
+    return per_wafer(dies.select(F.col("wafer_id").cast("long").alias("wafer_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "state"),
+                     body, "wafer_id long, r int, c int, heat double")
 
 
 def failed_die_list(dies: DataFrame, pattern: DataFrame, affected: DataFrame | None = None,
