@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from diegrid.constants import FEATURES, INPUT_SIZE
 from diegrid.functions.numeric import ratio
-from diegrid.operators.components import label_cells
-from diegrid.operators.dies import BIN_EPS, morans_i
+from diegrid.operators.components import _label, label_cells
+from diegrid.operators.dies import BIN_EPS, STRIDE, morans_i
+from diegrid.operators.grids import Wafers, per_wafer, resampled
 from diegrid.sources.tables import ensure_checkpoint_dir
 
 PI = 3.141592653589793
@@ -50,6 +51,68 @@ def zone_masks(size: int = INPUT_SIZE) -> dict[str, np.ndarray]:
     return zones | {f"edge_{i}_{t}": (r < 1) & (ring == i) & (angle == t) for i in range(*EDGE_RINGS) for t in range(ANGLES)}
 
 
+SUMS = ["wafer_id", "s2", "area", "fails", "f", "n", "radon_peak"]
+
+
+def _sums(fails: np.ndarray, held: np.ndarray, s2: np.ndarray, zones: np.ndarray, turned: np.ndarray) -> list[pa.Array]:
+    """area, fails, f, n and radon_peak of (wafers, cells) fail shares and cells on the wafer."""
+    sums = (fails / s2[:, None] @ turned).reshape(len(fails), -1, math.isqrt(fails.shape[1]))
+    peak = (sums.max(axis=2) / (sums.sum(axis=2) / sums.shape[2] + 1e-6)).max(axis=1)
+    counts = [pa.array(list((m @ zones).astype(np.int64)), pa.list_(pa.int64())) for m in (fails, held)]       # whole numbers below 2^53
+    return [*[pa.array(m.sum(axis=1).astype(np.int64)) for m in (held, fails)], *counts, pa.array(peak)]
+
+
+def _moran(v: np.ndarray, on: np.ndarray, unit: int, min_sd: float) -> np.ndarray:
+    """`morans_i` of (wafers, y, x) whole numbers on the cells `on`."""
+    n, total = on.sum(axis=(1, 2)).astype(np.float64), (v * on).sum(axis=(1, 2))
+    z = (v * n[:, None, None] - total[:, None, None]) * on
+    zz = (z * z).sum(axis=(1, 2))
+    pairs = (z[:, :, :-1] * z[:, :, 1:]).sum(axis=(1, 2)) + (z[:, :-1] * z[:, 1:]).sum(axis=(1, 2))
+    links = (on[:, :, :-1] & on[:, :, 1:]).sum(axis=(1, 2)) + (on[:, :-1] & on[:, 1:]).sum(axis=(1, 2))
+    ok = (n >= 10) & (zz > 0) & (links > 0) & (np.sqrt(zz / np.maximum(n, 1)) / np.maximum(n, 1) / unit >= min_sd)
+    return np.where(ok, n * pairs / np.where(ok, links * zz, 1), 0.0)
+
+
+OUTLINE = "struct<comp: bigint, r: int, k: bigint, lo: int, hi: int, sc: bigint, scc: bigint>"
+
+
+def _outline(bad: np.ndarray) -> pa.Array:
+    """`outlines` of (wafers, y, x) failing cells, one list for each wafer."""
+    wafer, y, x = np.nonzero(bad)
+    fields, ints = ["comp", "r", "k", "lo", "hi", "sc", "scc"], (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    if not len(wafer):
+        return pa.array([[]] * len(bad), pa.list_(pa.struct(list(zip(fields, ints)))))
+    root = _label(wafer * (STRIDE * STRIDE) + y * STRIDE + x, 8)
+    order = np.lexsort((x, y, root))
+    root, y, x = root[order], y[order], x[order]
+    first = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (y[1:] != y[:-1])])
+    last = np.r_[first[1:], len(x)] - 1
+    at = np.arange(len(bad) + 1)
+    head = np.nonzero(bad)
+    comp = head[1][root[first]] * STRIDE + head[2][root[first]]
+    values = [comp, y[first], np.diff(np.r_[first, len(x)]), x[first], x[last], np.add.reduceat(x, first), np.add.reduceat(x * x, first)]
+    rows = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(values, ints)], fields)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(wafer[root[first]], at).astype(np.int32)), rows)
+
+
+def wafer_grids(dies: DataFrame, size: int = INPUT_SIZE) -> DataFrame:
+    """dies(wafer_id, r, c, state) -> the columns of `grid_sums`, with moran_i and the outlines of clusters, one row per wafer.
+
+    All that features need of the resampled grid is worked out where it is made: no cell is a row."""
+    def body(wafers: Wafers) -> Iterator[pa.RecordBatch]:
+        zones, turned = np.stack(list(zone_masks(size).values()), axis=1).astype(np.float64), rotation_operator(size)
+        for part, s, wn, fn in resampled(wafers, size):
+            some = np.flatnonzero((2 * wn > s * s).any(axis=(1, 2)))
+            if len(some):
+                on, fn, s2 = 2 * wn[some] > s * s, fn[some], np.full(len(some), s * s)
+                sums = _sums((fn * on).reshape(len(some), -1), on.reshape(len(some), -1).astype(np.float64), s2, zones, turned)
+                yield pa.RecordBatch.from_arrays([pa.array(wafers.ids[part[some]]), pa.array(s2), *sums, pa.array(_moran(fn, on, s * s, 1e-6)), _outline(on & (2 * fn > s * s))],
+                                                 [*SUMS, "moran_i", "outline"])
+
+    return per_wafer(dies.select("wafer_id", "r", "c", "state"), body,
+                     f"wafer_id long, s2 long, area long, fails long, f array<long>, n array<long>, radon_peak double, moran_i double, outline array<{OUTLINE}>")
+
+
 def grid_sums(on: DataFrame, size: int = INPUT_SIZE) -> DataFrame:
     """wafer_id, s2, area, fails, f and n (sum of fn and number of cells per zone, exact), radon_peak.
 
@@ -66,12 +129,8 @@ def grid_sums(on: DataFrame, size: int = INPUT_SIZE) -> DataFrame:
                 at = np.repeat(np.arange(n), part.column(2).value_lengths().to_numpy()) * size * size + flat.field("at").to_numpy()
                 fails, held = np.zeros(n * size * size), np.zeros(n * size * size)
                 fails[at], held[at] = flat.field("fn").to_numpy(), 1
-                fails, held = fails.reshape(n, -1), held.reshape(n, -1)
-                sums = (fails / part.column(1).to_numpy()[:, None] @ turned).reshape(n, -1, size)
-                peak = (sums.max(axis=2) / (sums.sum(axis=2) / size + 1e-6)).max(axis=1)
-                counts = [pa.array(list((m @ zones).astype(np.int64)), pa.list_(pa.int64())) for m in (fails, held)]       # whole numbers below 2^53
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(m.sum(axis=1).astype(np.int64)) for m in (held, fails)], *counts, pa.array(peak)],
-                                                 ["wafer_id", "s2", "area", "fails", "f", "n", "radon_peak"])
+                columns = _sums(fails.reshape(n, -1), held.reshape(n, -1), part.column(1).to_numpy(), zones, turned)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], SUMS)
 
     return rows.mapInArrow(run, "wafer_id long, s2 long, area long, fails long, f array<long>, n array<long>, radon_peak double")
 
@@ -253,13 +312,19 @@ def moran_feature(cells: DataFrame) -> DataFrame:
 
 def feature_matrix(cells: DataFrame) -> DataFrame:
     """All 35 features, one row per wafer, in the fixed order. Three branches read the resampled grid: sums over it,
-    cluster outlines and Moran's I. The grid, and what clusters need of it, are checkpointed to the shared folder."""
+    cluster outlines and Moran's I. The grid, and what clusters need of it, are checkpointed to the shared folder.
+
+    Instead of resampled cells there may be dies(wafer_id, r, c, state): all three come from one pass, map by map."""
     ensure_checkpoint_dir(cells.sparkSession)
-    cells = cells.checkpoint()
-    sums, outline = grid_sums(on_cells(cells)).checkpoint(), outlines(cells).checkpoint()
+    if "state" in cells.columns:
+        grids = wafer_grids(cells).checkpoint()
+        sums, outline, moran = grids.select(*SUMS), grids.select("wafer_id", F.inline("outline")), grids.select("wafer_id", "moran_i")
+    else:
+        cells = cells.checkpoint()
+        sums, outline, moran = grid_sums(on_cells(cells)).checkpoint(), outlines(cells).checkpoint(), moran_feature(cells)
     clusters = cluster_table(outline)
     parts = [density_features(sums).drop("area"), edge_features(sums), cluster_features(sums, clusters),
-             salient_features(sums, clusters), solidity_feature(sums, outline), radon_feature(sums), moran_feature(cells)]
+             salient_features(sums, clusters), solidity_feature(sums, outline), radon_feature(sums), moran]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "wafer_id")

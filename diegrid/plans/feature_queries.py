@@ -188,4 +188,4 @@ def _(spark, sf):
 SELECT wafer_id, {_cols(FEATURES)} FROM v_fdens JOIN v_fedge USING (wafer_id) JOIN v_fclus USING (wafer_id)
 JOIN v_fsal USING (wafer_id) JOIN v_fsol USING (wafer_id) JOIN v_fradon USING (wafer_id) JOIN v_fmoran USING (wafer_id)""")
 def _(spark, sf):
-    return D.rounded(M.feature_matrix(cells(spark, sf)), *FEATURES)
+    return D.rounded(M.feature_matrix(V.dies(spark, sf)), *FEATURES)

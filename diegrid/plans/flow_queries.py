@@ -19,7 +19,7 @@ from diegrid.streaming import flow
 
 @query("morphology_oof")
 def _(spark, sf):
-    features = M.feature_matrix(D.resample_area(V.dies(spark, sf)))
+    features = M.feature_matrix(V.dies(spark, sf))
     rows = features.join(V.batches(spark, sf), "wafer_id").withColumn("y", F.col("wafer_id") % 9).withColumn("fold", F.col("batch") % 5)
     out = L.morphology_oof(rows, FEATURES, 5)
     return out.select("wafer_id", "fold", F.col("label").cast("int").alias("y"), "pred", F.array_join(F.transform("p", lambda v: F.round(v, 4).cast("string")), ",").alias("p"))
