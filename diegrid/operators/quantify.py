@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from diegrid.constants import BASELINE_CLASS, FAIL, WHOLE_WAFER_CLASSES
 from diegrid.functions.numeric import r6, ratio, wilson
-from diegrid.operators.components import component_sizes, label_cells
+from diegrid.operators.components import _label, component_sizes, label_cells
 from diegrid.operators.dies import (BIN_EPS, STRIDE, cell_code, die_polar, die_units, fail_neighbors,
                                     morans_i, neighbour_total, resample_area, to_mm)
 from diegrid.operators.grids import Wafers, per_wafer
@@ -116,17 +116,54 @@ def segment_pattern(dies: DataFrame, classes: DataFrame, cam: DataFrame | None =
 def segmentation_range(dies: DataFrame, classes: DataFrame, cam: DataFrame | None = None) -> DataFrame:
     """Fewest and most pattern dies over neighbour limits 1-3 and activation shares .3/.5/.7.
 
-    Neighbours are counted and clusters labelled once per limit; the three shares only change
-    which labelled clusters are kept.
+    Neighbours are counted and clusters labelled once per limit; the three shares only change which labelled
+    clusters are kept. Dies and activations of a wafer meet in one group of whole wafers: neither is joined or exploded.
     """
-    cand = pattern_candidates(dies, classes, [1, 2, 3], cam).withColumn(
-        "cam_frac", F.explode(F.array(*[F.lit(f) for f in (0.3, 0.5, 0.7)])))
-    keys = ["wafer_id", "min_neighbors", "cam_frac"]
-    counts = select_pattern(cand, F.col("cam_frac"), keys).groupBy(*keys).agg(F.count("*").alias("dies"))
-    ranges = counts.groupBy("wafer_id").agg(F.count("*").alias("k"), F.min("dies").alias("lo"), F.max("dies").alias("hi"))
-    return (dies.select("wafer_id").distinct().join(ranges, "wafer_id", "left")
-            .select("wafer_id", F.when(F.col("k") == 9, F.col("lo")).otherwise(F.lit(0)).alias("dies_min"),
-                    F.coalesce("hi", F.lit(0)).alias("dies_max")))
+    def body(wafers: Wafers) -> Iterator[pa.RecordBatch]:
+        stride, n = STRIDE * STRIDE, len(wafers.ids)
+        die, code = wafers.columns["die"].to_numpy(), wafers.at * stride + wafers.r * STRIDE + wafers.c
+        fails = np.unique(code[wafers.fails() & die])
+        heat = wafers.columns["cam"].to_numpy()
+        hot = np.flatnonzero(~die & ~np.isnan(heat))
+        hot = hot[np.argsort(code[hot], kind="stable")]
+        top = np.full(n, -np.inf)
+        np.maximum.at(top, wafers.at[hot], heat[hot])
+
+        def found(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
+            return at, (keys[at] == want if len(keys) else np.zeros(len(want), bool))
+
+        near = sum((found(fails, fails + dr * STRIDE + dc)[1].astype(np.int64) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc), np.zeros(len(fails), np.int64))
+        at, has = found(code[hot], fails)
+        cam_of = np.full(len(fails), -np.inf)
+        cam_of[has] = heat[hot][at[has]]
+        counts = []
+        for limit in (1, 2, 3):
+            core = np.flatnonzero(near >= limit)
+            root = _label(fails[core], 8) if len(core) else core
+            size, warm = np.bincount(root, minlength=len(core)), np.full(len(core), -np.inf)
+            np.maximum.at(warm, root, cam_of[core])
+            comp = np.flatnonzero(size >= 3)
+            size, warm, owner = size[comp], warm[comp], fails[core][comp] // stride
+            for share in (0.3, 0.5, 0.7):
+                focus = (top[owner] > 0) & (warm >= share * top[owner])
+                kept = focus | (np.bincount(owner[focus], minlength=n) == 0)[owner]
+                counts.append(np.bincount(owner[kept], size[kept], n).astype(np.int64))
+        there = np.bincount(wafers.at[die], minlength=n) > 0
+        out = [wafers.ids, np.bincount(fails // stride, minlength=n).astype(np.int64), np.min(counts, axis=0), np.max(counts, axis=0)]
+        yield pa.RecordBatch.from_arrays([pa.array(v[there]) for v in out], ["wafer_id", "fails", "lo", "hi"])
+
+    place = [F.col("wafer_id").cast("long").alias("wafer_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")]
+    rows = dies.select(*place, F.col("state").cast("int").alias("state"), F.lit(None).cast("double").alias("cam"), F.lit(True).alias("die"))
+    if cam is not None:
+        rows = rows.union(cam.select(*place, F.lit(None).cast("int"), F.col("cam").cast("double"), F.lit(False)))
+    ranges = per_wafer(rows, body, "wafer_id long, fails long, lo long, hi long").join(classes, "wafer_id", "left")
+    cls = F.col("cls")
+
+    def of_class(name: str) -> Column:
+        return F.when(cls.isNull() | (cls == BASELINE_CLASS), F.lit(0)).when(cls.isin(WHOLE_WAFER_CLASSES), F.col("fails")).otherwise(F.col(name)).cast("long")
+
+    return ranges.select("wafer_id", of_class("lo").alias("dies_min"), of_class("hi").alias("dies_max"))
 
 
 def segmentation_area(dies: DataFrame, ranges: DataFrame, **geometry) -> DataFrame:

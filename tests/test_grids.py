@@ -61,3 +61,24 @@ def test_heatmap_of_many_shapes(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Repartition") == 1
+
+
+def test_segmentation_range_of_whole_wafers(spark, monkeypatch):
+    """Against nine segmentations by rows; neither dies nor activations are joined or exploded."""
+    dies = some_dies(spark, 20)
+    names = F.array(*[F.lit(c) for c in ("Center", "Loc", "Scratch", "None", "Random", "Edge-Ring", "Near-full")])
+    classes = dies.select("wafer_id").distinct().where("wafer_id <> 3").select("wafer_id", F.element_at(names, F.pmod(F.col("wafer_id"), F.lit(7)).cast("int") + 1).alias("cls"))
+    cam = dies.where("(r * 7 + c * 3 + wafer_id) % 5 <> 0 and wafer_id <> 2").select("wafer_id", "r", "c", ((F.col("r") * 13 + F.col("c") * F.col("c") + F.col("wafer_id")) % 17).cast("double").alias("cam"))
+    monkeypatch.setattr(grids, "ROWS", 700)
+    for heat in (cam, None):
+        found = Q.segmentation_range(dies, classes, heat)
+        got = {r["wafer_id"]: (r["dies_min"], r["dies_max"]) for r in found.collect()}
+        sizes = {}
+        for limit in (1, 2, 3):
+            for share in (0.3, 0.5, 0.7):
+                for r in Q.segment_pattern(dies, classes, heat, limit, share).groupBy("wafer_id").count().collect():
+                    sizes.setdefault(r["wafer_id"], []).append(r["count"])
+        want = {w: (min(sizes[w]) if len(sizes.get(w, [])) == 9 else 0, max(sizes.get(w, [0]))) for w in got}
+        assert got == want and len(got) == 20 and len(set(got.values())) > 5
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Generate" not in plan
