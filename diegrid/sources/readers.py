@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from diegrid.functions.labels import canonical_label, nested_label
 
+PIXELS = 1 << 17                         # that leave a task together, about
+
 WAFER_SCHEMA = T.StructType([
     T.StructField("wafer_id", T.LongType()), T.StructField("lot_id", T.IntegerType()),
     T.StructField("wafer_map", T.ArrayType(T.ArrayType(T.ByteType()))),
@@ -58,12 +61,21 @@ def image_pixels(spark: SparkSession, root: str) -> DataFrame:
     An image is cut into its rows first, so what travels with a row of pixels is that row's bytes."""
     def pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for image, y, n, row in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                colours = np.frombuffer(row.as_buffer(), np.uint8).reshape(-1, n).astype(np.int32)        # blue, green, red, or grey
-                b, g, r = (colours[:, min(k, n - 1)] if n > 1 else colours[:, 0] for k in range(3))
-                width = len(colours)
-                yield pa.RecordBatch.from_arrays([pa.array([image.as_py()] * width), pa.array(np.full(width, y, np.int32)), pa.array(np.arange(width, dtype=np.int32)),
-                                                  pa.array(r), pa.array(g), pa.array(b)], ["image", "y", "x", "r", "g", "b"])
+            y, channels, size = (np.asarray(c) for c in (batch.column(1), batch.column(2), pc.binary_length(batch.column(3))))
+            width = size // np.maximum(channels, 1)
+            upto, start = np.cumsum(width), 0
+            while start < len(width):                    # lines of about PIXELS pixels together, a longer one alone
+                stop = max(start + 1, int(np.searchsorted(upto, upto[start] - width[start] + PIXELS, side="right")))
+                for n in np.unique(channels[start:stop]).tolist():
+                    mine = start + np.flatnonzero(channels[start:stop] == n)
+                    data = batch.column(3).take(pa.array(mine)).buffers()[2]
+                    colours = np.frombuffer(data, np.uint8, int(size[mine].sum())).reshape(-1, n).astype(np.int32)        # blue, green, red, or grey
+                    b, g, r = (colours[:, k if n > 1 else 0] for k in range(3))
+                    w = width[mine]
+                    x = np.arange(w.sum(), dtype=np.int32) - np.repeat(np.cumsum(w) - w, w).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(mine, w))), pa.array(np.repeat(y[mine], w)), pa.array(x),
+                                                      *(pa.array(np.ascontiguousarray(v)) for v in (r, g, b))], ["image", "y", "x", "r", "g", "b"])
+                start = stop
 
     rows = (_decoded(spark, root).where("width > 0 AND height > 0 AND nChannels IN (1, 3, 4)")
             .select("*", F.explode(F.expr("sequence(0, height - 1)")).alias("y"))

@@ -26,6 +26,7 @@ def write_bitmaps(wafers: DataFrame, root: str) -> DataFrame:
         from pyarrow import fs
         store, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
         palette = [bytes(reversed(c)) for c in STATE_COLOURS]
+        made: set[str] = set()
         for pdf in batches:
             names = []
             for wid, cls, grid in pdf[["wafer_id", "cls", "wafer_map"]].itertuples(index=False):
@@ -33,7 +34,9 @@ def write_bitmaps(wafers: DataFrame, root: str) -> DataFrame:
                 pad = b"\0" * (-3 * w % 4)
                 body = b"".join(b"".join(palette[v] for v in row) + pad for row in reversed(list(grid)))
                 head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(body), 0, 0, 54, 40, w, h, 1, 24, 0, len(body), 0, 0, 0, 0)
-                store.create_dir(f"{base}/{cls}", recursive=True)
+                if cls not in made:
+                    store.create_dir(f"{base}/{cls}", recursive=True)
+                    made.add(cls)
                 with store.open_output_stream(f"{base}/{cls}/wafer_{wid}.bmp") as out:
                     out.write(head + body)
                 names.append(f"{cls}/wafer_{wid}.bmp")
