@@ -156,7 +156,7 @@ def segmentation_range(dies: DataFrame, classes: DataFrame, cam: DataFrame | Non
     place = [F.col("wafer_id").cast("long").alias("wafer_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")]
     rows = dies.select(*place, F.col("state").cast("int").alias("state"), F.lit(None).cast("double").alias("cam"), F.lit(True).alias("die"))
     if cam is not None:
-        rows = rows.union(cam.select(*place, F.lit(None).cast("int"), F.col("cam").cast("double"), F.lit(False)))
+        rows = rows.union(cam.select(*place, F.lit(None).cast("int"), F.when(F.isnan("cam"), float("inf")).otherwise(F.col("cam").cast("double")), F.lit(False)))     # NaN is the largest value
     ranges = per_wafer(rows, body, "wafer_id long, fails long, lo long, hi long").join(classes, "wafer_id", "left")
     cls = F.col("cls")
 

@@ -70,7 +70,8 @@ def test_segmentation_range_of_whole_wafers(spark, monkeypatch):
     classes = dies.select("wafer_id").distinct().where("wafer_id <> 3").select("wafer_id", F.element_at(names, F.pmod(F.col("wafer_id"), F.lit(7)).cast("int") + 1).alias("cls"))
     cam = dies.where("(r * 7 + c * 3 + wafer_id) % 5 <> 0 and wafer_id <> 2").select("wafer_id", "r", "c", ((F.col("r") * 13 + F.col("c") * F.col("c") + F.col("wafer_id")) % 17).cast("double").alias("cam"))
     monkeypatch.setattr(grids, "ROWS", 700)
-    for heat in (cam, None):
+    odd = cam.withColumn("cam", F.when((F.col("wafer_id") % 3 == 0) & (F.col("r") == 4), float("nan")).otherwise(F.col("cam")))
+    for heat in (odd, None):
         found = Q.segmentation_range(dies, classes, heat)
         got = {r["wafer_id"]: (r["dies_min"], r["dies_max"]) for r in found.collect()}
         sizes = {}
