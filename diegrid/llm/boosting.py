@@ -1,51 +1,88 @@
-"""Gradient-boosted trees of depth two on a bounded sample, and a monotone calibration of their scores."""
+"""Gradient-boosted trees of depth two over all rows, by sums of pairs of binned features, and a monotone calibration of their scores."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
+BINS = 16
+FIXED = float(1 << 32)                   # gradients are added as whole numbers of this fraction: no order of rows changes a sum
+
+
+def edges_of(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """At most 15 cuts of a feature: all of its distinct `values`, in order, if they are few, else weighted quantiles."""
+    if len(values) <= BINS:
+        return values[:-1].astype(float)
+    upto = np.cumsum(weights)
+    return np.unique(values[np.minimum(np.searchsorted(upto, upto[-1] * np.arange(1, BINS) / BINS), len(values) - 1)]).astype(float)
+
 
 class Boosted:
-    """Logistic loss, Newton leaf values; each tree asks one question and then one more on either side."""
+    """Logistic loss, Newton leaf values; each tree asks one question and then one more on either side.
+
+    Both follow from the sums of one pass over the rows, by the bins of each pair of features."""
 
     def __init__(self, rounds: int = 40, rate: float = 0.3, least: int = 5):
         self.rounds, self.rate, self.least, self.trees, self.base = rounds, rate, least, [], 0.0
+        self.edges: list[np.ndarray] = []
+
+    def started(self, edges: list[np.ndarray], share: float) -> "Boosted":
+        share = min(max(share, 0.01), 0.99)
+        self.edges, self.base, self.trees = edges, float(np.log(share / (1 - share))), []
+        return self
 
-    def _split(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray) -> tuple[int, float] | None:
-        best, found = 1e-9, None
-        total = g[rows].sum() ** 2 / (h[rows].sum() + 1)
-        for f in range(x.shape[1]):
-            v = x[rows, f]
-            for cut in np.unique(np.quantile(v, np.linspace(0, 1, 17)[1:-1])):
-                left = v <= cut
-                if self.least <= left.sum() <= len(rows) - self.least:
-                    a, b = rows[left], rows[~left]
-                    gain = g[a].sum() ** 2 / (h[a].sum() + 1) + g[b].sum() ** 2 / (h[b].sum() + 1) - total
-                    if gain > best:
-                        best, found = gain, (f, float(cut))
-        return found
+    def sums(self, x: np.ndarray, n: np.ndarray, hits: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Of `n` rows like each row of x, `hits` of them true: (3, cells) rows, gradients and curvatures."""
+        p = 1 / (1 + np.exp(-Boosted.score(self, x)))
+        bins = np.stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(self.edges)], 1)
+        a, b = np.triu_indices(len(self.edges))
+        cells = ((np.arange(len(a)) * BINS + bins[:, a]) * BINS + bins[:, b]).ravel()
+        values = n, np.rint(weight * (hits - n * p) * FIXED), np.rint(weight * n * p * (1 - p) * FIXED)
+        return np.stack([np.bincount(cells, np.repeat(v.astype(float), len(a)), len(a) * BINS * BINS) for v in values])
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Boosted":
-        share = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
-        self.base = float(np.log(share / (1 - share)))
-        score = np.full(len(y), self.base)
-        for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-score))
-            g, h = y - p, p * (1 - p)
-            root = self._split(x, g, h, np.arange(len(y))) if len(y) else None
-            if root is None:
-                break
-            tree = [root]
-            for side in (x[:, root[0]] <= root[1], x[:, root[0]] > root[1]):
-                rows = np.flatnonzero(side)
-                split = self._split(x, g, h, rows) or (0, np.inf)
-                low = x[rows, split[0]] <= split[1]
-                leaf = [self.rate * g[r].sum() / (h[r].sum() + 1) for r in (rows[low], rows[~low])]
-                tree.append((*split, *leaf))
-                score[rows] += np.where(low, leaf[0], leaf[1])
-            self.trees.append(tree)
+    def _split(self, sums: np.ndarray) -> tuple[int, int] | None:
+        """Feature and bin after which the rows of sums (3, features, bins) part best."""
+        low, whole = np.cumsum(sums, 2)[:, :, :-1], sums.sum(2)[:, :, None]
+        (n, g, h), (m, i, j) = low, whole - low
+        gain = g ** 2 / (h + 1) + i ** 2 / (j + 1) - (g + i) ** 2 / (h + j + 1)
+        gain[(n < self.least) | (m < self.least)] = 0
+        best = int(np.argmax(gain))
+        return divmod(best, BINS - 1) if gain.flat[best] > 1e-9 else None
+
+    def grown(self, total: np.ndarray) -> bool:
+        """One more tree from the sums over all rows; false if no question helps."""
+        k = len(self.edges)
+        a, b = np.triu_indices(k)
+        sums = np.zeros((3, k, k, BINS, BINS))
+        sums[:, a, b] = total.reshape(3, -1, BINS, BINS)
+        sums[:, b, a] = sums[:, a, b].swapaxes(2, 3)
+        sums[1:] /= FIXED
+        root = self._split(sums[:, np.arange(k), np.arange(k)].sum(2))
+        if root is None:
+            return False
+        f, cut = root
+        tree: list[tuple] = [(f, float(self.edges[f][cut]))]
+        for side in (slice(0, cut + 1), slice(cut + 1, None)):
+            mine = sums[:, f, :, side].sum(2)
+            g, at = self._split(mine) or (0, BINS)
+            leaves = [self.rate * part[1].sum() / (part[2].sum() + 1) for part in (mine[:, g, :at + 1], mine[:, g, at + 1:])]
+            tree.append((g, float(self.edges[g][at]) if at < BINS else np.inf, *map(float, leaves)))
+        self.trees.append(tuple(tree))
+        return True
+
+    def boosted(self, total: Callable[["Boosted"], np.ndarray]) -> "Boosted":
+        """All rounds; `total` adds up `sums` of the model so far over all rows."""
+        while len(self.trees) < self.rounds and self.grown(total(self)):
+            pass
         return self
 
+    def fit(self, x: np.ndarray, y: np.ndarray) -> "Boosted":
+        """The same on arrays."""
+        one = np.ones(len(y))
+        edges = [edges_of(*np.unique(v, return_counts=True)) for v in x.T]
+        return self.started(edges, y.mean() if len(y) else 0.5).boosted(lambda model: model.sums(x, one, y, one))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
         for (f, cut), left, right in self.trees:

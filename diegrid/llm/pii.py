@@ -2,17 +2,18 @@
 
 Generators propose overlapping spans of each kind: the strict pattern's matches and looser variants of it.
 The strict matches that pass their check are always kept. The trees learn to tell them from matches that
-fail the check, by format and context without the check itself, on a bounded sample of distinct candidates of
-each kind; the threshold of a kind is the lowest score with the wanted precision on those of held-out texts.
-Looser spans above it are added where they do not overlap a span of their kind.
+fail the check, by format and context without the check itself, on all strict matches of one half of the distinct
+texts; the threshold of a kind is the lowest score with the wanted precision on all of those of the other half.
+Features are small whole numbers, so matches that look alike are one row with counts, and each tree is one job over
+these rows. Looser spans above it are added where they do not overlap a span of their kind.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diegrid.llm.boosting import Boosted, calibrated
+from diegrid.functions.prefix import running_totals
+from diegrid.llm.boosting import BINS, Boosted, edges_of
 from diegrid.llm.store import written
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, N_FEATURES = 8_000, 16           # candidates that the trees are fitted on and held out from, an eighth for each kind and half
+WEIGHT, N_FEATURES = 8_000, 16           # what all candidates weigh together at most, an eighth for each kind and half
 PRECISION = 0.9
+STEPS = (1, 1, 1, 251, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1)       # whole numbers of each feature's code, for one; codes end at 255
 
 # The patterns of the four kinds.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -121,43 +124,111 @@ def _mixed(x: int) -> int:
     return (x ^ (x >> 31)) >> 1
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[Boosted, dict[str, float]]:
-    """Trees and the threshold of each kind. Of the strict candidates of all texts, distinct by text and span, the
-    same number first by hash is drawn for each kind and half; the half is that of the text. Each task keeps no
-    more than what can be drawn."""
-    each = max(1, sample // (2 * len(KINDS)))
+def coded(x: np.ndarray) -> np.ndarray:
+    """Features as bytes, as `_code` has them."""
+    return np.minimum(255, np.floor(x * np.array(STEPS, float) + 0.5)).astype(np.uint8)
+
+
+def _code(x: list[float]) -> bytes:
+    return bytes([min(255, int(v * s + 0.5)) for v, s in zip(x, STEPS)])
+
+
+class Trees(Boosted):
+    """Trees over coded features."""
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return super().score(coded(x))
 
+
+def _matrix(codes: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(-1, N_FEATURES)
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """half, code, n, hits: how many strict candidates of all distinct texts have these features, and how many pass their check.
+
+    The half is that of the text. A text's candidates leave its task as counts, copies of a text count once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[int, tuple[list[float], float]]] = [{} for _ in range(2 * len(KINDS))]
-        bound = [1 << 63] * len(held)
         for batch in batches:
-            for value, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text, half = text.as_py(), _mixed(value) & 1
+            rows = []
+            for h, h2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                text, n, hits = text.as_py(), Counter(), Counter()
                 for span in proposals(text)[0]:
-                    part = 2 * KINDS.index(span[0]) + half
-                    key = _mixed(value + _mixed(span[1] * 0x9E3779B97F4A7C15 + span[2]))
-                    if key < bound[part] and key not in held[part]:
-                        held[part][key] = [float(v) for v in features(text, span)], float(valid(span[0], text[span[1]:span[2]]))
-                        if len(held[part]) >= 2 * each:
-                            held[part] = {k: held[part][k] for k in heapq.nsmallest(each, held[part])}
-                            bound[part] = max(held[part])
-        rows = [(part, key, x, y) for part, h in enumerate(held) for key, (x, y) in h.items()]
-        part, key, x, y = zip(*rows) if rows else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(key, pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64())], ["part", "h", "x", "y"])
-
-    drawn = docs.where("text is not null").select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "part int, h long, x array<double>, y double")
-    drawn = written(drawn.dropDuplicates(["part", "h"]), "candidates")
-
-    def half(i: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = [r for k in range(len(KINDS)) for r in drawn.where(F.col("part") == 2 * k + i).sort("h").limit(each).collect()]
-        return np.array([r["x"] for r in rows], float).reshape(-1, N_FEATURES), np.array([r["y"] for r in rows], float)
-
-    model, (held, truth) = Boosted().fit(*half(0)), half(1)
-    scores = model.score(held)
-    return model, {k: calibrated(scores[held[:, 0] == i], truth[held[:, 0] == i], precision) for i, k in enumerate(KINDS)}
-
-
-def spans(text: str, model: Boosted, thresholds: dict[str, float]) -> tuple[list[Span], list[Span]]:
+                    code = _code(features(text, span))
+                    n[code] += 1
+                    hits[code] += valid(span[0], text[span[1]:span[2]])
+                rows += [(h, h2, _mixed(h) & 1, code, k, hits[code]) for code, k in n.items()]
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["h", "h2", "half", "code", "n", "hits"])
+
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    found = texts.mapInArrow(run, "h long, h2 long, half int, code binary, n long, hits long").dropDuplicates(["h", "h2", "code"])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))          # each tree is a pass in Python: not coalesced by size
+    return found.groupBy("half", "code").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).repartition(parts, "code")
+
+
+def fit(docs: DataFrame, sample: int = WEIGHT, precision: float = PRECISION) -> tuple[Trees, dict[str, float]]:
+    """Trees and the threshold of each kind, from all strict candidates of all distinct texts.
+
+    `sample` leaves none out: where a kind has more candidates in a half than an eighth of it, they weigh as much as that
+    together, so that a frequent kind does not drown a rare one."""
+    each = max(1, sample // (2 * len(KINDS)))
+    codes = written(candidates(docs), "candidates")
+    learned = codes.where("half = 0").select("code", "n", "hits")
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each kind and feature, how often each code occurs: 16,384 rows at most."""
+        total = np.zeros((2, len(KINDS), N_FEATURES, 256))
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(0)).astype(np.int64)
+                at = ((x[:, :1] * N_FEATURES + np.arange(N_FEATURES)) * 256 + x).ravel()
+                for i in (0, 1):
+                    total[i] += np.bincount(at, np.repeat(batch.column(1 + i).to_numpy().astype(float), N_FEATURES), total[i].size).reshape(total[i].shape)
+        at = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(v.ravel()[at].astype(np.int64)) for v in total)], ["cell", "n", "hits"])
+
+    def added(rows: DataFrame, names: list[str], size: int) -> np.ndarray:
+        table = rows.groupBy("cell").agg(*[F.sum(n).alias(n) for n in names]).toArrow()          # bounded: fixed cells
+        out = np.zeros((len(names), size))
+        out[:, table.column("cell").to_numpy()] = [table.column(n).to_numpy() for n in names]
+        return out
+
+    n, hits = added(learned.mapInArrow(values, "cell int, n long, hits long"), ["n", "hits"], len(KINDS) * N_FEATURES * 256).reshape(2, len(KINDS), N_FEATURES, 256)
+    weight = np.minimum(1, each / np.maximum(1, n[:, 0].sum(1)))
+    weighed = np.einsum("k,kfv->fv", weight, n)
+    share = (weight @ hits[:, 0].sum(1)) / weighed[0].sum() if weighed[0].sum() else 0.5
+    model = Trees().started([edges_of(np.flatnonzero(w), w[w > 0]) for w in weighed], float(share))
+
+    def summed(model: Boosted) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: np.ndarray | float = 0.0
+            for batch in batches:
+                if batch.num_rows:
+                    x = _matrix(batch.column(0))
+                    total = total + model.sums(x, batch.column(1).to_numpy(), batch.column(2).to_numpy(), weight[x[:, 0]])
+            if isinstance(total, np.ndarray):
+                at = np.flatnonzero(total[0])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(v[at].astype(np.int64)) for v in total)], ["cell", "n", "g", "h"])
+
+        return added(learned.mapInArrow(run, "cell int, n long, g long, h long"), ["n", "g", "h"], N_FEATURES * (N_FEATURES + 1) // 2 * BINS * BINS)
+
+    model.boosted(summed)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), pa.array(Boosted.score(model, x)), batch.column(1), batch.column(2)], ["kind", "score", "n", "hits"])
+
+    held = codes.where("half = 1").select("code", "n", "hits").mapInArrow(scored, "kind int, score double, n long, hits long")
+    held = written(held.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")), "scores")
+    good = running_totals(held, ["kind"], "score", ["n", "hits"], descending=True).where(F.col("run_hits") >= precision * F.col("run_n"))
+    lowest = {r["kind"]: r["score"] for r in good.groupBy("kind").agg(F.min("score").alias("score")).collect()}
+    return model, {k: lowest.get(i, np.inf) for i, k in enumerate(KINDS)}
+
+
+def spans(text: str, model: Trees, thresholds: dict[str, float]) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans with those that the model adds; both by kind, then start."""
     strict, loose = proposals(text)
     base = [s for s in strict if valid(s[0], text[s[1]:s[2]])]
@@ -182,7 +253,7 @@ def joined(found: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
 
-def personal_data(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> DataFrame:
+def personal_data(docs: DataFrame, sample: int = WEIGHT, precision: float = PRECISION) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added.
 
     One row for each row. Offsets are code points, ends exclusive. A null or empty text has no spans; an
