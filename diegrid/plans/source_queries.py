@@ -110,10 +110,7 @@ SELECT lot_id AS batch, count(*) AS wafers, CAST(sum(h * w) AS BIGINT) AS grid_d
        CASE WHEN count(*) > 5 THEN 'too many wafers' WHEN sum(h * w) > 2100 THEN 'too many dies' ELSE 'accepted' END AS reason_small
 FROM v_wafers GROUP BY 1""")
 def _(spark, sf):
-    sizes = V.wafers(spark, sf).select(F.col("lot_id").alias("batch"), F.size("wafer_map").alias("height"),
-                                       F.size(F.get("wafer_map", F.lit(0))).alias("width"))
-    small = validation.batch_limits(sizes, 5, 2100).select("batch", F.col("reason").alias("reason_small"))
-    return validation.batch_limits(sizes).join(small, "batch")
+    return validation.batch_limits(V.map_sizes(spark, sf)).withColumn("reason_small", validation.limit_reason(5, 2100))
 
 
 @query("parse_nested_label", "SELECT wafer_id, cls AS label FROM v_wafers WHERE cls IS NOT NULL")

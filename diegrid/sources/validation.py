@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from diegrid.constants import MAX_BATCH_DIES, MAX_BATCH_WAFERS, MAX_DIM
 
@@ -35,8 +35,12 @@ def validate_geometry(df: DataFrame) -> DataFrame:
                      size_ok("die_w_mm").alias("die_w_ok"), size_ok("die_h_mm").alias("die_h_ok"))
 
 
+def limit_reason(max_wafers: int = MAX_BATCH_WAFERS, max_dies: int = MAX_BATCH_DIES) -> Column:
+    """Of a batch's `wafers` and `grid_dies`: accepted or why not."""
+    return F.when(F.col("wafers") > max_wafers, "too many wafers").when(F.col("grid_dies") > max_dies, "too many dies").otherwise("accepted")
+
+
 def batch_limits(sizes: DataFrame, max_wafers: int = MAX_BATCH_WAFERS, max_dies: int = MAX_BATCH_DIES) -> DataFrame:
     """sizes(batch, height, width), one row per wafer -> accepted or why not."""
     g = sizes.groupBy("batch").agg(F.count("*").alias("wafers"), F.sum(F.col("height").cast("long") * F.col("width")).alias("grid_dies"))
-    return g.withColumn("reason", F.when(F.col("wafers") > max_wafers, "too many wafers")
-                        .when(F.col("grid_dies") > max_dies, "too many dies").otherwise("accepted"))
+    return g.withColumn("reason", limit_reason(max_wafers, max_dies))
