@@ -122,7 +122,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = shared_path(spark, "dataset")
     labelled = V.wafers(spark, sf).withColumn("cls", L.nested_label(F.col("failureType"))).where("cls IS NOT NULL")
-    writers.write_wafers(labelled, path, labelled.groupBy("cls").agg(F.count("*").alias("wafers")))
+    writers.write_wafers(labelled, path, lambda written: written.groupBy("cls").agg(F.count("*").alias("wafers")))
     back = spark.read.parquet(f"{path}/wafers").groupBy("cls").agg(F.sum(F.size("wafer_map")).alias("map_rows"))
     return spark.read.parquet(f"{path}/audit").join(back, "cls")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, functions as F
 from diegrid.constants import STATE_COLOURS
 
 
-def write_wafers(wafers: DataFrame, path: str, audit: DataFrame | None = None) -> None:
+def write_wafers(wafers: DataFrame, path: str, audit: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Parquet partitioned by class; rows of one class are spread over several files, because one
-    class may hold most wafers."""
+    class may hold most wafers. `audit` makes the side table from the wafers as they are in the files: they are
+    not worked out again for it, and it tells what was written."""
     wafers.write.mode("overwrite").partitionBy("cls").parquet(f"{path}/wafers")
     if audit is not None:
-        audit.write.mode("overwrite").parquet(f"{path}/audit")
+        audit(wafers.sparkSession.read.schema(wafers.schema).parquet(f"{path}/wafers")).write.mode("overwrite").parquet(f"{path}/audit")
 
 
 def write_bitmaps(wafers: DataFrame, root: str) -> DataFrame:
