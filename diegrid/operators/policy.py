@@ -13,6 +13,7 @@ from diegrid.constants import FEATURE_LABELS
 from diegrid.functions.arrays import clip, entropy, let, total
 from diegrid.functions.prefix import exact_quantiles, running_totals
 from diegrid.operators.metrics import youden_thresholds
+from diegrid.sources.tables import stored
 
 DEPLOYED = -1
 
@@ -239,13 +240,15 @@ def cascade(fast: DataFrame, full: DataFrame, fast_target: float, targets: list[
     """The whole auto cascade, cross-fitted, for several full-path targets.
 
     fast(vec_id, fold, conf, correct, status) is judged first; full(vec_id, conf, correct, status)
-    only learns and judges what the fast path did not accept.
+    only learns and judges what the fast path did not accept. Both are read for the thresholds and again for the
+    routes, so each is stored once.
     """
-    f = crossfit_route(fast.withColumn("eligible", F.col("status") == "PASS"), [fast_target], n_folds)
+    fast = stored(fast.select("vec_id", "fold", "conf", "correct", (F.col("status") == "PASS").alias("eligible")), "fast")
+    f = crossfit_route(fast, [fast_target], n_folds)
     both = (f.select("vec_id", "fold", F.col("accept").alias("fast"), F.col("correct").alias("fast_ok"))
             .join(full.select("vec_id", "conf", "correct", "status"), "vec_id")
             .withColumn("eligible", ~F.col("fast") & (F.col("status") != "FAIL")))
-    routed = crossfit_route(both, targets, n_folds)
+    routed = crossfit_route(stored(both, "both"), targets, n_folds)
     return routed.select("vec_id", "target", "fast", F.col("accept").alias("full"),
                          F.when(F.col("fast"), F.col("fast_ok")).otherwise(F.col("correct")).alias("sys_ok"))
 

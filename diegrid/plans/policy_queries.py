@@ -13,7 +13,7 @@ from diegrid.operators import dies as D, policy as P
 from diegrid.plans.metric_queries import youden_sql
 from diegrid.plans.registry import R, cte, query
 from diegrid.sources import views as V
-from diegrid.sources.tables import shared_path
+from diegrid.sources.tables import shared_path, stored
 
 C, FOLDS = V.N_CLASSES, 5
 FAST_TARGET, TARGETS = 0.6, [0.5, 0.6, 0.8]
@@ -141,8 +141,13 @@ def _(spark, sf):
     return checked.select("vec_id", F.inline("checks"))
 
 
-def judged(spark, sf, fit: str, tempered: bool = False, members: bool = False):
-    """Predictions with runner-up and verification of both classes; fit = 'fold' (cross-fitted) or 'all'."""
+def fold_rules(spark, sf):
+    """The verifier's rules for each held-out fold."""
+    return P.fit_verifier(P.for_training(feature_rows(spark, sf), FOLDS, deployed=False), ["held"]).withColumnRenamed("held", "fold")
+
+
+def judged(spark, sf, fit: str, tempered: bool = False, members: bool = False, rules=None):
+    """Predictions with runner-up and verification of both classes; fit = 'fold' (cross-fitted, by `rules` if they are at hand) or 'all'."""
     if members:
         cols = [F.avg(F.col("p")[k]).alias(f"m{k}") for k in range(C)]
         rows = member_probs(spark, sf).groupBy("vec_id", "y", "grp", "fold").agg(*cols).withColumn(
@@ -154,12 +159,11 @@ def judged(spark, sf, fit: str, tempered: bool = False, members: bool = False):
         "vec_id", "y", "fold", "p", F.col("s")[0]["k"].cast("string").alias("top"), F.col("s")[0]["p"].alias("conf"),
         F.col("s")[1]["k"].cast("string").alias("second"), F.col("s")[1]["p"].alias("p2"))
     rows = rows.join(feature_map(spark, sf), "vec_id").withColumn("correct", F.col("top") == F.col("y").cast("string"))
-    long = feature_rows(spark, sf)
     if fit == "fold":
-        rules = P.fit_verifier(P.for_training(long, FOLDS, deployed=False), ["held"]).withColumnRenamed("held", "fold")
+        rules = fold_rules(spark, sf) if rules is None else rules
         rows = P.verify(P.verify(rows, rules, "top", ["fold"]), rules, "second", ["fold"], "second_")
     else:
-        rules = P.fit_verifier(long)
+        rules = P.fit_verifier(feature_rows(spark, sf))
         rows = P.verify(P.verify(rows, rules, "top"), rules, "second", prefix="second_")
     return rows.drop("features", "reasons", "second_reasons")
 
@@ -272,7 +276,8 @@ FROM (SELECT target, fast, fast OR accept AS auto, CASE WHEN fast THEN fast_ok E
 
 
 def cascade_rows(spark, sf, targets):
-    return P.cascade(judged(spark, sf, "fold", tempered=True), judged(spark, sf, "fold", members=True), FAST_TARGET, targets, FOLDS)
+    rules = stored(fold_rules(spark, sf), "rules")       # of features alone: the same for both paths
+    return P.cascade(judged(spark, sf, "fold", tempered=True, rules=rules), judged(spark, sf, "fold", members=True, rules=rules), FAST_TARGET, targets, FOLDS)
 
 
 @query("cascade_report", f"SELECT {_REPORT} WHERE target = 0.6")
