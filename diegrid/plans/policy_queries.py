@@ -86,13 +86,13 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- verification
 def feature_rows(spark, sf):
-    return V.embeddings(spark, sf).select("vec_id", "fold", F.col("y").cast("string").alias("cls"), F.posexplode("embedding").alias("i", "v")).select(
+    return V.embeddings(spark, sf, dealt=True).select("vec_id", "fold", F.col("y").cast("string").alias("cls"), F.posexplode("embedding").alias("i", "v")).select(
         "vec_id", "fold", "cls", F.concat(F.lit("e"), F.col("i").cast("string")).alias("feature"), F.col("v").cast("double").alias("value"))
 
 
 def feature_map(spark, sf):
     names = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: F.concat(F.lit("e"), i.cast("string")))
-    return V.embeddings(spark, sf).select("vec_id", F.map_from_arrays(names, F.col("embedding").cast("array<double>")).alias("features"))
+    return V.embeddings(spark, sf, dealt=True).select("vec_id", F.map_from_arrays(names, F.col("embedding").cast("array<double>")).alias("features"))
 
 
 cte("v_frow", "SELECT vec_id, fold, CAST(y AS VARCHAR) AS cls, 'e' || i AS feature, v AS value FROM v_vec")
@@ -154,7 +154,7 @@ def judged(spark, sf, fit: str, tempered: bool = False, members: bool = False, r
             "p", F.array(*[F.round(f"m{k}", 12) for k in range(C)]))
     else:
         z = F.col("z")
-        rows = V.preds(spark, sf).withColumn("p", F.transform(A.tempered_softmax(z, 0.5) if tempered else A.softmax(z), lambda x: F.round(x, 12)))
+        rows = V.preds(spark, sf, dealt=True).withColumn("p", F.transform(A.tempered_softmax(z, 0.5) if tempered else A.softmax(z), lambda x: F.round(x, 12)))
     rows = rows.withColumn("s", A.ranked(F.col("p"))).select(
         "vec_id", "y", "fold", "p", F.col("s")[0]["k"].cast("string").alias("top"), F.col("s")[0]["p"].alias("conf"),
         F.col("s")[1]["k"].cast("string").alias("second"), F.col("s")[1]["p"].alias("p2"))
