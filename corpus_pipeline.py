@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from diegrid.llm import decontaminate, language, ngram_join, packing, secrets
 from diegrid.llm.queries import vocabulary
-from diegrid.llm.store import written
+from diegrid.llm.store import text_batches, written
 from diegrid.sources.tables import table
 
 
@@ -57,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        staged = stage(spark, docs, sf_dir)
+        with text_batches(spark):
+            docs = written(staged, name)
     return docs

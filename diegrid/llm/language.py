@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from diegrid.llm.store import written
+from diegrid.llm.store import text_batches, written
 from diegrid.llm.words import LOWER, runs_of_rows, utf8
 
 SAMPLE = 1_000                           # distinct texts of each label that the text model is fitted on, about
 BUCKETS = 1 << 16
 WEIGHT = 100.0                           # trigrams that the text counts as, at most: neighbouring ones depend on each other
 HOST, RELIABLE, UND_PRIOR = 10.0, 5.0, 0.01
+ROWS = 512                               # rows that go back from Python at once, with their documents
 UND = "und"
 DOUBLES = T.ArrayType(T.DoubleType())
 
@@ -184,7 +185,8 @@ class Priors:
                 yield pa.RecordBatch.from_arrays([pa.array(["all"]), pa.array([None], pa.string()), _lists(alone.sum(axis=0)[None, :])], ["kind", "key", "sums"])
 
         parts = rows.select("host", domain(F.col("host")).alias("domain"), "declared", "suffix", "text" if from_text else "evidence").mapInArrow(run, "kind string, key string, sums array<double>")
-        sums = written(parts.groupBy("kind", "key").agg(F.array(*[F.sum(F.col("sums")[c]) for c in range(n)]).alias("sums")), "priors")
+        with text_batches(rows.sparkSession):
+            sums = written(parts.groupBy("kind", "key").agg(F.array(*[F.sum(F.col("sums")[c]) for c in range(n)]).alias("sums")), "priors")
         whole = sums.where("kind = 'all'").first()
         self.all = np.array(whole["sums"] if whole else [0.0] * n)
         self.tables = {k: written(sums.where(F.col("kind") == k).select(F.col("key").alias(k), F.col("sums").alias(f"{k}_n")), f"by-{k}") for k in KEYS}
@@ -205,15 +207,16 @@ class Priors:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                column = dict(zip([*sources, *sums], batch.columns))
-                if held is None:
-                    evidence, new = _matrix(column["evidence"], n), []
-                else:
-                    evidence, trigrams = held.value.evidence(column["text"] if "text" in column else column["doc"].field("text"))
-                    new = [pa.array(trigrams, pa.int64())]
-                given = {k: column[k].is_valid().to_numpy(zero_copy_only=False) for k in ("declared", "suffix")}
-                posterior = fuse(evidence, {k: _matrix(column[f"{k}_n"], n) for k in KEYS}, given, everything)
-                yield pa.RecordBatch.from_arrays([*(column[c] for c in names), *new, _lists(posterior)], [*names, *added])
+                for at in range(0, batch.num_rows, ROWS):
+                    column = dict(zip([*sources, *sums], batch.slice(at, ROWS).columns))
+                    if held is None:
+                        evidence, new = _matrix(column["evidence"], n), []
+                    else:
+                        evidence, trigrams = held.value.evidence(column["text"] if "text" in column else column["doc"].field("text"))
+                        new = [pa.array(trigrams, pa.int64())]
+                    given = {k: column[k].is_valid().to_numpy(zero_copy_only=False) for k in ("declared", "suffix")}
+                    posterior = fuse(evidence, {k: _matrix(column[f"{k}_n"], n) for k in KEYS}, given, everything)
+                    yield pa.RecordBatch.from_arrays([*(column[c] for c in names), *new, _lists(posterior)], [*names, *added])
 
         types = {"n_trigrams": T.LongType(), "posterior": DOUBLES}
         return joined.select(*sources, *sums).mapInArrow(run, T.StructType([*(rows.schema[c] for c in names), *(T.StructField(c, types[c]) for c in added)]))

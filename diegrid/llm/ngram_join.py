@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diegrid.llm.store import written
+from diegrid.llm.store import text_batches, written
 from diegrid.llm.words import SPACES, mix, shingle_sets
 from diegrid.operators.components import connected_nodes
 
@@ -333,7 +333,8 @@ def _bundles(signs: DataFrame, shared: DataFrame, num: int, den: int) -> DataFra
     groups = written(large.join(low, "sig").select("root", "id", "n").distinct(), "groups")
     rows = _dealt(groups, "group_sizes").join(signs.select("id", "n", "sketch"), "id")
     near = rows.select("lot", "lo", "hi", "id", "n", "sketch").groupBy("lot", "lo", "hi").applyInArrow(_sketch_forest(num, den), EDGES)
-    edges = written(pairs.union(near).distinct(), "edges")
+    with text_batches(signs.sparkSession):
+        edges = written(pairs.union(near).distinct(), "edges")
     nodes = connected_nodes(edges).withColumnRenamed("node", "id")
     return written(nodes.join(signs.groupBy("id").agg(F.sum("n").alias("n")), "id"), "bundles")
 
@@ -354,7 +355,8 @@ def components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, kind
     """
     spark = docs.sparkSession
     docs = docs.select("id", "text")
-    scanned = written(_digest(docs, width, kind), "digest")
+    with text_batches(spark):
+        scanned = written(_digest(docs, width, kind), "digest")
     digest = scanned.where("stripe is null").select("id", "n", "h1", "h2")
     least = max(HEAVY_LEAST, HEAVY_LOADS * (digest.agg(F.sum("n")).first()[0] or 0) // SLOTS)
     heavy = spark.sparkContext.broadcast(_frequent_slots(scanned.where("stripe is not null").select("stripe", "load"), least))
@@ -365,10 +367,13 @@ def components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, kind
     several = members.where("rep is not null").groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top")
     same = members.join(several, "id").where("rep > b").select(F.col("rep").alias("a"), "b").distinct()
     signs = _sets(docs, width, kind, _signatures(num, den, heavy), "id bigint, n bigint, pure boolean, sigs array<bigint>, sketch binary")
-    signs = written(signs.join(first.select(F.col("rep").alias("id"), "n"), ["id", "n"], "left_semi"), "signs")
+    with text_batches(spark):
+        signs = written(signs.join(first.select(F.col("rep").alias("id"), "n"), ["id", "n"], "left_semi"), "signs")
     index = signs.select("id", "n", "pure", F.explode("sigs").alias("sig"))
     shared = written(index.join(index.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig"), "shared")
-    links = written(_links(docs, _bundles(signs, shared, num, den), width, kind, num, den).union(same), "links")
+    bundles = _bundles(signs, shared, num, den)
+    with text_batches(spark):
+        links = written(_links(docs, bundles, width, kind, num, den).union(same), "links")
     roots = connected_nodes(links)
 
     out = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from diegrid.llm.words import LOWER, runs_of_rows, utf8
 
 MOST = 64                                # strings that an exact set may hold before it becomes a query
+ROWS = 512                               # rows that go back from Python at once, where texts are replaced
 
 Query = None | str | tuple
 
@@ -257,8 +258,8 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, mark: str = "[SECRET]") -
     place, columns = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(place)
+        for part in (batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS)):
+            texts = part.column(place)
             changed: list[str | None] = []
             for text, found in zip(texts, scan(texts, rules)):
                 text = text.as_py()
@@ -268,7 +269,7 @@ def redact(docs: DataFrame, rules: list[Rule] = RULES, mark: str = "[SECRET]") -
                         out += [text[at:a], mark]
                     at = max(at, b)
                 changed.append("".join([*out, text[at:]]) if found else text)
-            arrays = [pa.array(changed, texts.type) if c == place else batch.column(c) for c in range(len(columns))]
+            arrays = [pa.array(changed, texts.type) if c == place else part.column(c) for c in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
     return docs.mapInArrow(run, docs.schema)
