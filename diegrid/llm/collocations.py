@@ -1,21 +1,22 @@
 """Collocations of two and three words by level-wise mining with double-array tries.
 
-1. One pass counts words exactly and all pairs in hashed slots. 2. A pair whose words are frequent and whose slot
-is, is a candidate; among runs of such pairs, triples are counted in slots. 3. Triples in frequent slots whose pairs
-are candidates are candidates. A slot's total is never below that of a phrase in it, so no frequent phrase is lost.
-4. All candidates, sorted and cut into blocks of bounded size, become tries that are broadcast. All word
-positions of a text walk them at once, a byte a level; the states in which words end are counted with bincount,
-and sums over tasks are the exact supports.
-
-Slots and counts travel as packed runs of 65,536 and are summed in a stream, so no task holds more than one.
+1. One pass counts words exactly. The frequent ones, sorted and cut into blocks of bounded size, become tries that are broadcast. 2. All word
+positions of a text walk them at once, a byte a level; the state in which a word ends is its number. Texts are written once as numbers,
+0 for words that are not frequent and between pieces: no phrase with such a word can be frequent. 3. Pairs of numbers are counted exactly; the
+frequent ones set bits that are broadcast. 4. Triples whose two pairs have their bits are counted exactly. A triple is never more frequent than
+its pairs, so no frequent phrase is lost; bits that pairs share cost rows, not results.
+
+Counts travel as packed runs, sorted by a bijection of their numbers and dealt to parts of about a million words of text each, and are summed
+a part at a time. The texts are read twice and their numbers twice (words of more than `tries` blocks: once more for each `tries`
+blocks), whatever the number of candidates, so the time is in proportion to the texts.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,11 @@ from pyspark.sql import functions as F
 
 from diegrid.functions.prefix import dense_ids
 from diegrid.llm.double_array import Trie, build
-from diegrid.llm.store import written
-from diegrid.llm.words import LOWER, POW, mix, runs_of_rows, utf8, word_bounds, word_hashes
+from diegrid.llm.store import text_batches, written
+from diegrid.llm.words import LOWER, mix, runs_of_rows, utf8, word_bounds
 
-RANGE_BITS = 16                          # slots or candidates that are summed at once
+PART = 20                                # a part has the phrases of about 2 ** PART words of text
+ROW = 2_048                              # words of a text that a row of numbers begins; two more follow
 HOT, SALTS = 4_096, 64                   # a phrase with more than 1 / HOT of all words is looked up under SALTS keys
 
 
@@ -35,11 +37,12 @@ HOT, SALTS = 4_096, 64                   # a phrase with more than 1 / HOT of al
 class Limits:
     """What tasks hold at once. Results do not depend on it."""
 
-    slot_bits: int = 27                  # 2 ** 27 slots: 16 MB as bits, which are broadcast
-    held: int = 1 << 22                  # slots, words or states that a task holds before it gives them out or adds them up
-    block: int = 1 << 18                 # candidates of a trie, 20 to 40 MB
-    tries: int = 4                       # tries of one pass over the texts; more candidates take more passes
+    slot_bits: int = 27                  # 2 ** 27 bits of frequent pairs: 16 MB, which are broadcast
+    held: int = 1 << 22                  # phrases or words that a task holds before it gives them out or adds them up
+    block: int = 1 << 18                 # words of a trie, 20 to 40 MB
+    tries: int = 4                       # tries of one pass over the texts; more words take more passes
     run: int = 1 << 21                   # bytes of text at once, about; longer texts are cut at separators
+    key_bits: int = 64                   # triples whose numbers have more bits have two keys
 
 
 SEPARATOR = np.zeros(256, bool)
@@ -48,11 +51,12 @@ WORD = ~SEPARATOR
 WORD[[0x20, 0x09]] = False
 _PLAIN = bytes(0x0A if SEPARATOR[c] else 0x20 if c == 0x09 else int(LOWER[c]) for c in range(256))
 _END = b"\xff"                           # stands in no UTF-8 text
-_RANGES = "range int, low binary, n binary"
+_COUNTED = "part int, key binary, last binary, n binary"
+_MIXED = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 class _Words:
-    """The words of a run of texts: places, hashes, language and which follow one another within a piece."""
+    """The words of a run of texts: places, language and which follow one another within a piece."""
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, langs: np.ndarray):
         self.buf = buf
@@ -62,20 +66,6 @@ class _Words:
         piece = np.searchsorted(np.flatnonzero(SEPARATOR[buf]), self.starts)
         self.joined = (self.row[1:] == self.row[:-1]) & (piece[1:] == piece[:-1])
 
-    def hashes(self, of_lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of words, pairs and triples with their language, and the first words of pairs and triples."""
-        w, g = word_hashes(self.buf, self.starts, self.ends), of_lang[self.lang]
-        two = np.flatnonzero(self.joined)
-        three = np.flatnonzero(self.joined[:-1] & self.joined[1:])
-        pairs = mix(w[two] * POW[1] + w[two + 1] * POW[2] + g[two])
-        triples = mix(w[three] * POW[3] + w[three + 1] * POW[4] + w[three + 2] * POW[5] + g[three])
-        return mix(w * POW[6] + g), pairs, triples, two, three
-
-    def phrases(self, at: np.ndarray, width: int) -> list[str]:
-        data, s, e = self.buf.tobytes(), self.starts, self.ends
-        return [b" ".join([data[s[i + j]:e[i + j]] for j in range(width)]).decode() for i in at.tolist()]
-
-
 def _pieces(data: np.ndarray, offsets: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
     """Offsets with long texts cut behind separators, and each part's text. Empty texts have no part."""
     cuts = [offsets]
@@ -86,119 +76,42 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, run: int) -> tuple[np.ndarray
     return parts, np.searchsorted(offsets, parts[:-1], side="right") - 1
 
 
-def _runs(batch: pa.RecordBatch, known: dict[str, int], run: int) -> Iterator[_Words]:
-    """Words of the texts of a batch (lang, text), some megabytes at a time; `known` numbers the languages."""
+def _runs_of_texts(batch: pa.RecordBatch, known: dict[str, int], run: int) -> Iterator[tuple[_Words, np.ndarray]]:
+    """Words of the texts of a batch (lang, text, ..), some megabytes at a time; `known` numbers the languages. With the
+    place in the batch of the text that each part of a run is of."""
     langs = batch.column(0).dictionary_encode()
     numbers = np.array([known.setdefault(x, len(known)) for x in langs.dictionary.to_pylist()] or [0], np.int64)[langs.indices.to_numpy()]
     data, offsets = utf8(batch.column(1))
     parts, text = _pieces(data, offsets, run)
     for i, j in runs_of_rows(parts, run):
-        yield _Words(LOWER[data[parts[i]:parts[j]]], parts[i:j + 1] - parts[i], numbers[text[i:j]])
-
-
-def _lang_hashes(known: dict[str, int]) -> np.ndarray:
-    return np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in known], np.uint64)
-
-
-def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+        yield _Words(LOWER[data[parts[i]:parts[j]]], parts[i:j + 1] - parts[i], numbers[text[i:j]]), text[i:j]
 
 
-class _Sums:
-    """Counts by place, given out as packed runs of places."""
-
-    def __init__(self, held: int):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size, self.held = 0, held
-
-    def add(self, places: np.ndarray, counts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        at, n = np.unique(places, return_counts=True) if counts is None else (places, counts)
-        self.parts.append((at, n))
-        self.size += len(at)
-        if self.size > self.held:
-            self.merge()
-            if self.size > self.held // 2:
-                yield from self.flush()
-
-    def merge(self) -> None:
-        at, n = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
-        order = np.argsort(at, kind="stable")
-        at, n = at[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-        self.parts = [(at[first], np.add.reduceat(n, first) if len(first) else n)]
-        self.size = len(first)
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.parts:
-            self.merge()
-            at, n = self.parts[0]
-            ranges, first = np.unique(at >> RANGE_BITS, return_index=True)
-            low, n = (at & ((1 << RANGE_BITS) - 1)).astype(np.uint16), n.astype(np.uint32)
-            ends = [*first[1:], len(at)]
-            yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array([low[i:j].tobytes() for i, j in zip(first, ends)], pa.binary()),
-                                              pa.array([n[i:j].tobytes() for i, j in zip(first, ends)], pa.binary())], ["range", "low", "n"])
-        self.parts, self.size = [], 0
-
-
-def _summed(rows: DataFrame, result: Callable[[int, np.ndarray], list], schema: str, out: pa.Schema) -> DataFrame:
-    """Sums packed runs in a stream of each range's rows; `result` makes the columns of a whole range."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, np.zeros(1 << RANGE_BITS, np.int64)
-        for batch in batches:
-            for r, low, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                if r != now:
-                    if now is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(result(now, total), out)], schema=out)
-                    now, total = r, np.zeros(1 << RANGE_BITS, np.int64)
-                total[np.frombuffer(low.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint32)
-        if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(result(now, total), out)], schema=out)
-
-    return rows.repartition("range").sortWithinPartitions("range").mapInArrow(run, schema)
-
-
-def _frequent_slots(rows: DataFrame, least: int, slot_bits: int) -> np.ndarray:
-    """Bits of the slots whose total is at least `least`: at most 2 ** slot_bits / 8 bytes reach the driver."""
-    found = _summed(rows, lambda r, total: ([r], [np.packbits(total >= least, bitorder="little").tobytes()]), "range int, bits binary",
-                    pa.schema([("range", pa.int32()), ("bits", pa.binary())]))
-    bits = np.zeros(1 << (slot_bits - 3), np.uint8)
-    for r in found.toLocalIterator():
-        at = r["range"] << (RANGE_BITS - 3)
-        bits[at:at + (1 << (RANGE_BITS - 3))] = np.frombuffer(r["bits"], np.uint8)[:len(bits) - at]
-    return bits
-
-
-def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slots = _slots(hashes, len(bits).bit_length() + 2)
-    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
-
-
-_FIRST = "lang string, word string, f long, " + _RANGES
-_OUT = pa.schema([("lang", pa.string()), ("word", pa.string()), ("f", pa.int64()), ("range", pa.int32()), ("low", pa.binary()), ("n", pa.binary())])
+def _runs(batch: pa.RecordBatch, known: dict[str, int], run: int) -> Iterator[_Words]:
+    for words, _ in _runs_of_texts(batch, known, run):
+        yield words
 
 
-def _either(left: list, right: list) -> pa.RecordBatch:
-    """Rows that have either the first three columns or the last three."""
-    n = len((left or right)[0])
-    columns = [*(left or [[None] * n] * 3), *(right or [[None] * n] * 3)]
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _OUT)], schema=_OUT)
+def _unmixed(x: np.ndarray) -> np.ndarray:
+    """What `mix` made these words of."""
+    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * np.uint64(pow(_MIXED[1], -1, 1 << 64))
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * np.uint64(pow(_MIXED[0], -1, 1 << 64))
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
 
 
 def _count_words(lim: Limits):
-    """Exact counts of words, the number of words (word null) of each language, and slots of pairs."""
+    """Exact counts of words, and the number of words (word null) of each language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums, counts, totals = {}, _Sums(lim.held), defaultdict(Counter), Counter()
+        known, counts, totals = {}, defaultdict(Counter), Counter()
 
         def given() -> Iterator[pa.RecordBatch]:
             for lang, words in counts.items():
-                yield _either([[lang] * len(words), [w.decode() for w in words], list(words.values())], [])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(words.values(), pa.int64())], ["lang", "word", "f"])
             counts.clear()
 
         for batch in batches:
             for words in _runs(batch, known, lim.run):
-                of_lang, names = _lang_hashes(known), list(known)
-                for b in sums.add(_slots(words.hashes(of_lang)[1], lim.slot_bits)):
-                    yield _either([], b.columns)
+                names = list(known)
                 data, cuts = words.buf.tobytes(), np.flatnonzero(np.diff(words.row)) + 1
                 for i, j in zip([0, *cuts], [*cuts, len(words.row)]):
                     if j > i:
@@ -210,158 +123,234 @@ def _count_words(lim: Limits):
                     yield from given()
         yield from given()
         if totals:
-            yield _either([list(totals), [None] * len(totals), list(totals.values())], [])
-        for b in sums.flush():
-            yield _either([], b.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()), pa.array(totals.values(), pa.int64())], ["lang", "word", "f"])
     return run
 
 
-def _word_slots(lim: Limits):
-    """Slots of words (lang, word)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(lim.held)
-        for batch in batches:
-            known: dict[str, int] = {}
-            for words in _runs(batch, known, lim.run):
-                yield from sums.add(np.unique(_slots(words.hashes(_lang_hashes(known))[0], lim.slot_bits)))
-        yield from sums.flush()
-    return run
+def _trie(key: tuple, rows: pa.Table) -> pa.Table:
+    keys = rows.sort_by("at")["key"].to_pylist()
+    trie, ends = build(keys)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "trie": pa.array([trie.tobytes()], pa.binary()), "ends": pa.array([ends.astype(np.int32).tobytes()], pa.binary())})
 
 
-def _candidates(lim: Limits, width: int, words_: object, pairs_: object, triples_: object):
-    """Distinct phrases of `width` words whose words and parts are all in frequent slots; for pairs, the slots
-    of the triples that can still be candidates as well."""
+def _numbers(words: _Words, known: dict[str, int], tries: list[tuple[Trie, np.ndarray]]) -> np.ndarray:
+    """The number of each word that is in a trie, 0 of others; all positions walk a trie at once."""
+    out = np.zeros(len(words.starts), np.int32)
+    for trie, number in tries:
+        roots = np.array([trie.walk(x.encode() + _END) for x in known], np.int64)
+        who = np.flatnonzero(roots[words.lang] >= 0)
+        state, pos, end = roots[words.lang[who]], words.starts[who], words.ends[who]
+        while len(who):
+            state = trie.step(state, words.buf[pos])
+            pos = pos + 1
+            alive = state >= 0
+            if not alive.all():
+                state, pos, who, end = state[alive], pos[alive], who[alive], end[alive]
+            ended = pos == end
+            if ended.any():
+                out[who[ended]] = np.maximum(out[who[ended]], number[state[ended]])     # a word of one trie can begin one of the next
+                go = ~ended
+                state, pos, who, end = state[go], pos[go], who[go], end[go]
+    return out
+
+
+def _encode(lim: Limits, tries: list[tuple[int, object, object]], last: bool):
+    """Texts (lang, text, ids) as numbers of words, each piece with a 0 behind it: rows of bounded length in the last pass over
+    all tries, else the texts with the numbers of all passes so far."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums, seen = {}, _Sums(lim.held), np.zeros(0, np.uint64)
+        held = []
+        for block, data, ends in tries:
+            trie, ends = Trie.frombytes(data.value), np.frombuffer(ends.value, np.int32)
+            number = np.zeros(len(trie.base), np.int32)
+            number[ends] = block * lim.block + np.arange(len(ends)) + 1
+            held.append((trie, number))
+        known: dict[str, int] = {}
         for batch in batches:
-            for words in _runs(batch, known, lim.run):
-                one, pairs, triples, two, three = words.hashes(_lang_hashes(known))
-                often = _set(words_.value, one)
-                kept = _set(pairs_.value, pairs) & often[two] & often[two + 1]
-                chained = np.zeros(len(often), bool)
-                chained[two[kept]] = True
-                follows = chained[three] & chained[three + 1]
-                if width == 2:
-                    hashes, first = pairs[kept], two[kept]
-                    for b in sums.add(_slots(triples[follows], lim.slot_bits)):
-                        yield _either([], b.columns)
+            before, at = np.frombuffer(b"".join(x for x in batch.column(2).to_pylist() if x), np.int32), 0
+            parts, sizes = [], np.zeros(batch.num_rows, np.int64)
+            for words, texts in _runs_of_texts(batch, known, lim.run):
+                n = len(words.starts)
+                place = np.arange(n)
+                place[1:] += np.cumsum(~words.joined)
+                ids = np.zeros(int(place[-1]) + 2 if n else 0, np.int32)
+                ids[place] = _numbers(words, known, held)
+                if len(before):
+                    ids = np.maximum(ids, before[at:at + len(ids)])
+                at += len(ids)
+                if last:
+                    rows = [ids[i:i + ROW + 2].tobytes() for i in range(0, len(ids), ROW)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
                 else:
-                    follows &= _set(triples_.value, triples)
-                    hashes, first = triples[follows], three[follows]
-                hashes, at = np.unique(hashes, return_index=True)
-                new = ~np.isin(hashes, seen, assume_unique=True)
-                if new.any():
-                    at, names = first[at[new]], np.array(list(known), object)
-                    yield _either([names[words.lang[at]].tolist(), words.phrases(at, width), [0] * len(at)], [])
-                    seen = np.concatenate([seen, hashes[new]]) if len(seen) < lim.held else hashes[new]
-        for b in sums.flush():
-            yield _either([], b.columns)
+                    parts.append(ids)
+                    sizes += np.bincount(texts[words.row], minlength=len(sizes))
+                    ends = np.append(~words.joined, True) if n else np.zeros(0, bool)
+                    sizes += np.bincount(texts[words.row[ends]], minlength=len(sizes))
+            if not last:
+                data, cuts = np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([[0], np.cumsum(sizes)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([data[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], ["lang", "text", "ids"])
     return run
 
 
-def _trie(key: tuple, rows: pa.Table) -> pa.Table:
-    keys = rows.sort_by("at")["key"].to_pylist()
-    trie, ends = build(keys)
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "trie": pa.array([trie.tobytes()], pa.binary()), "ends": pa.array([ends.astype(np.int32).tobytes()], pa.binary())})
+def _tallied(keys: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    if n is None and len(keys) == 1:
+        keys = [np.sort(keys[0])]
+    else:
+        order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+        keys, n = [k[order] for k in keys], None if n is None else n[order]
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return [k[first] for k in keys], np.diff(np.append(first, len(new))) if n is None else np.add.reduceat(n, first) if len(first) else n
 
 
-def _walked(trie: Trie, words: _Words, roots: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """The states in which the second to last words of phrases end; every word position walks at once."""
-    start = np.flatnonzero(roots[words.lang] >= 0)
-    state, pos, word = roots[words.lang[start]], words.starts[start].copy(), start.copy()
-    last = np.zeros(len(words.starts), bool)             # whether a word ends its piece
-    last[:] = True
-    last[:-1] = ~words.joined
-    depth = np.ones(len(start), np.int8)
-    while len(state):
-        ended = pos == words.ends[word]
-        if ended.any():
-            yield state[ended & (depth > 1)]
-            go = ~ended | (~last[word] & (depth < width))
-            state, pos, word, depth, ended = state[go], pos[go], word[go], depth[go], ended[go]
-            symbol = np.where(ended, np.uint8(0x20), words.buf[np.minimum(pos, len(words.buf) - 1)])
-            word = word + ended
-            depth = depth + ended
-            pos = np.where(ended, words.starts[np.minimum(word, len(words.starts) - 1)], pos + 1)
-        else:
-            symbol = words.buf[pos]
-            pos = pos + 1
-        state = trie.step(state, symbol)
-        alive = state >= 0
-        if not alive.all():
-            state, pos, word, depth = state[alive], pos[alive], word[alive], depth[alive]
+def _bit(key: np.ndarray, slot_bits: int) -> np.ndarray:
+    return (mix(key) >> np.uint64(64 - slot_bits)).astype(np.int64)
 
 
-def _supports(lim: Limits, tries: list[tuple[int, object, object]], width: int):
-    """Counts of every candidate of these blocks in the texts of a task."""
+def _phrases(lim: Limits, bits: int, part_bits: int, pairs_: object | None):
+    """Counts of all pairs of numbers, or with the bits of frequent pairs of all triples whose pairs have them, as packed runs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(block, Trie.frombytes(data.value), np.frombuffer(ends.value, np.int32)) for block, data, ends in tries]
-        totals = [np.zeros(len(trie.base), np.int64) for _, trie, _ in held]
-        states, waiting = [[] for _ in held], [0] * len(held)
-        known: dict[str, int] = {}
+        waiting, size = [], 0
+
+        def given() -> Iterator[pa.RecordBatch]:
+            keys, n = _tallied([np.concatenate([w[i] for w in waiting]) for i in range(len(waiting[0]))])
+            part = (keys[0] >> np.uint64(63 - part_bits)) >> np.uint64(1)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
+            last, n = keys[1] if len(keys) > 1 else None, n.astype(np.uint32)
+            spans = list(zip(cuts, cuts[1:]))
+            for at in range(0, len(spans), 1_024):
+                some = spans[at:at + 1_024]
+                yield pa.RecordBatch.from_arrays([pa.array(part[[i for i, _ in some]].astype(np.int32)), pa.array([keys[0][i:j].tobytes() for i, j in some], pa.binary()),
+                                                  pa.array([None if last is None else last[i:j].tobytes() for i, j in some], pa.binary()), pa.array([n[i:j].tobytes() for i, j in some], pa.binary())], ["part", "key", "last", "n"])
+
         for batch in batches:
-            for words in _runs(batch, known, lim.run):
-                for i, (_, trie, _) in enumerate(held):
-                    roots = np.array([trie.walk(x.encode() + _END) for x in known], np.int64)
-                    for s in _walked(trie, words, roots, width):
-                        states[i].append(s)
-                        waiting[i] += len(s)
-                    if waiting[i] > lim.held:
-                        totals[i] += np.bincount(np.concatenate(states[i]), minlength=len(totals[i]))
-                        states[i], waiting[i] = [], 0
-        for i, (block, trie, ends) in enumerate(held):
-            if waiting[i]:
-                totals[i] += np.bincount(np.concatenate(states[i]), minlength=len(totals[i]))
-            found = totals[i][ends]
-            some = np.flatnonzero(found)
-            sums = _Sums(lim.held)
-            yield from sums.add(block * lim.block + some, found[some])
-            yield from sums.flush()
+            column = batch.column(0).cast(pa.large_binary())
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1] // 4
+            ids = np.frombuffer(column.buffers()[2] or b"", np.int32)[offsets[0]:offsets[-1]].astype(np.uint64)
+            offsets = offsets - offsets[0]
+            inside = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets)) < ROW
+            follows = np.ones(len(ids), bool)            # whether the next number is of the same row
+            follows[offsets[1:][np.diff(offsets) > 0] - 1] = False
+            some = ids > 0
+            two = np.flatnonzero(some[:-1] & some[1:] & follows[:-1])
+            pair = ids[two] << np.uint64(bits) | ids[two + 1]
+            if pairs_ is None:
+                keys = [mix(pair[inside[two]])]
+            else:
+                slots = _bit(pair, lim.slot_bits)
+                often = (pairs_.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
+                kept = np.zeros(len(ids) + 1, bool)
+                kept[two[often]] = True
+                three = np.flatnonzero(kept[:-1] & kept[1:] & inside)
+                pair, third = ids[three] << np.uint64(bits) | ids[three + 1], ids[three + 2]
+                keys = [mix(pair << np.uint64(bits) | third)] if 3 * bits <= lim.key_bits else [mix(pair), third.astype(np.uint32)]
+            waiting.append(keys)
+            size += len(keys[0])
+            if size > lim.held:
+                yield from given()
+                waiting, size = [], 0
+        if size:
+            yield from given()
     return run
 
 
+def _frequent(rows: DataFrame, least: int, lim: Limits, bits: int, width: int) -> DataFrame:
+    """Sums packed runs in a stream of each part's rows -> frequent phrases as numbers w1 to w`width`, and f."""
+    names = [f"w{i + 1}" for i in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+
+        def summed() -> tuple[list[np.ndarray], np.ndarray]:
+            columns = [np.concatenate([h[i] for h in held]) for i in range(len(held[0]))]
+            return _tallied(columns[:-1], columns[-1])
+
+        def result() -> pa.RecordBatch:
+            keys, n = summed()
+            often = n >= least
+            key, mask = _unmixed(keys[0][often]), np.uint64((1 << bits) - 1)
+            ids = [keys[1][often]] if len(keys) > 1 else []
+            while len(ids) < width:
+                ids.insert(0, key & mask)
+                key = key >> np.uint64(bits)
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (*ids, n[often])], [*names, "f"])
+
+        for batch in batches:
+            for part, *packed in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in (1, 2, 3))):
+                if part != now and held:
+                    yield result()
+                    held, size = [], 0
+                now = part
+                key, last, n = (np.frombuffer(x.as_buffer(), kind) if x.is_valid else None for x, kind in zip(packed, (np.uint64, np.uint32, np.uint32)))
+                held.append([key, *([] if last is None else [last]), n.astype(np.int64)])
+                size += len(key)
+                if size > lim.held and len(held) > 1:
+                    keys, n = summed()
+                    held, size = [[*keys, n]], len(n) // 2      # merged again when as many have come
+        if held:
+            yield result()
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, ", ".join(f"{x} long" for x in [*names, "f"]))
+
+
+def _pair_bits(pairs: DataFrame, lim: Limits, bits: int) -> np.ndarray:
+    """Bits of the frequent pairs; four bytes of each pair reach the driver, some at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (batch.column(i).to_numpy().astype(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([_bit(one << np.uint64(bits) | two, lim.slot_bits).astype(np.int32).tobytes()], pa.binary())], ["slots"])
+
+    out = np.zeros(1 << (lim.slot_bits - 3), np.uint8)
+    for r in pairs.select("w1", "w2").mapInArrow(run, "slots binary").toLocalIterator():
+        slots = np.frombuffer(r["slots"], np.int32)
+        np.bitwise_or.at(out, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
+    return out
+
+
 def _key(lang: str, phrase: str) -> Column:
     return F.concat(F.encode(lang, "UTF-8"), F.lit(_END), F.encode(phrase, "UTF-8"))
 
 
 def supports(docs: DataFrame, least: int = 10, width: int = 3, lim: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """docs(lang, text) -> frequent phrases (lang, phrase, size, f) of 1 to `width` words (2 or 3), and (lang, n)."""
+    with text_batches(docs.sparkSession):
+        return _mined(docs, least, width, lim)
+
+
+def _mined(docs: DataFrame, least: int, width: int, lim: Limits) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
-    first = written(docs.mapInArrow(_count_words(lim), _FIRST), "words_and_pairs")
-    counts = written(first.where("range is null").groupBy("lang", "word").agg(F.sum("f").alias("f")).where(F.col("word").isNull() | (F.col("f") >= least)), "words")
-    words = counts.where("word is not null")
-    slots = [_frequent_slots(words.select("lang", "word").mapInArrow(_word_slots(lim), _RANGES), 1, lim.slot_bits),
-             _frequent_slots(first.where("range is not null").select("range", "low", "n"), least, lim.slot_bits)]
-    shared = [spark.sparkContext.broadcast(x) for x in slots]
-    found = written(docs.mapInArrow(_candidates(lim, 2, *shared, None), _FIRST), "pairs_and_triples")
-    phrases = found.where("range is null").select("lang", "word")
-    if width > 2:
-        shared.append(spark.sparkContext.broadcast(_frequent_slots(found.where("range is not null").select("range", "low", "n"), least, lim.slot_bits)))
-        phrases = phrases.union(docs.mapInArrow(_candidates(lim, 3, *shared), _FIRST).select("lang", "word"))
-    listed = written(phrases.distinct().select("lang", "word", _key("lang", "word").alias("key")), "candidates")
-    listed = written(listed.join(dense_ids(listed, "key", "at"), "key").select("lang", "word", "key", "at"), "numbered")
-    total = listed.count()
+    counts = docs.mapInArrow(_count_words(lim), "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    counts = written(counts.where(F.col("word").isNull() | (F.col("f") >= least)), "words")
+    listed = counts.where("word is not null").withColumn("key", _key("lang", "word"))
+    listed = written(listed.join(dense_ids(listed, "key", "at"), "key").select("lang", "word", "f", "key", "at"), "numbered")
+    n, total = listed.count(), counts.where("word is null").agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    bits, part_bits = max(1, n.bit_length()), max(6, (total >> PART).bit_length())
     made = written(listed.select(F.expr(f"at div {lim.block}").alias("block"), "at", "key").groupBy("block").applyInArrow(_trie, "block long, trie binary, ends binary"), "tries")
-    parts = []
-    for at in range(0, -(-total // lim.block), lim.tries):       # one pass over the texts for each `tries` blocks
+    texts = docs.withColumn("ids", F.lit(None).cast("binary"))
+    for at in range(0, max(1, -(-n // lim.block)), lim.tries):       # one pass over the texts for each `tries` blocks of words
         tries = []
         for r in made.where(F.col("block").between(at, at + lim.tries - 1)).orderBy("block").toLocalIterator():
             tries.append((r["block"], spark.sparkContext.broadcast(bytes(r["trie"])), spark.sparkContext.broadcast(bytes(r["ends"]))))
-        parts.append(written(docs.mapInArrow(_supports(lim, tries, width), _RANGES), "supports"))
+        last = (at + lim.tries) * lim.block >= n
+        texts = written(texts.mapInArrow(_encode(lim, tries, last), "ids binary" if last else "lang string, text string, ids binary"), "numbers")
         for _, *held in tries:
             for b in held:
                 b.unpersist()
-    frequent = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f")
-    if parts:
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.union(p)
-        sums = _summed(rows, lambda r, total: (np.flatnonzero(total) + (r << RANGE_BITS), total[total > 0]), "at long, f long", pa.schema([("at", pa.int64()), ("f", pa.int64())]))
-        longer = listed.join(sums.where(F.col("f") >= least), "at").select("lang", F.col("word").alias("phrase"), (F.size(F.split("word", " "))).alias("size"), "f")
-        frequent = frequent.union(longer)
-    for b in shared:
-        b.unpersist()
-    return written(frequent, "frequent"), counts.where("word is null").select("lang", F.col("f").alias("n"))
+    found = [written(_frequent(texts.mapInArrow(_phrases(lim, bits, part_bits, None), _COUNTED), least, lim, bits, 2), "pairs")]
+    if width > 2:
+        shared = spark.sparkContext.broadcast(_pair_bits(found[0], lim, bits))
+        found.append(written(_frequent(texts.mapInArrow(_phrases(lim, bits, part_bits, shared), _COUNTED), least, lim, bits, 3), "triples"))
+        shared.unpersist()
+    word = listed.select((F.col("at") + 1).alias("w"), "lang", "word")
+    frequent = [listed.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f")]
+    for size, rows in enumerate(found, 2):
+        for i in range(1, size + 1):
+            rows = rows.join(word.select(F.col("w").alias(f"w{i}"), F.col("word").alias(f"t{i}"), *(["lang"] if i == 1 else [])), f"w{i}")
+        frequent.append(rows.select("lang", F.concat_ws(" ", *[f"t{i}" for i in range(1, size + 1)]).alias("phrase"), F.lit(size).alias("size"), "f"))
+    return written(reduce(DataFrame.union, frequent), "frequent"), counts.where("word is null").select("lang", F.col("f").alias("n"))
 
 
 def _looked_up(cuts: DataFrame, frequent: DataFrame, part: str, name: str, total: int) -> DataFrame:
