@@ -154,9 +154,23 @@ def _numbers(words: _Words, known: dict[str, int], tries: list[tuple[Trie, np.nd
     return out
 
 
+def _packed(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of these numbers of bytes."""
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, np.cumsum(sizes))), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _left(words: _Words, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some words, each with a separator behind it, and how many each word has."""
+    sizes = words.ends[some] - words.starts[some] + 1
+    behind = np.cumsum(sizes)
+    out = words.buf[np.minimum(np.arange(sizes.sum()) + np.repeat(words.starts[some] - behind + sizes, sizes), max(len(words.buf) - 1, 0))]
+    out[behind - 1] = 0x0A
+    return out, sizes
+
+
 def _encode(lim: Limits, tries: list[tuple[int, object, object]], last: bool):
-    """Texts (lang, text, ids) as numbers of words, each piece with a 0 behind it: rows of bounded length in the last pass over
-    all tries, else the texts with the numbers of all passes so far."""
+    """Texts (lang, text, ids) as numbers of words, each piece with a 0 behind it: rows of bounded length in the last pass over all
+    tries. Passes before it give the numbers so far, -1 for words that have none yet, and as text what these words are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for block, data, ends in tries:
@@ -165,29 +179,45 @@ def _encode(lim: Limits, tries: list[tuple[int, object, object]], last: bool):
             number[ends] = block * lim.block + np.arange(len(ends)) + 1
             held.append((trie, number))
         known: dict[str, int] = {}
+
+        def rows(ids: np.ndarray) -> pa.RecordBatch:
+            ids = np.maximum(ids, 0)
+            return pa.RecordBatch.from_arrays([pa.array([ids[i:i + ROW + 2].tobytes() for i in range(0, len(ids), ROW)], pa.binary())], ["ids"])
+
         for batch in batches:
-            before, at = np.frombuffer(b"".join(x for x in batch.column(2).to_pylist() if x), np.int32), 0
-            parts, sizes = [], np.zeros(batch.num_rows, np.int64)
+            again = batch.column(2).null_count == 0      # the numbers of a pass before
+            before = [x or b"" for x in batch.column(2).to_pylist()]
+            sizes, left_sizes = np.array([len(x) for x in before], np.int64), np.zeros(batch.num_rows, np.int64)
+            before = np.frombuffer(b"".join(before), np.int32).copy()
+            open_, at, parts, left = np.flatnonzero(before < 0), 0, [], []
             for words, texts in _runs_of_texts(batch, known, lim.run):
-                n = len(words.starts)
-                place = np.arange(n)
-                place[1:] += np.cumsum(~words.joined)
-                ids = np.zeros(int(place[-1]) + 2 if n else 0, np.int32)
-                ids[place] = _numbers(words, known, held)
-                if len(before):
-                    ids = np.maximum(ids, before[at:at + len(ids)])
-                at += len(ids)
-                if last:
-                    rows = [ids[i:i + ROW + 2].tobytes() for i in range(0, len(ids), ROW)]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
+                n, numbers = len(words.starts), _numbers(words, known, held)
+                numbers[numbers == 0] = -1
+                if again:
+                    before[open_[at:at + n]] = numbers
+                    at += n
                 else:
+                    place = np.arange(n)
+                    place[1:] += np.cumsum(~words.joined)
+                    ids = np.zeros(int(place[-1]) + 2 if n else 0, np.int32)
+                    ids[place] = numbers
+                    if last:
+                        yield rows(ids)
+                        continue
                     parts.append(ids)
-                    sizes += np.bincount(texts[words.row], minlength=len(sizes))
-                    ends = np.append(~words.joined, True) if n else np.zeros(0, bool)
-                    sizes += np.bincount(texts[words.row[ends]], minlength=len(sizes))
+                    closed = np.append(~words.joined, True) if n else np.zeros(0, bool)
+                    sizes += 4 * (np.bincount(texts[words.row], minlength=len(sizes)) + np.bincount(texts[words.row[closed]], minlength=len(sizes)))
+                if not last:
+                    some = np.flatnonzero(numbers < 0)
+                    data, lengths = _left(words, some)
+                    left.append(data)
+                    np.add.at(left_sizes, texts[words.row[some]], lengths)
             if not last:
-                data, cuts = np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([[0], np.cumsum(sizes)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([data[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], ["lang", "text", "ids"])
+                ids = before if again else np.concatenate([np.zeros(0, np.int32), *parts])
+                text = _packed(np.concatenate([np.zeros(0, np.uint8), *left]), left_sizes).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), text, _packed(ids, sizes)], ["lang", "text", "ids"])
+            elif again:
+                yield rows(before)
     return run
 
 
